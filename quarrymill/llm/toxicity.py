@@ -64,7 +64,7 @@ class Features:
         return (np.concatenate([h, pair, skip]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def ftrl(rows: list[tuple[str | None, int]], alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0, epochs: int = 4) -> Model:
+def ftrl(rows: list[tuple[str | None, int]], alpha: float = 1.0, beta: float = 1.0, l1: float = 20.0, l2: float = 0.01, epochs: int = 10) -> Model:
     """Train on (text, 0 or 1), in the order given. No rows give a model that scores every text 0.5."""
     make = Features()
     coords = [np.unique(make.of(t)) for t, _ in rows]
@@ -87,7 +87,7 @@ def ftrl(rows: list[tuple[str | None, int]], alpha: float = 0.1, beta: float = 1
     return Model(float(w[bias]), kept, w[kept].astype(np.float32))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Model:
     """Learn from labelled documents that are not held out, whole texts.
 
     Bounded sample: about max_rows labelled documents (3/2 of that at most), drawn by a hash of doc_id; all of them if there are fewer. The sample is trained

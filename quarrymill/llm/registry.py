@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from quarrymill.llm.exact_dedup import OP4_SQL, op4_chunk_recipe_dedup
 from quarrymill.llm.language_id import op9_language_id
 from quarrymill.llm.mixing import op1_entropy_mix
+from quarrymill.llm.packing import op3_bm25_packing
 from quarrymill.llm.sharding import op2_histogram_shards
 from quarrymill.llm.simhash import op6_simhash_components
 from quarrymill.llm.toxicity import op10_toxicity
 
-OPERATORS = (op1_entropy_mix, op2_histogram_shards, op4_chunk_recipe_dedup, op6_simhash_components, op9_language_id, op10_toxicity)
+OPERATORS = (op1_entropy_mix, op2_histogram_shards, op3_bm25_packing, op4_chunk_recipe_dedup, op6_simhash_components, op9_language_id, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -12,9 +12,11 @@ from quarrymill.llm.mixing import op1_entropy_mix
 from quarrymill.llm.packing import op3_bm25_packing
 from quarrymill.llm.sharding import op2_histogram_shards
 from quarrymill.llm.simhash import op6_simhash_components
+from quarrymill.llm.syncmers import op7_syncmer_fingerprints
 from quarrymill.llm.toxicity import op10_toxicity
+from quarrymill.llm.warc import OP8_SQL, op8_warc
 
-OPERATORS = (op1_entropy_mix, op2_histogram_shards, op3_bm25_packing, op4_chunk_recipe_dedup, op6_simhash_components, op9_language_id, op10_toxicity)
+OPERATORS = (op1_entropy_mix, op2_histogram_shards, op3_bm25_packing, op4_chunk_recipe_dedup, op6_simhash_components, op7_syncmer_fingerprints, op8_warc, op9_language_id, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {op4_chunk_recipe_dedup.__name__: OP4_SQL}
+    return {op4_chunk_recipe_dedup.__name__: OP4_SQL, op8_warc.__name__: OP8_SQL}

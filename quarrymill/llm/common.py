@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,11 @@ def words_in(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row: a lambda variable stands for it, also inside further lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def slots(spark: SparkSession) -> int:
     """Partitions to deal work into: what the session has set for shuffles."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

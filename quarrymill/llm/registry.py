@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarrymill.llm.exact_dedup import OP4_SQL, op4_chunk_recipe_dedup
 from quarrymill.llm.language_id import op9_language_id
+from quarrymill.llm.licenses import op5_license_scan
 from quarrymill.llm.mixing import op1_entropy_mix
 from quarrymill.llm.packing import op3_bm25_packing
 from quarrymill.llm.sharding import op2_histogram_shards
@@ -16,7 +17,7 @@ from quarrymill.llm.syncmers import op7_syncmer_fingerprints
 from quarrymill.llm.toxicity import op10_toxicity
 from quarrymill.llm.warc import OP8_SQL, op8_warc
 
-OPERATORS = (op1_entropy_mix, op2_histogram_shards, op3_bm25_packing, op4_chunk_recipe_dedup, op6_simhash_components, op7_syncmer_fingerprints, op8_warc, op9_language_id, op10_toxicity)
+OPERATORS = (op1_entropy_mix, op2_histogram_shards, op3_bm25_packing, op4_chunk_recipe_dedup, op5_license_scan, op6_simhash_components, op7_syncmer_fingerprints, op8_warc, op9_language_id, op10_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

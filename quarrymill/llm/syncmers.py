@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACE, read_table, slots
+from quarrymill.llm.common import SPACE, let, read_table, slots
 
 #: Words in a k-mer.
 K = 5
@@ -37,12 +37,7 @@ def anchors_of(text: Column, k: int = K) -> Column:
     def select(h: Column) -> Column:
         return F.transform(F.filter(F.transform(h, lambda x, i: F.when(chosen(x, i, h), i)), lambda i: i.isNotNull()), lambda i: code(h, i))
 
-    return F.when(F.size(hashes) == 0, F.array().cast("array<int>")).when(F.size(hashes) < k, F.array(F.hash(hashes))).otherwise(_let(hashes, select))
-
-
-def _let(value: Column, use) -> Column:
-    """use(value), value being computed once: a lambda variable stands for it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<int>")).when(F.size(h) < k, F.array(F.hash(h))).otherwise(select(h)))
 
 
 def as_string(anchors: Column) -> Column:

@@ -62,7 +62,7 @@ def close_pairs(values: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> It
         if not len(lanes):
             return
         differ = np.packbits(planes[:, lanes] ^ planes[:, lanes + shift], axis=1, bitorder="little")
-        differ = np.pad(differ, ((0, 0), (0, -differ.shape[1] % 8))).view("<u8")
+        differ = np.ascontiguousarray(np.pad(differ, ((0, 0), (0, -differ.shape[1] % 8)))).view("<u8")
         block = np.arange(differ.shape[1])
         ones, twos, fours = (np.zeros(len(block), np.uint64) for _ in range(3))
         for k, plane in enumerate(differ):

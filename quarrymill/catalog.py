@@ -72,6 +72,12 @@ def starts(p: str) -> str:
     return f"list_transform(range(1, len({hits}) + 1), lambda i: strlen(array_to_string(list_slice({gaps}, 1, i), '')) + strlen(array_to_string(list_slice({hits}, 1, i - 1), '')))"
 
 
+def start(p: str, nth: int) -> str:
+    both = f"'(?s)(.*?)({p})'"
+    gaps, hits = f"regexp_extract_all(text, {both}, 1)", f"regexp_extract_all(text, {both}, 2)"
+    return f"CASE WHEN len({hits}) >= {nth} THEN strlen(array_to_string(list_slice({gaps}, 1, {nth}), '')) + strlen(array_to_string(list_slice({hits}, 1, {nth - 1}), '')) END"
+
+
 def some(values: str, test: str) -> str:
     return f"len(list_filter({values}, lambda v: v {test})) > 0"
 
@@ -103,7 +109,7 @@ RULES = {
     "cond_length_any": (grep(A, "length(a) >= 15"), some(sizes("th[a-z]+"), ">= 15")),
     "cond_length_nth": (grep(A, "length(a, 3) == 5"), f"coalesce(({sizes('th[a-z]+')})[3] = 5, false)"),
     "cond_offset_any": (grep(C, "offset(c) < 400"), some(starts("[0-9]+"), "< 400")),
-    "cond_offset_nth": (grep(A, "offset(a, 2) > 60"), f"coalesce(({starts('th[a-z]+')})[2] > 60, false)"),
+    "cond_offset_nth": (grep(A, "offset(a, 2) > 60"), f"coalesce({start('th[a-z]+', 2)} > 60, false)"),
     "cond_has_hits": (
         grep(f"{A} {B} {C}", "count_has_hits() == 2"),
         f"({n('th[a-z]+')} > 0)::INT + ({n('ing')} > 0)::INT + ({n('[0-9]+')} > 0)::INT = 2",
@@ -223,7 +229,7 @@ def hits_sql(rule: Rule, spelled: dict[str, str], source: str = "text") -> str:
     SELECT file, '{rule.id}' AS rule_id, pattern_id, nth, ({ends} - strlen(m))::BIGINT AS start_offset, ({ends})::BIGINT AS end_offset, strlen(m) AS length FROM h"""
 
 
-HIT_COLUMNS = ("file", "rule_id", "pattern_id", F.col("nth").cast("long").alias("nth"), "start_offset", "end_offset", "length")
+HIT_COLUMNS = ("file", "rule_id", "pattern_id", "cast(nth AS bigint) AS nth", "start_offset", "end_offset", "length")
 HITS = {
     "hits_fixed": ('a = "the" fixed', {"a": "the"}),
     "hits_regex": ('a = "th[a-z]+"', {"a": "th[a-z]+"}),
@@ -238,7 +244,7 @@ def _add_hits(name: str, patterns: str, spelled: dict[str, str]) -> None:
     rules = rules_in(f"rule {name} {{ {grep(patterns, 'any()')} }}")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search_hits(files_of(spark, sf_dir), rules).select(*HIT_COLUMNS)
+        return search_hits(files_of(spark, sf_dir), rules).selectExpr(*HIT_COLUMNS)
 
     run.__name__ = name
     query(hits_sql(rules[0], spelled))(run)
@@ -275,7 +281,7 @@ YARA = Rule("yara", patterns={"a": yara_pattern("the", ("fullword",)), "b": yara
 
 @query(hits_sql(YARA, {"a": "[^0-9A-Za-z_]the[^0-9A-Za-z_]", "b": "tion"}))
 def hits_yara_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search_hits(files_of(spark, sf_dir), [YARA]).select(*HIT_COLUMNS)
+    return search_hits(files_of(spark, sf_dir), [YARA]).selectExpr(*HIT_COLUMNS)
 
 
 # --- Signatures

@@ -89,4 +89,4 @@ class Scan:
         if codec not in CODECS:
             raise ValueError(f"unknown codec {codec}")
         for name in ("dirent", "inode", "hash", "rules", "rule_hits", "search_hits"):
-            getattr(self, name).write.mode("overwrite").option("compression", "lz4raw" if codec == "lz4" else codec).parquet(f"{path}/{name}")
+            getattr(self, name).write.mode("overwrite").option("compression", "lz4_raw" if codec == "lz4" else codec).parquet(f"{path}/{name}")

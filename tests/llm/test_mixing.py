@@ -1,0 +1,64 @@
+from __future__ import annotations
+
+import random
+from collections import defaultdict
+
+import pytest
+
+from quarrymill.llm.mixing import mix, op1_entropy_mix, repeat_rows, reshare
+
+
+def test_reshare():
+    assert reshare({"a": 100, "b": 100, "c": 100}, {"a": 3, "b": 1, "c": 2}, 1.5, 2) == {"a": 200.0, "b": pytest.approx(250 / 3), "c": pytest.approx(500 / 3)}
+    assert reshare({"a": 10}, {"a": 1}, 5, 2) == {"a": 20.0}
+    assert reshare({}, {}, 1.5, 2) == {} and reshare({"a": 0}, {"a": 1}, 1.5, 2) == {"a": 0.0}
+
+
+def rows_of(mixed):
+    return [r.asDict() for r in mixed.collect()]
+
+
+def test_targets_are_met(spark, table):
+    draw = random.Random(3)
+    docs = table([(i, " ".join(["w"] * int(draw.paretovariate(1) * 20)), "en", draw.choice("aaaaaabcdef")) for i in range(600)])
+    found = rows_of(mix(docs, [3.0, 1.0, 2.0], 1.5))
+    assert len(found) == 600
+    by = defaultdict(list)
+    for r in found:
+        assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 2
+        by[r["target"], r["source_size"]].append(r)
+    for (target, source), own in by.items():
+        assert sum(r["size"] for r in own) == source
+        assert abs(sum(r["taken"] for r in own) - target) <= max(2, 0.01 * target)
+    assert rows_of(mix(docs, [3.0, 1.0, 2.0], 1.5)) == found
+    # Within a source, documents of one size have one rate, and the rates' words meet the target.
+    for (target, _), own in by.items():
+        assert sum(r["rate"] * r["size"] for r in own) == pytest.approx(target, rel=1e-6)
+
+
+def test_odd_rows(odd, none):
+    found = rows_of(mix(odd, [3.0, 1.0, 2.0], 1.5))
+    assert len(found) == odd.count()
+    assert {r["doc_id"]: r["taken"] for r in found if r["size"] == 0} == {4: 0, 5: 0, 6: 0, None: 0}
+    assert {r["copies"] for r in found if r["doc_id"] == 8} <= {0, 1, 2} and len({r["copies"] for r in found if r["doc_id"] == 8}) == 1
+    assert mix(none, [1.0], 1.5).count() == 0
+
+
+def test_repeats(odd):
+    mixed = mix(odd, [3.0, 1.0, 2.0], 1.5)
+    got = repeat_rows(odd, mixed)
+    assert got.columns == odd.columns
+    assert got.count() == sum(r["copies"] for r in rows_of(mixed))
+
+
+def test_too_many_sources(table):
+    with pytest.raises(ValueError, match="sources"):
+        mix(table([(i, "a", None, str(i)) for i in range(5)]), [1.0], 1.5, max_sources=4)
+
+
+def test_query(spark):
+    found = rows_of(op1_entropy_mix(spark, "/root/testdata/sf0.001"))
+    by = defaultdict(int)
+    for r in found:
+        by[r["target"]] += r["taken"]
+    assert len(found) == 200 and sum(by.values()) == pytest.approx(1.5 * sum(r["size"] for r in found), rel=0.01)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -26,18 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
+def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back. by: a column by whose values the files are parted, for
+    readers that want the rows of one value.
 
     It cuts the lineage, so that neither a lost executor nor a second use recomputes what made df, and
     it fixes row ids that were given by position.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> None:
+    """Hand Python workers at most so many rows and (where Spark can count them) bytes at a time, so that their memory is bounded
+    however long the texts are. Stricter settings of the session stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.match(r"-?\d+", spark.conf.get(key, None) or "-1")
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

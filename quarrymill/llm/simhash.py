@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import read_table, slots, stage
+from quarrymill.llm.common import bound_batches, read_table, slots, stage
 from quarrymill.llm.components import connected_components
 
 RADIUS = 2
@@ -51,46 +51,83 @@ def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
 
 
-def close_pairs(values: np.ndarray, run: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes i, j of 16-bit values of the same run that differ in at most `radius` bits (under 4); run is sorted."""
-    planes = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little").T
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save addition of three bits in each lane: sum and carry."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
+    """Lanes whose vertical counter (lowest bit first) is over the radius."""
+    more, same = np.zeros_like(counter[0]), ~np.zeros_like(counter[0])
+    for i in reversed(range(len(counter))):
+        if radius >> i & 1:
+            same &= counter[i]
+        else:
+            more |= same & counter[i]
+            same &= ~counter[i]
+    return more
+
+
+def close_pairs(planes: np.ndarray, run: np.ndarray, radius: int = RADIUS, look: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes i < j of lanes of the same run whose bits differ in at most `radius` places; run is sorted.
+
+    planes: one row of bits for each place, a multiple of 8 of them. Every lane is compared with the lane `shift` further on, for all
+    shifts. Eight planes at a time go through a tree of carry-save adders into a vertical counter; after each `look` planes, blocks
+    of 64 lanes of which all are beyond the radius are given up.
+    """
     last = np.searchsorted(run, run, side="right")
-    lanes, shift = np.arange(len(values)), 0
+    lanes, shift = np.arange(planes.shape[1]), 0
     while True:
         shift += 1
         lanes = lanes[lanes + shift < last[lanes]]
         if not len(lanes):
             return
-        differ = np.packbits(planes[:, lanes] ^ planes[:, lanes + shift], axis=1, bitorder="little")
-        differ = np.ascontiguousarray(np.pad(differ, ((0, 0), (0, -differ.shape[1] % 8)))).view("<u8")
-        block = np.arange(differ.shape[1])
-        ones, twos, fours = (np.zeros(len(block), np.uint64) for _ in range(3))
-        for k, plane in enumerate(differ):
-            x = plane[block]
-            carry = ones & x
-            ones ^= x
-            fours |= twos & carry
-            twos ^= carry
-            if k % 4 == 3:
-                near = ~(fours | _over(ones, twos, radius))
-                keep = near != 0
+        words = -(-len(lanes) // 64)
+        differ = np.zeros((len(planes), words * 8), np.uint8)
+        packed = np.packbits(planes[:, lanes] ^ planes[:, lanes + shift], axis=1, bitorder="little")
+        differ[:, : packed.shape[1]] = packed
+        differ = differ.view("<u8")
+        block = np.arange(words)
+        counter = [np.zeros(words, np.uint64) for _ in range(len(planes).bit_length())]
+        for k in range(0, len(planes), 8):
+            x = differ[k : k + 8, block] if len(block) < words else differ[k : k + 8]
+            ones, a = _add(counter[0], x[0], x[1])
+            ones, b = _add(ones, x[2], x[3])
+            twos, c = _add(counter[1], a, b)
+            ones, a = _add(ones, x[4], x[5])
+            counter[0], b = _add(ones, x[6], x[7])
+            counter[1], d = _add(twos, a, b)
+            counter[2], carry = _add(counter[2], c, d)
+            for i in range(3, len(counter)):
+                counter[i], carry = counter[i] ^ carry, counter[i] & carry
+            if (k + 8) % look == 0 and k + 8 > radius:
+                keep = ~_above(counter, radius) != 0
                 if not keep.all():
-                    block, ones, twos, fours = block[keep], ones[keep], twos[keep], fours[keep]
+                    block, counter = block[keep], [v[keep] for v in counter]
                 if not len(block):
                     break
-        else:
-            near = ~(fours | _over(ones, twos, radius))
-            bits = np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            row, col = np.nonzero(bits)
+        if len(block):
+            near = ~_above(counter, radius)
+            row, col = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             at = block[row] * 64 + col
             at = lanes[at[at < len(lanes)]]
             if len(at):
                 yield at, at + shift
 
 
-def _over(ones: np.ndarray, twos: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose two-bit count is over the radius."""
-    return {0: ones | twos, 1: twos, 2: ones & twos, 3: np.zeros_like(ones)}[radius]
+def linked(planes: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
+    """For each lane the least lane of its run that it is linked to, directly or over others."""
+    label, pairs, held = np.arange(planes.shape[1]), [], 0
+    for i, j in close_pairs(planes, run, radius, 8 if len(planes) < 64 else 32):
+        pairs.append((i, j))
+        held += len(i)
+        if held > 1 << 20:
+            _unite(label, *map(np.concatenate, zip(*pairs)))
+            pairs, held = [], 0
+    if pairs:
+        _unite(label, *map(np.concatenate, zip(*pairs)))
+    return label
 
 
 def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -115,17 +152,10 @@ def _forest(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
     first, second = np.array(FREE, np.uint64)[table].T * np.uint64(8)
     bits = fp.view(np.uint64)
     values = ((bits >> first) & np.uint64(255)) | (((bits >> second) & np.uint64(255)) << np.uint64(8))
-    label, pairs, held = np.arange(len(fp)), [], 0
-    for i, j in close_pairs(values, run):
-        pairs.append((i, j))
-        held += len(i)
-        if held > 1 << 20:
-            _unite(label, *map(np.concatenate, zip(*pairs)))
-            pairs, held = [], 0
-    if pairs:
-        _unite(label, *map(np.concatenate, zip(*pairs)))
-    linked = label != np.arange(len(fp))
-    return pd.DataFrame({"a": fp[linked], "b": fp[label[linked]]})
+    planes = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little").T
+    label = linked(planes, run, RADIUS)
+    moved = label != np.arange(len(fp))
+    return pd.DataFrame({"a": fp[moved], "b": fp[label[moved]]})
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,6 +184,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     and link like any other. Repeated rows get equal results. Extra columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     marked = stage(docs.select("doc_id", "text").mapInPandas(_fingerprints, docs.select("doc_id", F.lit(0).cast("long").alias("fp")).schema), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     keys = [F.struct(F.lit(t).alias("bucket"), F.col("fp").bitwiseAND(F.lit(_signed(~((255 << 8 * a) | (255 << 8 * b))))).alias("key")) for t, (a, b) in enumerate(FREE)]
@@ -172,14 +203,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The row with the smallest doc_id of each component, with all columns; rows without doc_id stay. A repeated row stays once."""
-    found = simhash_components(docs)
-    kept = stage(found.where(F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows if kept.where("_rows > 1 AND _id IS NOT NULL").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
-
-
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

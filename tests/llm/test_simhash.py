@@ -9,7 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.llm.components import connected_components
-from quarrymill.llm.simhash import close_pairs, fingerprint, keep_representatives, op6_simhash_components, simhash_components
+from quarrymill.llm.near_copies import keep_representatives, near_copies, wide_fingerprint
+from quarrymill.llm.simhash import close_pairs, fingerprint, op6_simhash_components, simhash_components
 
 
 def brute_components(rows):
@@ -44,7 +45,8 @@ def test_fingerprint_is_what_spark_hashes(spark):
 def test_close_pairs(rows):
     rows = sorted(rows)
     values, run = np.array([v for _, v in rows], np.uint64), np.array([r for r, _ in rows], np.int64)
-    found = {(a, b) for i, j in close_pairs(values, run) for a, b in zip(i.tolist(), j.tolist())} if rows else set()
+    planes = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little").T
+    found = {(a, b) for i, j in close_pairs(planes, run) for a, b in zip(i.tolist(), j.tolist())} if rows else set()
     assert found == {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if run[i] == run[j] and (rows[i][1] ^ rows[j][1]).bit_count() <= 2}
 
 
@@ -80,7 +82,56 @@ def test_planted_near_fingerprints(spark, table, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in simhash_components(table(rows)).collect()} == {i: c for (i, _), c in zip(marked, wanted)}
 
 
-def test_filter(odd):
+def similarity(a, b):
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.integers(0, 2**32), st.integers(0, 60))
+def test_close_pairs_of_wide_fingerprints(seed, radius):
+    draw = np.random.default_rng(seed)
+    centre = draw.integers(0, 2, (3, 256))
+    lanes = (centre[draw.integers(0, 3, 90)] ^ (draw.random((90, 256)) < 0.08)).astype(np.uint8)
+    run = np.sort(draw.integers(0, 2, 90))
+    found = {(a, b) for i, j in close_pairs(lanes.T, run, radius, 32) for a, b in zip(i.tolist(), j.tolist())}
+    assert found == {(i, j) for i in range(90) for j in range(i + 1, 90) if run[i] == run[j] and (lanes[i] ^ lanes[j]).sum() <= radius}
+
+
+def test_near_copies_are_found_and_others_kept(table):
+    draw, rows, family = random.Random(9), [], {}
+    for g in range(60):
+        words = [draw.choice("abcdefghijklmnop") + str(draw.randrange(900)) for _ in range(draw.choice([60, 200, 500]))]
+        for c in range(1 if g % 2 else 5):
+            copy = list(words)
+            for _ in range(0 if c == 0 else max(1, len(copy) // 70)):
+                copy[draw.randrange(len(copy))] = "edit" + str(draw.randrange(9999))
+            family[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    found = {r["doc_id"]: r["component_id"] for r in near_copies(table(rows)).collect()}
+    assert all(family[i] == family[c] for i, c in found.items())
+    copies = [i for i in found if family[i] % 2 == 0 and i != min(j for j in family if family[j] == family[i])]
+    close = [i for i in copies if max(similarity(rows[i][1], rows[j][1]) for j in family if family[j] == family[i] and j < i) >= 0.85]
+    assert len(close) > 50 and sum(found[i] != i for i in close) >= 0.95 * len(close)
+
+
+def test_a_large_group_of_near_copies(table):
+    """Over one bucket's bound: the bucket is split on further bits, and the group still holds together."""
+    draw = random.Random(6)
+    words = [str(draw.randrange(10**6)) for _ in range(300)]
+    rows = [(i, " ".join(words[: i % 300] + [f"e{i}"] + words[i % 300 + 1 :])) for i in range(1500)] + [(5000 + i, " ".join(str(draw.randrange(10**6)) for _ in range(50))) for i in range(20)]
+    found = {r["doc_id"]: r["component_id"] for r in near_copies(table(rows)).collect()}
+    assert sum(found[i] == 0 for i in range(1500)) >= 1490
+    assert all(found[5000 + i] == 5000 + i for i in range(20))
+
+
+def test_wide_fingerprint_of_nothing():
+    assert not wide_fingerprint(None).any() and not wide_fingerprint(" \t").any() and wide_fingerprint("a").any()
+
+
+def test_filter(odd, none):
+    assert near_copies(none).count() == keep_representatives(none).count() == 0
+    assert near_copies(odd).count() == odd.count()
     left = keep_representatives(odd)
     assert left.columns == odd.columns
     assert sorted(r["doc_id"] or -1 for r in left.collect()).count(8) <= 1

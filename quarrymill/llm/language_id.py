@@ -3,13 +3,14 @@
 For each language a suffix automaton of a bounded sample of labelled text is built. A text is parsed against it greedily:
 each phrase is the longest match that starts where the last one ended. Phrases times the bits to point into the
 sample, per character, estimate the cross entropy; the language with the least wins. The automata are made into one table of
-(state, character class) -> state whose lowest bit marks the end of a phrase, so a batch of texts is parsed by all
+(state, character class) -> state whose lowest bit marks the start of a phrase, so a batch of texts is parsed by all
 languages at once, one gather per character position. Texts are parsed whole, in segments that phrases do not cross, so
 that lanes have a bounded length.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,17 +20,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import read_table
+from quarrymill.llm.common import bound_batches, read_table
 
 SEGMENT = 2048
+LETTERS = re.compile(r"[^\W\d_]+")
 
 
 @dataclass
 class Parser:
     languages: list[str]
     classes: np.ndarray  # of each code point of the basic plane; 0 for all others
-    table: np.ndarray  # [state * k + class] -> next state * k, shifted left by one, plus 1 at the end of a phrase
-    roots: np.ndarray
+    table: np.ndarray  # [state * k + class] -> next state * k, shifted left by one, plus 1 at the start of a phrase
+    roots: np.ndarray  # states to start from
     bits: np.ndarray  # to point into each sample
 
 
@@ -63,7 +65,8 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def _plain(text: str) -> str:
-    return " ".join(text.lower().split())
+    """The words of letters, in lower case, with one space between: digits and signs say nothing of a language."""
+    return " ".join(LETTERS.findall(text.lower()))
 
 
 def build_parser(samples: dict[str, str], most_classes: int = 64) -> Parser:
@@ -79,17 +82,18 @@ def build_parser(samples: dict[str, str], most_classes: int = 64) -> Parser:
     for v in plain.values():
         codes = [c for c in classes[np.minimum(_points(v), (1 << 16) - 1)].tolist() if c]
         go = suffix_automaton(codes)
-        root = np.zeros(k, np.int64)
+        # Where a phrase begins: behind its first character, or, if the sample lacks that, in a last state that every character leaves for a new phrase.
+        fresh = np.full(k, len(go), np.int64)
         for c, to in go[0].items():
-            root[c] = to
-        table = np.tile(((root + base) * k << 1) + 1, (len(go), 1))
+            fresh[c] = to
+        table = np.tile(((fresh + base) * k << 1) + 1, (len(go) + 1, 1))
         for s, moves in enumerate(go):
             table[s, list(moves)] = [(to + base) * k << 1 for to in moves.values()]
         if table.max(initial=0) >= 1 << 31:
             raise ValueError("samples are too long for this many languages")
         tables.append(table.astype(np.int32).ravel())
-        roots.append(base * k)
-        base += len(go)
+        roots.append((base + len(go)) * k)
+        base += len(go) + 1
     bits = np.log2([max(2, len(v)) for v in plain.values()])
     return Parser(list(plain), classes, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), bits)
 
@@ -112,16 +116,16 @@ def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
     order = np.argsort(-length, kind="stable")
     owner, start, length = owner[order], start[order], length[order]
     state = np.repeat(parser.roots[:, None], len(owner), axis=1)
-    ended = np.ones(state.shape, np.int32)
+    begun = np.zeros(state.shape, np.int32)
     left = len(owner)
     for t in range(int(length.max(initial=0))):
         while left and length[left - 1] <= t:
             left -= 1
         step = parser.table[state[:, :left] + whole[start[:left] + t]]
-        ended[:, :left] += step & 1
+        begun[:, :left] += step & 1
         state[:, :left] = step >> 1
     for i in range(len(parser.languages)):
-        out[:, i] = np.bincount(owner, weights=ended[i], minlength=len(texts))
+        out[:, i] = np.bincount(owner, weights=begun[i], minlength=len(texts))
     return out
 
 
@@ -154,7 +158,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, chars: int = 40_000, excerpt: int = 1_000, max_languages: int = 50) -> Parser:
+def train(docs: DataFrame, chars: int = 60_000, excerpt: int = 500, max_languages: int = 50) -> Parser:
     """Learn from documents that are not held out and have a language and a text.
 
     Bounded sample: about 2 * chars / excerpt documents per language, drawn by a hash of doc_id, the first `excerpt`
@@ -178,6 +182,20 @@ def train(docs: DataFrame, chars: int = 40_000, excerpt: int = 1_000, max_langua
     return build_parser({k: v[:chars] for k, v in samples.items()})
 
 
+def _told(docs: DataFrame, parser: Parser) -> DataFrame:
+    """docs with a column _told of lang_pred and score."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(parser)
+
+    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = shared.value
+        for b in batches:
+            langs, score = predict(known, [t if isinstance(t, str) else None for t in b])
+            yield pd.DataFrame({"lang_pred": langs, "score": score})
+
+    return docs.withColumn("_told", F.pandas_udf(tell, "struct<lang_pred:string,score:double>")("text"))
+
+
 def identify_languages(docs: DataFrame, parser: Parser, columns: list[str] | None = None) -> DataFrame:
     """docs (or the named columns of it) with lang_pred and score appended, from the text alone.
 
@@ -185,27 +203,15 @@ def identify_languages(docs: DataFrame, parser: Parser, columns: list[str] | Non
     results. A column of docs that is called lang_pred or score is replaced.
     """
     keep = [c for c in columns or docs.columns if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
-    told = docs.withColumn("_told", F.pandas_udf(_teller(shared), "struct<lang_pred:string,score:double>")("text"))
-    return told.select(*keep, "_told.lang_pred", "_told.score")
-
-
-def _teller(shared):
-    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        parser = shared.value
-        for b in batches:
-            langs, score = predict(parser, [t if isinstance(t, str) else None for t in b])
-            yield pd.DataFrame({"lang_pred": langs, "score": score})
-
-    return tell
+    return _told(docs, parser).select(*keep, "_told.lang_pred", "_told.score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language is told, with all their columns: documents without a letter go."""
+    """The rows of docs whose language is told, with all their columns: documents without a letter go. If no language can be learned, all stay that have a letter."""
     parser = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(parser)
-    told = docs.withColumn("_told", F.pandas_udf(_teller(shared), "struct<lang_pred:string,score:double>")("text"))
-    return told.where(F.col("_told.lang_pred") != "und").select(*docs.columns)
+    if not parser.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    return _told(docs, parser).where(F.col("_told.lang_pred") != "und").select(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

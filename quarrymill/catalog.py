@@ -13,7 +13,7 @@ from quarrymill.functions.labels import META_FLAGS, NAME_TYPES, VOLUME_SYSTEMS,
 from quarrymill.operators.rules import join_files, rule_hits, rules_table
 from quarrymill.operators.search import hit_counts, search_hits
 from quarrymill.operators.signatures import Check, Signature, identify
-from quarrymill.operators.tables import exclude_known, first_inodes, full_paths, merge_ranges, table_difference, unclaimed, unique_contents
+from quarrymill.operators.tables import exclude_known, first_inodes, full_paths, merge_ranges, run_layout, table_difference, unclaimed, unique_contents
 from quarrymill.plans.ruletext import Rule, read_rules
 from quarrymill.sources.config import yara_pattern
 from quarrymill.sources.files import corpus_files, dirent_of, folders_of, inode_of, page_files
@@ -449,3 +449,15 @@ def image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     volumes = F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("addr"), F.col("n_name").alias("description"))))
     images = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(volumes.alias("volumes"))
     return images.select(F.col("r_regionkey").alias("image"), F.size("volumes").cast("long").alias("volumes"), F.array_join("volumes.description", ",").alias("listed"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS inum, l_linenumber AS nth, min(l_partkey) AS addr, min(l_quantity)::BIGINT AS len, CASE WHEN min(l_returnflag) = 'R' THEN 'Sparse' WHEN min(l_returnflag) = 'N' AND l_linenumber = 2 THEN 'Filler' ELSE '' END AS flags
+FROM lineitem GROUP BY l_orderkey, l_linenumber), e AS (SELECT *, CASE WHEN flags = 'Filler' THEN 0 ELSE len END * 512 AS own, (sum(CASE WHEN flags = 'Filler' THEN 0 ELSE len END * 512) OVER (PARTITION BY inum ORDER BY nth))::BIGINT AS file_end FROM r)
+SELECT inum, nth, file_end - own AS file_begin, file_end, CASE WHEN flags <> 'Sparse' THEN addr END AS disk_begin, CASE WHEN flags <> 'Sparse' THEN addr + len END AS disk_end,
+file_end - greatest(file_end - own, least(file_end, 20000)) AS slack FROM e""")
+def data_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of an order as the data runs of a file."""
+    kind = F.when(F.min("l_returnflag") == "R", "Sparse").when((F.min("l_returnflag") == "N") & (F.col("nth") == 2), "Filler").otherwise("")
+    li = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_orderkey": "inum", "l_linenumber": "nth"})
+    runs = li.groupBy("inum", "nth").agg(F.min("l_partkey").alias("addr"), F.min("l_quantity").cast("long").alias("len"), kind.alias("flags")).withColumn("init_size", F.lit(20_000))
+    return run_layout(runs, 512)

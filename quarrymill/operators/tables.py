@@ -77,3 +77,16 @@ def unclaimed(claimed: DataFrame, allocated: DataFrame, by: list[str], stretch:
     begin = F.greatest("begin", "from", F.col("cell") * stretch).alias("begin")
     end = F.least("end", "to", (F.col("cell") + 1) * stretch).alias("end")
     return merge_ranges(met.select(*by, "inum", begin, end), [*by, "inum"])
+
+
+def run_layout(runs: DataFrame, block_size: int = 4096) -> DataFrame:
+    """Where the data runs of a file lie in it (inum, nth, addr, len, flags, init_size): file_begin and file_end in bytes, disk_begin and disk_end in blocks,
+    and slack, the bytes of the run behind the initialised size. Filler runs take no room in the file; sparse ones have no blocks."""
+    own = F.when(F.col("flags") == "Filler", 0).otherwise(F.col("len")) * block_size
+    end = F.sum(own).over(Window.partitionBy("inum").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
+    placed = runs.withColumn("file_end", end).withColumn("file_begin", F.col("file_end") - own)
+    blocks = F.col("flags") != "Sparse"
+    return placed.select(
+        "inum", "nth", "file_begin", "file_end", F.when(blocks, F.col("addr")).alias("disk_begin"), F.when(blocks, F.col("addr") + F.col("len")).alias("disk_end"),
+        (F.col("file_end") - F.greatest("file_begin", F.least("file_end", "init_size"))).alias("slack"),
+    )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 #: White space of the contracts: space and the controls from tab to carriage return.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+_staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +37,18 @@ def stage(df: DataFrame, name: str = "stage", by: str | None = None) -> DataFram
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.append(path)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete what stage() has written in this process. Only for when no result that was made from it is read any more."""
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20) -> None:
     """Hand Python workers at most so many rows and (where Spark can count them) bytes at a time, so that their memory is bounded
     however long the texts are. Stricter settings of the session stay."""

@@ -69,29 +69,40 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
+def bit_planes(rows: np.ndarray) -> np.ndarray:
+    """Bits of n rows of bytes, stored vertically: one row of words for each bit place, a word having a bit for each of 64 lanes; one more word of zeros."""
+    n, size = rows.shape
+    planes = np.zeros((8 * size, 8 * (-(-n // 64) + 1)), np.uint8)
+    for i in range(0, n, 8192):
+        some = np.packbits(np.unpackbits(rows[i : i + 8192], axis=1, bitorder="little").T, axis=1, bitorder="little")
+        planes[:, i // 8 : i // 8 + some.shape[1]] = some
+    return planes.view("<u8")
+
+
 def close_pairs(planes: np.ndarray, run: np.ndarray, radius: int = RADIUS, look: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes i < j of lanes of the same run whose bits differ in at most `radius` places; run is sorted.
+    """Indexes i < j of lanes of the same run whose bits differ in at most `radius` places; run is sorted, planes as bit_planes() makes them.
 
-    planes: one row of bits for each place, a multiple of 8 of them. Every lane is compared with the lane `shift` further on, for all
-    shifts. Eight planes at a time go through a tree of carry-save adders into a vertical counter; after each `look` planes, blocks
-    of 64 lanes of which all are beyond the radius are given up.
+    Every lane is compared with the lane `shift` further on, for all shifts: a shift of the words. Eight planes at a time go through a
+    tree of carry-save adders into a vertical counter; after each `look` planes, blocks of 64 lanes of which all are beyond the radius are given up.
     """
-    last = np.searchsorted(run, run, side="right")
-    lanes, shift = np.arange(planes.shape[1]), 0
-    while True:
-        shift += 1
-        lanes = lanes[lanes + shift < last[lanes]]
-        if not len(lanes):
-            return
-        words = -(-len(lanes) // 64)
-        differ = np.zeros((len(planes), words * 8), np.uint8)
-        packed = np.packbits(planes[:, lanes] ^ planes[:, lanes + shift], axis=1, bitorder="little")
-        differ[:, : packed.shape[1]] = packed
-        differ = differ.view("<u8")
-        block = np.arange(words)
-        counter = [np.zeros(words, np.uint64) for _ in range(len(planes).bit_length())]
+    n, words = len(run), planes.shape[1] - 1
+    reach = np.searchsorted(run, run, side="right") - np.arange(n) - 1
+    for shift in range(1, int(reach.max(initial=0)) + 1):
+        valid = np.zeros(8 * words, np.uint8)
+        bits = np.packbits(reach >= shift, bitorder="little")
+        valid[: len(bits)] = bits
+        valid = valid.view("<u8")
+        block = np.flatnonzero(valid)
+        valid = valid[block]
+        by, rest = divmod(shift, 64)
+        low, high = np.minimum(block + by, words), np.minimum(block + by + 1, words)
+        counter = [np.zeros(len(block), np.uint64) for _ in range(len(planes).bit_length())]
         for k in range(0, len(planes), 8):
-            x = differ[k : k + 8, block] if len(block) < words else differ[k : k + 8]
+            some = planes[k : k + 8]
+            x = some[:, low] >> np.uint64(rest)
+            if rest:
+                x |= some[:, high] << np.uint64(64 - rest)
+            x ^= some[:, block]
             ones, a = _add(counter[0], x[0], x[1])
             ones, b = _add(ones, x[2], x[3])
             twos, c = _add(counter[1], a, b)
@@ -102,23 +113,22 @@ def close_pairs(planes: np.ndarray, run: np.ndarray, radius: int = RADIUS, look:
             for i in range(3, len(counter)):
                 counter[i], carry = counter[i] ^ carry, counter[i] & carry
             if (k + 8) % look == 0 and k + 8 > radius:
-                keep = ~_above(counter, radius) != 0
+                keep = (~_above(counter, radius) & valid) != 0
                 if not keep.all():
-                    block, counter = block[keep], [v[keep] for v in counter]
+                    block, low, high, valid, counter = block[keep], low[keep], high[keep], valid[keep], [v[keep] for v in counter]
                 if not len(block):
                     break
         if len(block):
-            near = ~_above(counter, radius)
+            near = ~_above(counter, radius) & valid
             row, col = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
-            at = block[row] * 64 + col
-            at = lanes[at[at < len(lanes)]]
-            if len(at):
+            if len(row):
+                at = block[row] * 64 + col
                 yield at, at + shift
 
 
 def linked(planes: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
     """For each lane the least lane of its run that it is linked to, directly or over others."""
-    label, pairs, held = np.arange(planes.shape[1]), [], 0
+    label, pairs, held = np.arange(len(run)), [], 0
     for i, j in close_pairs(planes, run, radius, 8 if len(planes) < 64 else 32):
         pairs.append((i, j))
         held += len(i)
@@ -152,8 +162,7 @@ def _forest(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
     first, second = np.array(FREE, np.uint64)[table].T * np.uint64(8)
     bits = fp.view(np.uint64)
     values = ((bits >> first) & np.uint64(255)) | (((bits >> second) & np.uint64(255)) << np.uint64(8))
-    planes = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little").T
-    label = linked(planes, run, RADIUS)
+    label = linked(bit_planes(values.astype("<u2").view(np.uint8).reshape(-1, 2)), run, RADIUS)
     moved = label != np.arange(len(fp))
     return pd.DataFrame({"a": fp[moved], "b": fp[label[moved]]})
 

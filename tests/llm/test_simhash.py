@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.components import connected_components
 from quarrymill.llm.near_copies import keep_representatives, near_copies, wide_fingerprint
-from quarrymill.llm.simhash import close_pairs, fingerprint, op6_simhash_components, simhash_components
+from quarrymill.llm.simhash import bit_planes, close_pairs, fingerprint, op6_simhash_components, simhash_components
 
 
 def brute_components(rows):
@@ -45,7 +45,7 @@ def test_fingerprint_is_what_spark_hashes(spark):
 def test_close_pairs(rows):
     rows = sorted(rows)
     values, run = np.array([v for _, v in rows], np.uint64), np.array([r for r, _ in rows], np.int64)
-    planes = np.unpackbits(values.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little").T
+    planes = bit_planes(values.astype("<u2").view(np.uint8).reshape(-1, 2))
     found = {(a, b) for i, j in close_pairs(planes, run) for a, b in zip(i.tolist(), j.tolist())} if rows else set()
     assert found == {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if run[i] == run[j] and (rows[i][1] ^ rows[j][1]).bit_count() <= 2}
 
@@ -94,7 +94,7 @@ def test_close_pairs_of_wide_fingerprints(seed, radius):
     centre = draw.integers(0, 2, (3, 256))
     lanes = (centre[draw.integers(0, 3, 90)] ^ (draw.random((90, 256)) < 0.08)).astype(np.uint8)
     run = np.sort(draw.integers(0, 2, 90))
-    found = {(a, b) for i, j in close_pairs(lanes.T, run, radius, 32) for a, b in zip(i.tolist(), j.tolist())}
+    found = {(a, b) for i, j in close_pairs(bit_planes(np.packbits(lanes, axis=1, bitorder="little")), run, radius, 32) for a, b in zip(i.tolist(), j.tolist())}
     assert found == {(i, j) for i in range(90) for j in range(i + 1, 90) if run[i] == run[j] and (lanes[i] ^ lanes[j]).sum() <= radius}
 
 

@@ -17,11 +17,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import read_table, stage
+from quarrymill.llm.common import bound_batches, read_table, stage
 
 WINDOW = 1024
 #: Expected number of tails in a shard of the index, and the most that are indexed together.
-SHARD, BLOCK = 1_000, 4_000
+SHARD, BLOCK = 1_000, 2_000
 K1, B = 1.2, 0.75
 #: Id that ends each document.
 END = 0
@@ -49,16 +49,18 @@ def default_ranks() -> str:
 def _cutter(ranks: str, window: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, first, made = encoder(ranks).encode_ordinary, TaskContext.get().partitionId() << 32, 0
+        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "tail"]
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                ids = np.array([*encode(text), END] if isinstance(text, str) else [END], "<u4")
+                ids = encode(text) if isinstance(text, str) else []
+                ids.append(END)
+                whole = np.array(ids, "<u4").tobytes()
                 for at in range(0, len(ids), window):
-                    part = ids[at : at + window]
-                    full = len(part) == window
-                    rows.append((doc_id, at, len(part), part.tobytes(), len(ids), 2 * (first + made) if full else None))
-                    made += full
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id"]).astype({"sequence_id": "Int64", "doc_id": b["doc_id"].dtype})
+                    tail = len(ids) - at < window
+                    rows.append((doc_id, at, min(window, len(ids) - at), whole[4 * at : 4 * (at + window)], len(ids), -1 if tail else 2 * (first + made), tail))
+                    made += not tail
+            yield pd.DataFrame(rows, columns=names)
 
     return cut
 
@@ -99,10 +101,18 @@ class Index:
         size = np.array([len(t) for t in tails])[doc]
         weight = np.log1p((there - frequency[term] + 0.5) / (frequency[term] + 0.5)) * count * (K1 + 1) / (count + K1 * (1 - B + B * size / mean))
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight, self.size = doc[order].astype(np.int32), weight[order].astype(np.float32), len(tails)
-        vocabulary, first = np.unique(term[order], return_index=True)
-        self.first, self.count = first, np.diff(np.append(first, len(term)))
+        vocabulary, place = np.unique(term[order], return_inverse=True)
+        self.doc, self.weight, self.entry, self.size = doc[order].astype(np.int32), weight[order].astype(np.float32), place.astype(np.int32), len(tails)
         self.place = [np.searchsorted(vocabulary, t) for t in self.terms]
+        self.count = np.bincount(self.entry, minlength=len(vocabulary))
+        self.first = np.cumsum(self.count) - self.count
+
+    def keep(self, open_: np.ndarray) -> None:
+        """Drop the postings of tails that are used up."""
+        there = open_[self.doc]
+        self.doc, self.weight, self.entry = self.doc[there], self.weight[there], self.entry[there]
+        self.count = np.bincount(self.entry, minlength=len(self.count))
+        self.first = np.cumsum(self.count) - self.count
 
     def scores(self, seed: int) -> np.ndarray:
         at = self.place[seed]
@@ -114,6 +124,7 @@ class Index:
 def fill_windows(tails: list[np.ndarray], index: Index, window: int) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as lists of (tail, start within it, length); each token of each tail is in exactly one."""
     start, left = np.zeros(len(tails), np.int64), np.array([len(t) for t in tails])
+    indexed = len(tails)
     for seed in range(len(tails)):
         if not left[seed]:
             continue
@@ -122,6 +133,9 @@ def fill_windows(tails: list[np.ndarray], index: Index, window: int) -> Iterator
         if room:
             score = np.where(left > 0, index.scores(seed) + 1e-9, 0.0)
             open_ = int((left > 0).sum())
+            if open_ < 0.75 * indexed:
+                index.keep(left > 0)
+                indexed = open_
             asked = 8
             while room and open_:
                 best = np.argpartition(-score, asked)[:asked] if asked < len(score) else np.arange(len(score))
@@ -177,11 +191,12 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, window: int = WIND
     """
     spark = docs.sparkSession
     ranks = ranks or default_ranks()
+    bound_batches(spark)
     asked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text")
-    cut = stage(asked.mapInPandas(_cutter(ranks, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long"), "cut")
-    tails = cut.where("sequence_id IS NULL").select("doc_id", "start", "ids", "doc_tokens", "length")
+    cut = stage(asked.mapInPandas(_cutter(ranks, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, tail boolean"), "cut", by="tail")
+    tails = cut.where("tail").select("doc_id", "start", "ids", "doc_tokens", "length")
     there, mean = tails.agg(F.count("*"), F.avg("length")).first()
-    whole = cut.where("sequence_id IS NOT NULL").withColumn("offset", F.lit(0).cast("long"))
+    whole = cut.where("not tail").drop("tail").withColumn("offset", F.lit(0).cast("long"))
     if not there:
         return whole
     # One count for each token of the vocabulary, whose size the tokenizer fixes.

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import read_table, shared_dir, slots, stage
+from quarrymill.llm.common import bound_batches, read_table, shared_dir, slots, stage
 
 MAGIC = b"\x1f\x8b\x08"
 #: Payloads below this many bytes are written again rather than revisited.
@@ -88,6 +88,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, roll: int = ROLL) ->
     ignored; an empty table gives no archive. Payloads are equal when SHA-1, XXH64 and length are.
     """
     spark = pages.sparkSession
+    bound_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     fs, top = _open(folder)
     fs.create_dir(top, recursive=True)

@@ -79,8 +79,9 @@ def bit_planes(rows: np.ndarray) -> np.ndarray:
     return planes.view("<u8")
 
 
-def close_pairs(planes: np.ndarray, run: np.ndarray, radius: int = RADIUS, look: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes i < j of lanes of the same run whose bits differ in at most `radius` places; run is sorted, planes as bit_planes() makes them.
+def close_pairs(planes: np.ndarray, run: np.ndarray, radius: int = RADIUS, look: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Indexes i < j of lanes of the same run whose bits differ in at most `radius` places, and in how many; run is sorted, planes as
+    bit_planes() makes them. One yield holds an index at most once on each side.
 
     Every lane is compared with the lane `shift` further on, for all shifts: a shift of the words. Eight planes at a time go through a
     tree of carry-save adders into a vertical counter; after each `look` planes, blocks of 64 lanes of which all are beyond the radius are given up.
@@ -122,14 +123,14 @@ def close_pairs(planes: np.ndarray, run: np.ndarray, radius: int = RADIUS, look:
             near = ~_above(counter, radius) & valid
             row, col = np.nonzero(np.unpackbits(near.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
             if len(row):
-                at = block[row] * 64 + col
-                yield at, at + shift
+                at, bit = block[row] * 64 + col, col.astype(np.uint64)
+                yield at, at + shift, sum((v[row] >> bit & np.uint64(1)).astype(np.int64) << i for i, v in enumerate(counter))
 
 
 def linked(planes: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
     """For each lane the least lane of its run that it is linked to, directly or over others."""
     label, pairs, held = np.arange(len(run)), [], 0
-    for i, j in close_pairs(planes, run, radius, 8 if len(planes) < 64 else 32):
+    for i, j, _ in close_pairs(planes, run, radius):
         pairs.append((i, j))
         held += len(i)
         if held > 1 << 20:

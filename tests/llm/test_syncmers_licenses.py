@@ -96,5 +96,12 @@ def test_licence_scan(spark, table, odd):
     assert told.where((notice != "") != (F.col("license") != "none")).count() == 0
 
 
+def test_every_template_is_told(spark, table):
+    scanner = licenses.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    rows = [(i, f"some words before\n{t}\nand after") for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(table(rows), scanner).collect()}
+    assert {i: found[i] for i in found} == {i: f for i, (f, _) in enumerate(licenses.TEMPLATES)}
+
+
 def test_licence_scan_of_nothing(none):
     assert licenses.scan_licenses(none, licenses.train(none)).count() == 0

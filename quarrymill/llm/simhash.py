@@ -25,6 +25,8 @@ RADIUS = 2
 FREE = list(combinations(range(8), RADIUS))
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SEED, SHINGLE = 42, 3
+#: Fingerprints that a task compares at a time; a bucket, of 65,536 at most, is never divided.
+LANES = 1 << 17
 
 
 def fingerprint(text: str | None) -> int:
@@ -169,21 +171,20 @@ def _forest(table: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Batches come sorted by table and key; what may be an unfinished bucket waits for the next batch."""
-    held: tuple | None = None
+    """Batches come sorted by bucket and key; what may be an unfinished bucket waits for more."""
+    held: list[tuple[np.ndarray, ...]] = []
     for b in batches:
-        cols = tuple(b[c].to_numpy() for c in ("bucket", "key", "fp"))
-        if held is not None:
-            cols = tuple(map(np.concatenate, zip(held, cols)))
-        table, key, _ = cols
-        if not len(key):
+        held.append(tuple(b[c].to_numpy() for c in ("bucket", "key", "fp")))
+        if sum(len(x[0]) for x in held) < LANES:
             continue
-        cut = len(key) - int(np.argmax(((table != table[-1]) | (key != key[-1]))[::-1])) if (table[0], key[0]) != (table[-1], key[-1]) else 0
-        held = tuple(c[cut:] for c in cols)
+        table, key, fp = map(np.concatenate, zip(*held))
+        last = (table == table[-1]) & (key == key[-1])
+        cut = int(np.argmax(last))
         if cut:
-            yield _forest(*(c[:cut] for c in cols))
-    if held is not None and len(held[0]):
-        yield _forest(*held)
+            yield _forest(table[:cut], key[:cut], fp[:cut])
+        held = [(table[cut:], key[cut:], fp[cut:])]
+    if sum(len(x[0]) for x in held):
+        yield _forest(*map(np.concatenate, zip(*held)))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

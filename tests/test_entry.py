@@ -28,4 +28,4 @@ def test_same_as_sql(spark, name):
     found = catalog.QUERIES[name](spark, SMALL)
     columns = sorted(found.columns)
     wanted = con.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({catalog.ORACLES[name]})").fetchall()
-    assert sorted(map(repr, found.select(*columns).toPandas().astype(object).where(lambda d: d.notna(), None).itertuples(index=False, name=None))) == sorted(map(repr, wanted))
+    assert sorted(map(repr, map(tuple, found.select(*columns).collect()))) == sorted(map(repr, wanted))

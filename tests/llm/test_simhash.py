@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.llm.components import connected_components
-from quarrymill.llm.near_copies import keep_representatives, near_copies, wide_fingerprint
+from quarrymill.llm.near_copies import DIFFERING, keep_representatives, near_copies, tables_for, wide_fingerprint
 from quarrymill.llm.simhash import bit_planes, close_pairs, fingerprint, op6_simhash_components, simhash_components
 
 
@@ -129,6 +129,13 @@ def test_a_large_group_of_near_copies(table):
     assert all(found[5000 + i] == 5000 + i for i in range(20))
 
 
+@pytest.mark.parametrize("there", [1, 10**4, 10**7, 10**10])
+def test_tables_let_close_pairs_meet(there):
+    key, tables = tables_for(there)
+    assert 8 <= key <= 48 and there / 2**key <= 256
+    assert 1 - (1 - (1 - DIFFERING) ** key) ** tables >= 0.99
+
+
 def test_wide_fingerprint_of_nothing():
     assert not wide_fingerprint(None).any() and not wide_fingerprint(" \t").any() and wide_fingerprint("a").any()
 

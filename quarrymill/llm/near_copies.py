@@ -1,39 +1,80 @@
-"""Near copies: texts that share 0.8 or more of their five-word shingles, found by wide SimHash fingerprints.
-
-A fingerprint of 64 bits and a radius of 2 (simhash.py) links texts that hardly differ. At a similarity of 0.8 a share of 0.15 of the bits is expected to differ, so this form takes
-256 bits and a radius of 52, where unrelated texts (128 +- 8 bits) never come. Candidates share a bucket in one of several tables, each keyed by a
-sample of the bits; the number of key bits grows with the logarithm of the corpus and the number of tables with it, so that buckets keep their size and a
-pair at 0.8 meets in some table with probability 0.99 or more. Buckets that are too full (large groups of near copies) are split on further bits of their
-sample: their members have so many neighbours that they stay linked. Within buckets the comparison is the bit-sliced one, and each fingerprint is
-linked with the nearest one and the nearest earlier one: at most two links for each, not all pairs. A link counts once the shingle sets of its two texts
-are compared.
+"""Near copies: texts that share 0.8 or more of their distinct five-word shingles. All such pairs are found, and none is linked otherwise.
+
+A text is the set of its shingles (64-bit hashes); texts of equal sets are one node. All sets are put in one order, shingles known to be common last. Of
+two sets that share 0.8 some shingle is among the first fifth of both, whatever the order, so nodes meet by the equality of such a shingle. Each pair
+that meets is compared by its whole sets, unless confirmed links already join the two: rounds first compare all nodes of a shingle with one of
+them, which joins large groups in few comparisons, and what is left open is compared pair by pair.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACE, bound_batches, let, slots, stage
+from quarrymill.llm.common import bound_batches, stage
 from quarrymill.llm.components import connected_components
-from quarrymill.llm.simhash import LOWER, bit_planes, close_pairs
-
-SHINGLE, BITS, RADIUS, SIMILARITY = 5, 256, 52, 0.8
-#: Share of bits that differ at similarity 0.8, and the share of such pairs that meet in some table.
-DIFFERING, MEETING = 0.152, 0.99
-#: Fingerprints in an ordinary bucket, on average and at most; a fuller one is keyed by all its sample of SAMPLE bits.
-AVERAGE, FULL, SAMPLE = 256, 1_024, 48
-#: Fingerprints that a task compares at a time.
-LANES = 1 << 17
+from quarrymill.llm.simhash import LOWER
+
+SHINGLE, BITS, SIMILARITY = 5, 256, 0.8
+#: Documents from which common shingles are learned, and how many of these at most. They only order the shingles: results do not depend on them.
+SAMPLE_DOCS, MOST_COMMON = 4_000, 1 << 17
+#: Open pairs for each row that are compared without a further round.
+OPEN = 8
+#: For wide_fingerprint and tables_for, which near_copies does not use.
+DIFFERING, MEETING, AVERAGE, SAMPLE = 0.152, 0.99, 256, 48
 FP = tuple(f"f{i}" for i in range(BITS // 64))
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles of a text, A to Z in lower case; of fewer words (or none) the whole sequence is one."""
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    digest = xxhash.xxh3_64_intdigest
+    if len(words) <= SHINGLE:
+        hashes = [digest(b" ".join(words))]
+    else:
+        joined = b" ".join(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(size + 1) - 1
+        hashes = [digest(joined[a:b]) for a, b in zip((end - size)[: 1 - SHINGLE].tolist(), end[SHINGLE - 1 :].tolist())]
+    return np.unique(np.array(hashes, np.uint64)).view(np.int64)
+
+
+def _name(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of a bounded sample of texts have, sorted, and in how many."""
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("shingles")), 1).cast("double") / float(1 << 63)
+    some = docs.where(draw < SAMPLE_DOCS / max(1, docs.count())).select("text")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for text in b["text"]:
+                yield pd.DataFrame({"shingle": shingle_set(text)})
+
+    rows = some.mapInPandas(sets, "shingle long").groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
+    rows = rows.sort_values("shingle")
+    return rows["shingle"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def first_shingles(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Those of which a set with the share `similarity` in common has at least one among its own: the first by (known frequency, hash)."""
+    known, often = common
+    rank = np.zeros(len(shingles), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+        rank = np.where(known[at] == shingles, often[at], 0)
+    return shingles[np.argsort(rank, kind="stable")[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
+
+
 def wide_fingerprint(text: str | None) -> np.ndarray:
     """256 bits as four unsigned numbers; a bit is set if over half of the shingles' hashes have it set. No words: zeros."""
     words = (text or "").encode().translate(LOWER).split()
@@ -50,97 +91,51 @@ def wide_fingerprint(text: str | None) -> np.ndarray:
     return np.packbits(2 * counts > len(spans), bitorder="little").view("<u8")
 
 
-def _fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        bits = np.array([wide_fingerprint(t) for t in b["text"]], np.uint64).reshape(-1, len(FP)).view(np.int64)
-        yield pd.DataFrame({"doc_id": b["doc_id"], **{c: bits[:, i] for i, c in enumerate(FP)}})
-
-
 def tables_for(there: int) -> tuple[int, int]:
     """Key bits and number of tables for so many fingerprints."""
     key = min(SAMPLE, max(8, math.ceil(math.log2(max(there, 2) / AVERAGE))))
     return key, math.ceil(math.log(1 - MEETING) / math.log(1 - (1 - DIFFERING) ** key))
 
 
-def _bytes(b: pd.DataFrame) -> np.ndarray:
-    return np.column_stack([b[c].to_numpy(np.int64) for c in FP]).astype("<i8").view(np.uint8)
+def _open(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Rows of shingles whose nodes are not all joined yet, with the root of each node."""
+    if roots is None:
+        rows = rows.withColumn("root", F.col("uid"))
+    else:
+        rows = rows.drop("root").join(roots.hint("shuffle_hash"), F.col("uid") == F.col("node"), "left").select("shingle", "uid", "n", "at", F.coalesce("root", "uid").alias("root"))
+    apart = rows.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
+    return stage(rows.join(apart.hint("shuffle_merge"), "shingle"), "open")
 
 
-def _spreader(tables: int):
-    """Rows for each table, with the sample of the bits that it is keyed by, as a number of SAMPLE bits."""
+def _may_share(similarity: float, other: str):
+    """Whether the shingle can be the first one in common of two sets that share enough: as many have to be left behind it on both sides."""
+    left = 1 + F.least(F.col("n") - F.col("at"), F.col(f"{other}n") - F.col(f"{other}at"))
+    return left >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col(f"{other}n")) - 1e-6
 
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            bits, draw = np.unpackbits(_bytes(b), axis=1, bitorder="little"), np.random.default_rng(1)
-            for t in range(tables):
-                sample = np.zeros(len(b), np.int64)
-                for place in draw.permutation(BITS)[:SAMPLE]:
-                    sample = sample << 1 | bits[:, place]
-                yield b.assign(bucket=np.int32(t), sample=sample)
-
-    return spread
-
-
-def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links within each bucket; rows come sorted by bucket, and what may be an unfinished bucket waits."""
-    held: list[pd.DataFrame] = []
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        key = rows[["bucket", "key"]].to_numpy(np.int64)
-        run = np.cumsum(np.append(True, (key[1:] != key[:-1]).any(1)))
-        # A bucket that is too full even with all bits of its sample is compared in pieces; other tables link the pieces.
-        nth = np.arange(len(run)) - np.searchsorted(run, run, side="left")
-        run = np.cumsum(np.append(True, (run[1:] != run[:-1]) | (nth[1:] % FULL == 0)))
-        none = np.iinfo(np.int64).max
-        nearest, earlier, uid = np.full(len(run), none), np.full(len(run), none), rows["uid"].to_numpy()
-        for i, j, differing in close_pairs(bit_planes(_bytes(rows)), run, RADIUS, 32):
-            nearest[i] = np.minimum(nearest[i], differing << 32 | j)
-            nearest[j] = np.minimum(nearest[j], differing << 32 | i)
-            earlier[j] = np.minimum(earlier[j], differing << 32 | i)
-        links = [(uid[x != none], uid[x[x != none] & 0xFFFFFFFF]) for x in (nearest, earlier)]
-        a, b = (np.concatenate(side) for side in zip(*links))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    for b in batches:
-        if not len(b):
-            continue
-        held.append(b)
-        if sum(map(len, held)) < LANES:
-            continue
-        rows = pd.concat(held, ignore_index=True)
-        last = ((rows["bucket"] == rows["bucket"].iat[-1]) & (rows["key"] == rows["key"].iat[-1])).to_numpy()
-        cut = len(rows) - int(np.argmin(last[::-1])) if not last.all() else len(rows)
-        yield compare(rows.iloc[:cut])
-        held = [rows.iloc[cut:]] if cut < len(rows) else []
-    if held:
-        yield compare(pd.concat(held, ignore_index=True))
-
-
-def shingles_of(text: Column) -> Column:
-    """Hashes of the distinct five-word shingles of a text, A to Z in lower case; of fewer words the whole sequence is one."""
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    words = F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), upper, lower), f"[{SPACE}]+"), lambda w: w != "")
-    last = lambda w: F.greatest(F.size(w) - (SHINGLE - 1), F.lit(1))
-    return let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), last(w)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(SHINGLE)), " ")))))
-
-
-def confirmed(edges: DataFrame, docs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose texts share `similarity` of their shingles. Only texts at an edge are read into sets. Edges of fingerprints that
-    no row with a doc_id has are taken as they are."""
-    named = distinct.select("uid", "least_id").join(edges.select(F.col("a").alias("uid")).union(edges.select("b")).distinct(), "uid")
-    known = stage(named, "named")
-    # The number of texts at edges grows with the corpus: dealt out by id at every size, never broadcast.
-    at_edges = known.where("least_id IS NOT NULL").hint("shuffle_hash")
-    sets = docs.join(at_edges, F.col("doc_id") == F.col("least_id")).select("uid", shingles_of(F.col("text")).alias("shingles"))
-    sets = stage(sets, "sets")
-    left, right = (sets.select(F.col("uid").alias(side), F.col("shingles").alias(f"of_{side}")) for side in "ab")
+
+def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    left, right = (sets.select(F.col("uid").alias(side), F.col("shingles").alias(f"of_{side}")).hint("shuffle_merge") for side in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     close = shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)
-    found = edges.join(left, "a").join(right, "b").where(close).select("a", "b")
-    blank = known.where("least_id IS NULL").select("uid")
-    if blank.isEmpty():
-        return found
-    return found.union(edges.join(blank, F.col("a") == F.col("uid"), "left_semi").select("a", "b")).union(edges.join(blank, F.col("b") == F.col("uid"), "left_semi").select("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where(close).select("a", "b")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """uid and shingles of the wanted nodes (uid, name, least_id): texts are found by doc_id, those without one by their sets."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b["text"]]
+            yield pd.DataFrame({"name": [_name(s) for s in sets], "shingles": sets})
+
+    # The number of wanted texts grows with the corpus: dealt out by id at every size, never broadcast.
+    ids = wanted.where("least_id IS NOT NULL").select(F.col("least_id").alias("doc_id")).distinct().hint("shuffle_hash")
+    texts = docs.join(ids, "doc_id", "left_semi").select("text")
+    if not wanted.where("least_id IS NULL").isEmpty():
+        texts = texts.union(docs.where("doc_id IS NULL").select("text"))
+    # Repeated rows and rows that share an id with a wanted one fall away by the name.
+    found = texts.mapInPandas(told, "name binary, shingles array<long>").join(wanted.select("name", "uid").hint("shuffle_hash"), "name")
+    return stage(found.groupBy("uid").agg(F.first("shingles").alias("shingles")), "sets")
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -149,23 +144,52 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     component_id: the smallest doc_id that is reachable over texts that share `similarity` of their shingles; null only if no row of the component has a
     doc_id. Texts without words link with each other. Repeated rows get equal results. Extra columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in FP)
-    marked = stage(docs.select("doc_id", "text").mapInPandas(_fingerprints, shape), "wide")
-    distinct = stage(marked.groupBy(*FP).agg(F.min("doc_id").alias("least_id")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    key_bits, tables = tables_for(distinct.count())
-    shape = "uid long, " + ", ".join(f"{c} long" for c in FP) + ", bucket int, sample long"
-    spread = distinct.select("uid", *FP).mapInPandas(_spreader(tables), shape).withColumn("key", F.shiftright("sample", SAMPLE - key_bits))
-    full = stage(spread.groupBy("bucket", "key").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("bucket", "key", F.lit(True).alias("full")), "full")
-    # Keys of full buckets are the whole sample, made negative so that they meet no other key.
-    keyed = spread.join(full, ["bucket", "key"], "left").withColumn("key", F.when(F.col("full"), -1 - F.col("sample")).otherwise(F.col("key"))).drop("full", "sample")
-    edges = keyed.repartition(slots(spark), "bucket", "key").sortWithinPartitions("bucket", "key", *FP).mapInPandas(_edges, "a long, b long")
-    edges = stage(edges.distinct(), "links")
-    roots = connected_components(confirmed(edges, docs.select("doc_id", "text"), distinct, similarity))
-    rooted = stage(distinct.join(roots, F.col("uid") == F.col("node"), "left").select(*FP, "least_id", F.coalesce("root", "uid").alias("root")), "rooted")
-    named = stage(rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select(*FP, "component_id"), "named")
-    return marked.join(named, list(FP)).select("doc_id", "component_id")
+    bound_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [shingle_set(t) for t in b["text"]]
+            first = [first_shingles(s, common.value, similarity) for s in sets]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "first": first})
+
+    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, name binary, n int, first array<long>"
+    marked = stage(docs.mapInPandas(mark, shape), "marked")
+    distinct = marked.groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("first").alias("first"))
+    distinct = stage(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    rows = distinct.select("uid", "n", F.posexplode("first").alias("at", "shingle")).select("shingle", "uid", "n", (F.col("at") + 1).alias("at"))
+    rows = _open(rows, None)
+    nodes = distinct.select("uid", "name", "least_id")
+    sets = _sets(docs, nodes.join(rows.select("uid").distinct().hint("shuffle_hash"), "uid", "left_semi"))
+    links: DataFrame | None = None
+    turn, before = 0, math.inf
+    while not rows.isEmpty():
+        sizes = rows.groupBy("shingle", "root").agg(F.count("*").alias("c")).groupBy("shingle").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+        there, pairs = sizes.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("own")) / 2)).first()
+        # A round that leaves more than three quarters of the pairs open was the last: the rest is compared pair by pair.
+        last = pairs <= OPEN * there or pairs > 0.75 * before
+        if last:
+            others = rows.select("shingle", *[F.col(c).alias(f"_{c}") for c in ("uid", "n", "at", "root")])
+        else:
+            one = F.min_by(F.struct("uid", "n", "at", "root"), F.xxhash64("uid", F.lit(turn)))
+            others = rows.groupBy("shingle").agg(one.alias("o")).select("shingle", *[F.col(f"o.{c}").alias(f"_{c}") for c in ("uid", "n", "at", "root")])
+        met = rows.join(others.hint("shuffle_merge"), "shingle").where(F.col("root") != F.col("_root")).where(_may_share(similarity, "_"))
+        if last:
+            met = met.where("uid < _uid")
+        met = met.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct()
+        found = stage(_confirm(met, sets, similarity), "links")
+        links = found if links is None else links.union(found)
+        if last:
+            break
+        rows = _open(rows, connected_components(links))
+        turn, before = turn + 1, pairs
+    if links is None:
+        links = docs.sparkSession.createDataFrame([], "a long, b long")
+    roots = connected_components(links)
+    rooted = stage(distinct.join(roots, F.col("uid") == F.col("node"), "left").select("name", "least_id", F.coalesce("root", "uid").alias("root")), "rooted")
+    named = stage(rooted.join(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("name", "component_id"), "named")
+    return marked.select("doc_id", "name").join(named, "name").select("doc_id", "component_id")
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:

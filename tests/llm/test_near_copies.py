@@ -62,3 +62,19 @@ def test_families_at_the_edge_of_similarity(table):
     expected = brute(rows)
     assert 60 < len(set(expected.values())) < 340
     assert told(table, rows) == expected
+
+
+def test_repeated_words_and_short_texts(table):
+    """One shingle is over half of all: the rest still counts. Distinct shingles count once. Four of five shingles are 0.8."""
+    draw = random.Random(5)
+    some = lambda n: " ".join(f"w{draw.randrange(10**7)}" for _ in range(n))
+    rows = [(i, "spam " * 200 + some(12)) for i in range(6)]
+    base = some(60)
+    rows += [(10, base + " aa bb" * 300), (11, base + " aa bb" * 9), (12, base + " cc dd" * 300)]
+    for i in range(20, 40, 2):
+        words = some(9)
+        rows += [(i, words), (i + 1, words.rsplit(" ", 1)[0])]
+    expected = brute(rows)
+    assert expected[5] == 5 and expected[11] == 10
+    assert all(expected[i + 1] == i for i in range(20, 40, 2))
+    assert told(table, rows) == expected

@@ -4,7 +4,8 @@ For each language a suffix automaton of a bounded sample of labelled text is bui
 each phrase is the longest match that starts where the last one ended. Phrases times the bits to point into the
 sample, per character, estimate the cross entropy; the language with the least wins. The automata are made into one table of
 (state, character class) -> state whose lowest bit marks the start of a phrase, so a batch of texts is parsed by all
-languages at once, one gather per character position. Texts are parsed whole, in segments that phrases do not cross, so
+languages at once, one gather per character position. Only the most frequent characters have a column there; moves by all other characters of the
+samples are searched in a sorted list, so every character counts and memory is bounded by the samples. Texts are parsed whole, in segments that phrases do not cross, so
 that lanes have a bounded length.
 """
 
@@ -29,10 +30,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 @dataclass
 class Parser:
     languages: list[str]
-    classes: np.ndarray  # of each code point of the basic plane; 0 for all others
+    classes: np.ndarray  # of each code point, from 1 on, the most frequent first; 0 if no sample has it
+    k: int  # classes below k have a column in the table
     table: np.ndarray  # [state * k + class] -> next state * k, shifted left by one, plus 1 at the start of a phrase
     roots: np.ndarray  # states to start from
     bits: np.ndarray  # to point into each sample
+    moves: np.ndarray  # sorted (state << 21 | class) of all moves by other classes
+    to: np.ndarray  # where each leads, as in the table
+    tops: np.ndarray  # state of each language whose moves begin a phrase
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -70,32 +75,39 @@ def _plain(text: str) -> str:
 
 
 def build_parser(samples: dict[str, str], most_classes: int = 64) -> Parser:
-    """samples: text by language. Characters beyond the most frequent ones of all samples share class 0, which no sample has."""
+    """samples: text by language. The most_classes - 1 most frequent characters of all samples are looked up in a table, the others in a sorted list."""
     plain = {k: _plain(v) for k, v in sorted(samples.items()) if _plain(v)}
     seen = Counter()
     for v in plain.values():
-        seen.update(c for c in v if ord(c) < 1 << 16)
-    letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: most_classes - 1]]
-    classes = np.zeros(1 << 16, np.uint8)
+        seen.update(v)
+    letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+    classes = np.zeros(0x110000, np.int32)
     classes[[ord(c) for c in letters]] = range(1, len(letters) + 1)
-    k, tables, roots, base = len(letters) + 1, [], [], 0
+    k, tables, roots, base, tops, sparse = min(len(letters) + 1, most_classes), [], [], 0, [], {}
     for v in plain.values():
-        codes = [c for c in classes[np.minimum(_points(v), (1 << 16) - 1)].tolist() if c]
-        go = suffix_automaton(codes)
+        go = suffix_automaton(classes[_points(v)].tolist())
         # Where a phrase begins: behind its first character, or, if the sample lacks that, in a last state that every character leaves for a new phrase.
         fresh = np.full(k, len(go), np.int64)
         for c, to in go[0].items():
-            fresh[c] = to
+            if c < k:
+                fresh[c] = to
         table = np.tile(((fresh + base) * k << 1) + 1, (len(go) + 1, 1))
         for s, moves in enumerate(go):
-            table[s, list(moves)] = [(to + base) * k << 1 for to in moves.values()]
+            near = {c: to for c, to in moves.items() if c < k}
+            table[s, list(near)] = [(to + base) * k << 1 for to in near.values()]
+            # No lane is ever in state 0: its moves are those that begin a phrase.
+            sparse.update({(s + base) << 21 | c: ((to + base) * k << 1) + (s == 0) for c, to in moves.items() if c >= k})
         if table.max(initial=0) >= 1 << 31:
             raise ValueError("samples are too long for this many languages")
         tables.append(table.astype(np.int32).ravel())
         roots.append((base + len(go)) * k)
+        tops.append(base)
         base += len(go) + 1
+    moves = np.array(sorted(sparse), np.int64)
+    to = np.array([sparse[m] for m in moves.tolist()], np.int32)
     bits = np.log2([max(2, len(v)) for v in plain.values()])
-    return Parser(list(plain), classes, np.concatenate(tables) if tables else np.zeros(0, np.int32), np.array(roots, np.int32), bits)
+    whole = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+    return Parser(list(plain), classes, k, whole, np.array(roots, np.int32), bits, moves, to, np.array(tops, np.int64))
 
 
 def _points(text: str) -> np.ndarray:
@@ -105,9 +117,11 @@ def _points(text: str) -> np.ndarray:
 def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
     """Phrases of each text (rows) for each language (columns)."""
     out = np.zeros((len(texts), len(parser.languages)), np.int64)
-    codes = [parser.classes[np.where(p < 1 << 16, p, 0xFFFF)] for p in map(_points, texts)]
+    codes = [parser.classes[p] for p in map(_points, texts)]
     size = np.fromiter(map(len, codes), np.int64, len(codes))
-    whole = np.concatenate(codes) if len(codes) else np.zeros(0, np.uint8)
+    whole = np.concatenate(codes) if len(codes) else np.zeros(0, np.int32)
+    rare = whole >= parser.k
+    column, any_rare = np.where(rare, 0, whole), bool(rare.any())
     pieces = -(-size // SEGMENT)
     owner = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -121,7 +135,10 @@ def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
     for t in range(int(length.max(initial=0))):
         while left and length[left - 1] <= t:
             left -= 1
-        step = parser.table[state[:, :left] + whole[start[:left] + t]]
+        at = start[:left] + t
+        step = parser.table[state[:, :left] + column[at]]
+        if any_rare and len(lanes := np.flatnonzero(rare[at])):
+            step[:, lanes] = _rare_steps(parser, state[:, lanes], whole[at[lanes]])
         begun[:, :left] += step & 1
         state[:, :left] = step >> 1
     for i in range(len(parser.languages)):
@@ -129,6 +146,19 @@ def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
     return out
 
 
+def _rare_steps(parser: Parser, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """What the table would hold for classes that have no column: the move of the state, else that which begins a phrase, else a new phrase of its own."""
+
+    def find(states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keys = states << 21 | classes
+        at = np.minimum(np.searchsorted(parser.moves, keys), len(parser.moves) - 1)
+        return parser.moves[at] == keys, parser.to[at]
+
+    on, step = find(state.astype(np.int64) // parser.k)
+    begins, first = find(parser.tops[:, None])
+    return np.where(on, step, np.where(begins, first, (parser.roots[:, None] << 1) + 1))
+
+
 def predict(parser: Parser, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     """Language and score of each text. The score is h2 / (h1 + h2), with the two least entropies, from 0.5 on; 1 if only one language is known."""
     langs, score = ["und"] * len(texts), np.zeros(len(texts))

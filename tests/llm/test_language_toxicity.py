@@ -108,3 +108,18 @@ def test_held_out_toxicity(spark):
     pos, neg = [s for s, t in held if t], [s for s, t in held if not t]
     assert np.mean([(p > n) + (p == n) / 2 for p in pos for n in neg]) > 0.95
     assert np.mean([s >= 0.5 for s in neg]) < 0.01
+
+
+def test_characters_beyond_the_most_frequent_count():
+    """Many scripts, and languages of thousands of characters: each is told by the characters that only the order tells apart."""
+    draw = np.random.default_rng(8)
+    samples, texts = {"latin": "the cat sat on the mat and went home " * 900}, []
+    for n, first in enumerate((0x4E00, 0x4E00, 0xAC00, 0x20000)):
+        words = ["".join(chr(first + int(c)) for c in draw.integers(0, 1_500, 3)) for _ in range(400)]
+        samples[f"l{n}"] = " ".join(draw.choice(words, 3_000))
+        texts.append(" ".join(draw.choice(words, 30)))
+    parser = build_parser(samples)
+    assert predict(parser, texts)[0] == ["l0", "l1", "l2", "l3"]
+    few = {"a": "abab cab", "b": "bcbc dab é", "c": "éèü dcba"}
+    wide, narrow = build_parser(few), build_parser(few, 3)
+    assert np.array_equal(phrases(wide, ["abcdéè x", "dcba cab"]), phrases(narrow, ["abcdéè x", "dcba cab"]))

@@ -113,6 +113,19 @@ def _may_share(similarity: float, other: str):
     return left >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col(f"{other}n")) - 1e-6
 
 
+def _mask(shingles: np.ndarray) -> np.ndarray:
+    """512 bits, each the parity of the shingles that fall to it: two sets differ in as many shingles at least as their masks in bits."""
+    return np.packbits(np.bincount(shingles & 511, minlength=512) & 1, bitorder="little").view("<i8")
+
+
+def _not_too_far(pairs: DataFrame, masks: DataFrame, similarity: float) -> DataFrame:
+    """Without the pairs of which the masks show that they differ in too many shingles."""
+    for side in "ab":
+        pairs = pairs.join(masks.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("mask").alias(f"mask_{side}")).hint("shuffle_merge"), side)
+    differing = F.aggregate(F.zip_with("mask_a", "mask_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    return pairs.where(differing <= F.lit((1 - similarity) / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) + 1e-6).select("a", "b")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     left, right = (sets.select(F.col("uid").alias(side), F.col("shingles").alias(f"of_{side}")).hint("shuffle_merge") for side in "ab")
     shared = F.size(F.array_intersect("of_a", "of_b"))
@@ -152,16 +165,15 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t) for t in b["text"]]
             first = [first_shingles(s, common.value, similarity) for s in sets]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "first": first})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "name": [_name(s) for s in sets], "n": [len(s) for s in sets], "first": first, "mask": [_mask(s) for s in sets]})
 
-    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, name binary, n int, first array<long>"
+    shape = f"doc_id {dict(docs.dtypes)['doc_id']}, name binary, n int, first array<long>, mask array<long>"
     marked = stage(docs.mapInPandas(mark, shape), "marked")
-    distinct = marked.groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("first").alias("first"))
+    distinct = marked.groupBy("name").agg(F.min("doc_id").alias("least_id"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("mask").alias("mask"))
     distinct = stage(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
     rows = distinct.select("uid", "n", F.posexplode("first").alias("at", "shingle")).select("shingle", "uid", "n", (F.col("at") + 1).alias("at"))
     rows = _open(rows, None)
     nodes = distinct.select("uid", "name", "least_id")
-    sets = _sets(docs, nodes.join(rows.select("uid").distinct().hint("shuffle_hash"), "uid", "left_semi"))
     links: DataFrame | None = None
     turn, before = 0, math.inf
     while not rows.isEmpty():
@@ -178,6 +190,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if last:
             met = met.where("uid < _uid")
         met = met.select(F.least("uid", "_uid").alias("a"), F.greatest("uid", "_uid").alias("b")).distinct()
+        met = stage(_not_too_far(met, distinct.select("uid", "n", "mask"), similarity), "met")
+        # Whole sets only of nodes in pairs that are left.
+        ends = met.select(F.col("a").alias("uid")).union(met.select("b")).distinct()
+        sets = _sets(docs, nodes.join(ends.hint("shuffle_hash"), "uid", "left_semi"))
         found = stage(_confirm(met, sets, similarity), "links")
         links = found if links is None else links.union(found)
         if last:

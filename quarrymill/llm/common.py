@@ -17,12 +17,15 @@ _staged: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors reach: spark.checkpoint.dir, else (tests only) a local one."""
+    """Folder that the driver and all executors reach: spark.checkpoint.dir, or the session's checkpoint folder. Where neither is set, a local master gets a
+    folder of its own; on a cluster it raises ValueError, since executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if held is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrymill-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -58,6 +61,20 @@ def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters are in their names."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed so that no column of df has one of them."""
+    there = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in there for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

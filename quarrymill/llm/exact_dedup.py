@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACE, read_table, stage
+from quarrymill.llm.common import SPACE, columns, read_table, stage, unused
 
 #: A chunk ends behind the first sentence end from 512 characters on; without one, at 4096 characters.
 CHUNK = r"(?s).{512,4096}?(?<=[.!?;:。！？])|.{1,4096}"
@@ -74,16 +74,18 @@ def exact_duplicates(docs: DataFrame, name_bits: int = 64) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_duplicates() drops, with all their columns."""
+    sha, n = unused(docs, "sha", "n")
     decided = exact_duplicates(docs)
     keys = stage(
-        decided.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("n_chars").alias("_n")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")).where("_kept"),
+        decided.groupBy("doc_id", F.col("text_sha256").alias(sha), F.col("n_chars").alias(n)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept").select(F.col("doc_id").alias("kept_id"), sha, n, "rows"),
         "kept",
     )
-    marked = docs.withColumns({"_sha_of": F.sha2(normalised(), 256), "_n_of": F.char_length(F.coalesce("text", F.lit(""))).cast("long")})
-    kept = marked.join(keys, (F.col("_sha_of") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n_of") == F.col("_n")), "left_semi")
-    if not keys.where("_rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_sha_of", "_n_of"])
-    return kept.select(*docs.columns)
+    marked = docs.withColumns({sha: F.sha2(normalised(), 256), n: F.char_length(F.coalesce("text", F.lit(""))).cast("long")}).alias("d")
+    same = F.col(f"d.{sha}") == F.col(f"k.{sha}")
+    kept = marked.join(keys.alias("k"), same & F.col("d.doc_id").eqNullSafe(F.col("k.kept_id")) & (F.col(f"d.{n}") == F.col(f"k.{n}")), "left_semi")
+    if not keys.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", sha, n])
+    return kept.select(*columns(docs))
 
 
 def op4_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import bound_batches, read_table
+from quarrymill.llm.common import bound_batches, columns, read_table, unused
 
 SEGMENT = 2048
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -188,23 +188,25 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, chars: int = 60_000, excerpt: int = 500, max_languages: int = 50) -> Parser:
+def train(docs: DataFrame, chars: int = 60_000, excerpt: int = 500, total: int = 3_000_000) -> Parser:
     """Learn from documents that are not held out and have a language and a text.
 
     Bounded sample: about 2 * chars / excerpt documents per language, drawn by a hash of doc_id, the first `excerpt`
-    characters of each, `chars` characters per language in all. The most frequent max_languages languages are learned.
+    characters of each, `chars` characters per language in all, or an equal share of `total` if there are more languages than that allows. Every language is
+    learned. The driver holds one count per language.
     """
     usable = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
+    chars = min(chars, total // max(1, len(counts)))
+    excerpt = max(1, min(excerpt, chars))
     wanted = 2 * -(-chars // excerpt)
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 1).cast("double") / float(1 << 63)
-    share = F
-    for r in counts:
-        share = share.when(F.col("lang") == r["lang"], min(1.0, 2 * wanted / r["count"]))
     if not counts:
         return build_parser({})
-    rows = usable.where(draw < share).select("lang", F.substring("text", 1, excerpt).alias("text"), draw.alias("draw")).where(F.col("text").isNotNull())
-    rows = rows.limit(4 * wanted * len(counts)).collect()
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * wanted / r["count"])) for r in counts], "lang string, share double")
+    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", F.substring("text", 1, excerpt).alias("text"), draw.alias("draw")).where(F.col("text").isNotNull())
+    # The expected number is half of this.
+    rows = rows.orderBy("draw", "lang", "text").limit(4 * wanted * len(counts)).collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["lang"], r["text"])):
         if len(samples.get(r["lang"], "")) < chars:
@@ -213,7 +215,7 @@ def train(docs: DataFrame, chars: int = 60_000, excerpt: int = 500, max_language
 
 
 def _told(docs: DataFrame, parser: Parser) -> DataFrame:
-    """docs with a column _told of lang_pred and score."""
+    """docs with a last column, of a name that docs does not use, of lang_pred and score."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 
@@ -223,7 +225,7 @@ def _told(docs: DataFrame, parser: Parser) -> DataFrame:
             langs, score = predict(known, [t if isinstance(t, str) else None for t in b])
             yield pd.DataFrame({"lang_pred": langs, "score": score})
 
-    return docs.withColumn("_told", F.pandas_udf(tell, "struct<lang_pred:string,score:double>")("text"))
+    return docs.withColumn(unused(docs, "told")[0], F.pandas_udf(tell, "struct<lang_pred:string,score:double>")("text"))
 
 
 def identify_languages(docs: DataFrame, parser: Parser, columns: list[str] | None = None) -> DataFrame:
@@ -232,8 +234,9 @@ def identify_languages(docs: DataFrame, parser: Parser, columns: list[str] | Non
     `und` and score 0 for a text that is null or has no letter, and for all texts if no language was learned. Repeated rows get equal
     results. A column of docs that is called lang_pred or score is replaced.
     """
-    keep = [c for c in columns or docs.columns if c not in ("lang_pred", "score")]
-    return _told(docs, parser).select(*keep, "_told.lang_pred", "_told.score")
+    keep = [c for c in columns or [f"`{c}`" for c in docs.columns] if c.strip("`") not in ("lang_pred", "score")]
+    told = _told(docs, parser)
+    return told.select(*keep, f"{told.columns[-1]}.lang_pred", f"{told.columns[-1]}.score")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -241,7 +244,8 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     parser = train(docs)
     if not parser.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return _told(docs, parser).where(F.col("_told.lang_pred") != "und").select(*docs.columns)
+    told = _told(docs, parser)
+    return told.where(F.col(f"{told.columns[-1]}.lang_pred") != "und").select(*columns(docs))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

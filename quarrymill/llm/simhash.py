@@ -136,14 +136,15 @@ def linked(planes: np.ndarray, run: np.ndarray, radius: int) -> np.ndarray:
         pairs.append((i, j))
         held += len(i)
         if held > 1 << 20:
-            _unite(label, *map(np.concatenate, zip(*pairs)))
+            unite(label, *map(np.concatenate, zip(*pairs)))
             pairs, held = [], 0
     if pairs:
-        _unite(label, *map(np.concatenate, zip(*pairs)))
+        unite(label, *map(np.concatenate, zip(*pairs)))
     return label
 
 
-def _unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+def unite(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Give both ends of every edge (i, j) the least label of what the edges join."""
     while True:
         a, b = label[i], label[j]
         open_ = a != b

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import bound_batches, read_table
+from quarrymill.llm.common import bound_batches, read_table, unused
 from quarrymill.llm.language_id import held_out
 
 BITS = 20
@@ -90,16 +90,16 @@ def ftrl(rows: list[tuple[str | None, int]], alpha: float = 1.0, beta: float = 1
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000) -> Model:
     """Learn from labelled documents that are not held out, whole texts.
 
-    Bounded sample: about max_rows labelled documents (3/2 of that at most), drawn by a hash of doc_id; all of them if there are fewer. The sample is trained
-    on in one task, in the order of the hash, so that reruns agree. Null labels are left out.
+    Bounded sample: about max_rows labelled documents (3/2 of that at most, the first by the draw), drawn by a hash of doc_id; all of them if there are fewer. The
+    sample, and nothing else, goes to one task, which trains in the order of the hash, so that reruns agree. Null labels are left out.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "toxic")
     there = usable.count()
     if not there:
         return ftrl([])
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("toxicity")), 1).cast("double") / float(1 << 63)
-    drawn = usable.withColumn("draw", draw).where(F.col("draw") < max_rows / there).limit(max_rows * 3 // 2)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "draw").coalesce(1).sortWithinPartitions("draw", "text")
+    drawn = usable.withColumn("draw", draw).where(F.col("draw") < max_rows / there).orderBy("draw", "doc_id", "toxic").limit(max_rows * 3 // 2)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "toxic", "draw").repartition(1).sortWithinPartitions("draw", "text", "toxic")
     fitted = rows.mapInPandas(_fit, "bias double, index array<long>, weight array<float>").first()
     return Model(fitted["bias"], np.array(fitted["index"], np.int64), np.array(fitted["weight"], np.float32))
 
@@ -134,9 +134,10 @@ def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = No
         for b in batches:
             yield pd.Series(score_texts(m, [t if isinstance(t, str) else None for t in b], weights, make))
 
-    keep = [c for c in columns or docs.columns if c not in ("score", "predicted")]
-    told = docs.withColumn("_score", F.pandas_udf(score, "double")("text"))
-    return told.select(*keep, F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    keep = [c for c in columns or [f"`{c}`" for c in docs.columns] if c.strip("`") not in ("score", "predicted")]
+    (own,) = unused(docs, "score")
+    told = docs.withColumn(own, F.pandas_udf(score, "double")("text"))
+    return told.select(*keep, F.col(own).alias("score"), (F.col(own) >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

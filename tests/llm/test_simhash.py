@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.llm.components import connected_components
-from quarrymill.llm.near_copies import DIFFERING, keep_representatives, near_copies, tables_for, wide_fingerprint
+from quarrymill.llm.near_copies import BITS, PARITIES, RADIUS, _sketch, keep_representatives, near_copies, shingle_set, spanning_forest
 from quarrymill.llm.simhash import bit_planes, close_pairs, fingerprint, op6_simhash_components, simhash_components
 
 
@@ -129,15 +129,47 @@ def test_a_large_group_of_near_copies(table):
     assert all(found[5000 + i] == 5000 + i for i in range(20))
 
 
-@pytest.mark.parametrize("there", [1, 10**4, 10**7, 10**10])
-def test_tables_let_close_pairs_meet(there):
-    key, tables = tables_for(there)
-    assert 8 <= key <= 48 and there / 2**key <= 256
-    assert 1 - (1 - (1 - DIFFERING) ** key) ** tables >= 0.99
+def parts(sketch):
+    bits = np.unpackbits(np.frombuffer(sketch, np.uint8), bitorder="little")
+    return bits[:BITS], bits[BITS:]
 
 
-def test_wide_fingerprint_of_nothing():
-    assert not wide_fingerprint(None).any() and not wide_fingerprint(" \t").any() and wide_fingerprint("a").any()
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 2**32), st.integers(1, 700), st.integers(0, 700), st.integers(0, 80))
+def test_sketches_of_sets(seed, shared, more, others):
+    """Parities bound the difference of two sets from below; a bit is set if over half of the single shingles have it."""
+    draw = np.random.default_rng(seed)
+    both, a, b = np.split(draw.integers(-(2**63), 2**63 - 1, shared + more + others), [shared, shared + more])
+    x, y = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+    assert (parts(_sketch(x))[1] != parts(_sketch(y))[1]).sum() <= more + others
+    each = np.array([parts(_sketch(x[i : i + 1]))[0] for i in range(len(x))], int)
+    assert (parts(_sketch(x))[0] == (2 * each.sum(0) > len(x))).all()
+    assert np.bincount(x & (PARITIES - 1), minlength=PARITIES).sum() == len(x)
+
+
+def test_fingerprints_of_near_copies_are_within_the_radius():
+    draw = np.random.default_rng(1)
+    for n, apart in ((4, 1), (9, 1), (45, 5), (450, 50)):
+        for _ in range(200):
+            x = draw.integers(-(2**63), 2**63 - 1, n + apart)
+            a, b = (x[: n + apart // 2], np.concatenate([x[:n], x[n + apart // 2 :]])) if apart > 1 else (x[:n], x)
+            assert (parts(_sketch(a))[0] != parts(_sketch(b))[0]).sum() < RADIUS
+
+
+def test_a_spanning_forest_has_the_first_edges():
+    draw = np.random.default_rng(2)
+    for _ in range(30):
+        i, j = draw.integers(0, 20, 60), draw.integers(0, 20, 60)
+        label, kruskal = list(range(20)), []
+        for k in range(60):
+            if label[i[k]] != label[j[k]]:
+                kruskal.append(k)
+                label = [label[i[k]] if x == label[j[k]] else x for x in label]
+        assert sorted(spanning_forest(20, i, j).tolist()) == kruskal
+
+
+def test_sets_of_nothing():
+    assert len(shingle_set(None)) == len(shingle_set(" \t")) == 1 and (shingle_set(None) == shingle_set("")).all()
 
 
 def test_filter(odd, none):

@@ -1,7 +1,7 @@
 """Packing documents into token sequences by lexical retrieval.
 
 A document is cut into full windows and a tail. Tails are packed with tails that share their words: they are routed to shards by
-their rarest token, each shard is an inverted index with BM25 weights (document frequencies and the mean length are those of all tails),
+their rarest token (neighbours are looked for in the tail's own shard), each shard is an inverted index with BM25 weights (document frequencies and the mean length are those of all tails),
 and each seed, in turn, gets the unused neighbours with the best scores until its window is full; the last neighbour is cut where the window ends and its
 rest stays in the index. So only the last window of a shard has padding.
 """
@@ -9,7 +9,7 @@ rest stays in the index. So only the last window of a shard has padding.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -17,19 +17,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import bound_batches, read_table, stage
+from quarrymill.llm.common import bound_batches, read_table, slots, stage
 
 WINDOW = 1024
-#: Expected number of tails in a shard of the index, and the most that are indexed together.
-SHARD, BLOCK = 1_000, 2_000
+#: Expected number of tails in a shard of the index.
+SHARD = 1_000
 K1, B = 1.2, 0.75
 #: Id that ends each document.
 END = 0
+#: How the vocabulary's special token is spelled.
+SPECIAL = "<|endoftext|>"
 
 
 @lru_cache(maxsize=2)
 def encoder(ranks: str):
-    """Byte-level BPE from a file of base64 tokens and ranks, special tokens being ordinary text."""
+    """Byte-level BPE from a file of base64 tokens and ranks. The id behind the last rank is the special token, also where a text spells it."""
     import base64
 
     import public_tokenizers
@@ -37,7 +39,7 @@ def encoder(ranks: str):
 
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={SPECIAL: max(table.values()) + 1})
 
 
 def default_ranks() -> str:
@@ -48,7 +50,7 @@ def default_ranks() -> str:
 
 def _cutter(ranks: str, window: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, first, made = encoder(ranks).encode_ordinary, TaskContext.get().partitionId() << 32, 0
+        encode, first, made = partial(encoder(ranks).encode, allowed_special="all"), TaskContext.get().partitionId() << 32, 0
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "tail"]
         for b in batches:
             rows = []
@@ -77,21 +79,24 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"term": there, "n": counts[there]})
 
 
-def _router(shared):
-    """Adds the rarest token of a tail and a part number: a token in more tails than fit a shard is dealt out by doc_id."""
+def _router(shared, shards: int):
+    """Adds the shard of a tail, told by its rarest token; a token in more tails than fit a shard is dealt out in turn."""
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequency = shared.value
+        frequency, seen = shared.value, 0
         for b in batches:
-            rarest = np.array([t[np.argmin(frequency[t])] for t in (np.unique(np.frombuffer(x, "<u4")) for x in b["ids"])], np.int64)
-            parts = -(-frequency[rarest] // SHARD)
-            yield b.assign(rarest=rarest, part=pd.util.hash_array(b["doc_id"].to_numpy(), categorize=False) % parts.astype(np.uint64)).astype({"part": "int64"})
+            rarest = np.array([t[np.argmin(frequency[t])] for t in (np.unique(np.frombuffer(x, "<u4")) for x in b["ids"])], np.uint64)
+            parts = -(-frequency[rarest.astype(np.int64)] // SHARD).astype(np.uint64)
+            part = (pd.util.hash_array(b["doc_id"].to_numpy(), categorize=False) + np.arange(seen, seen + len(b), dtype=np.uint64)) % parts
+            seen += len(b)
+            key = pd.util.hash_array(rarest, categorize=False) ^ (part * np.uint64(0x9E3779B97F4A7C15))
+            yield b.assign(shard=(pd.util.hash_array(key, categorize=False) % np.uint64(shards)).astype(np.int64))
 
     return route
 
 
 class Index:
-    """BM25 inverted index of a block of tails."""
+    """BM25 inverted index of the tails of a shard."""
 
     def __init__(self, tails: list[np.ndarray], frequency: np.ndarray, there: int, mean: float):
         pairs = [np.unique(t, return_counts=True) for t in tails]
@@ -154,7 +159,7 @@ def fill_windows(tails: list[np.ndarray], index: Index, window: int) -> Iterator
 
 
 def _packer(shared, there: int, mean: float, window: int):
-    def block(rows: list[tuple], frequency: np.ndarray, name: Iterator[int]) -> pd.DataFrame:
+    def packed(rows: list[tuple], frequency: np.ndarray, name: Iterator[int]) -> Iterator[pd.DataFrame]:
         tails = [np.frombuffer(r[2], "<u4") for r in rows]
         index, out = Index(tails, frequency, there, mean), []
         for pieces in fill_windows(tails, index, window):
@@ -163,20 +168,23 @@ def _packer(shared, there: int, mean: float, window: int):
                 doc_id, start, _, doc_tokens = rows[j]
                 out.append((doc_id, start + at, size, tails[j][at : at + size].tobytes(), doc_tokens, sequence, offset))
                 offset += size
-        return pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        for i in range(0, len(out), 4 * SHARD):
+            yield pd.DataFrame(out[i : i + 4 * SHARD], columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         frequency, first = shared.value, TaskContext.get().partitionId() << 32
         name = iter(range(2 * first + 1, 2 * (first + (1 << 32)), 2))
         held: list[tuple] = []
+        shard = None
         for b in batches:
-            for row in zip(b["doc_id"], b["start"], b["ids"], b["doc_tokens"]):
-                held.append(row)
-                if len(held) == BLOCK:
-                    yield block(held, frequency, name)
+            for own, *row in zip(b["shard"], b["doc_id"], b["start"], b["ids"], b["doc_tokens"]):
+                if own != shard and held:
+                    yield from packed(held, frequency, name)
                     held = []
+                shard = own
+                held.append(tuple(row))
         if held:
-            yield block(held, frequency, name)
+            yield from packed(held, frequency, name)
 
     return pack
 
@@ -186,28 +194,33 @@ def pack_documents(docs: DataFrame, ranks: str | None = None, window: int = WIND
 
     A document is the ids of its text and END; null and empty texts are END alone. Each id lies in one piece. Only the last
     sequence of a shard is shorter than the window. Repeated rows are packed as often as they occur. Sequence ids are even for full windows of one document and
-    odd for packed tails. Extra columns are ignored; an empty table gives no pieces. doc_id must be an integer and not null:
-    rows without one are packed under doc_id -1.
+    odd for packed tails. Extra columns are ignored; an empty table gives no pieces. Very long texts are encoded whole. A row without a doc_id is packed
+    with doc_id null; several such rows cannot be told apart in the result. The special token's spelling in a text is that token.
     """
     spark = docs.sparkSession
     ranks = ranks or default_ranks()
     bound_batches(spark)
-    asked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text")
+    # Within this function rows without an id have the least long as theirs.
+    nobody = F.lit(-(1 << 63)).cast("long")
+    asked = docs.select(F.coalesce(F.col("doc_id").cast("long"), nobody).alias("doc_id"), "text")
     cut = stage(asked.mapInPandas(_cutter(ranks, window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, tail boolean"), "cut", by="tail")
     tails = cut.where("tail").select("doc_id", "start", "ids", "doc_tokens", "length")
     there, mean = tails.agg(F.count("*"), F.avg("length")).first()
     whole = cut.where("not tail").drop("tail").withColumn("offset", F.lit(0).cast("long"))
+    owner = F.nullif("doc_id", nobody)
     if not there:
-        return whole
+        return whole.withColumn("doc_id", owner)
     # One count for each token of the vocabulary, whose size the tokenizer fixes.
     counts = tails.select("ids").mapInPandas(_frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(max(1 << 16, int(counts["term"].max()) + 1), np.int64)
     frequency[counts["term"]] = counts["n"]
     shared = spark.sparkContext.broadcast(frequency)
-    routed = tails.drop("length").mapInPandas(_router(shared), "doc_id long, start long, ids binary, doc_tokens long, rarest long, part long")
-    shards = routed.repartition(-(-there // SHARD), "rarest", "part").sortWithinPartitions("rarest", "doc_id", "start")
+    shape = "doc_id long, start long, ids binary, doc_tokens long"
+    routed = tails.drop("length").mapInPandas(_router(shared, -(-there // SHARD)), f"{shape}, shard long")
+    # As many tasks as the session deals work into, whatever the number of shards: a task packs one shard after the other.
+    shards = routed.repartition(slots(spark), "shard").sortWithinPartitions("shard", "doc_id", "start")
     packed = shards.mapInPandas(_packer(shared, there, float(mean), window), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return whole.unionByName(packed)
+    return whole.unionByName(packed).withColumn("doc_id", owner)
 
 
 def op3_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

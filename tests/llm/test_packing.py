@@ -14,7 +14,6 @@ from quarrymill.llm.packing import Index, fill_windows, op3_bm25_packing, pack_d
 @pytest.fixture(scope="module")
 def ids_of():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -54,9 +53,22 @@ def test_round_trip(odd, none, ids_of):
     assert pack_documents(none).count() == 0
 
 
-def test_special_tokens_are_text(table, ids_of):
-    pieces = [r.asDict() for r in pack_documents(table([(1, "a <|endoftext|> b")])).collect()]
-    check(pieces, {1: "a <|endoftext|> b"}, ids_of)
+def test_special_tokens_that_a_text_spells(table, ids_of):
+    docs = {1: "a <|endoftext|> b", 2: "<|endoftext|>", 3: "<|endoftext|><|endoftext|> <|endof text|>", 4: "x\n<|endoftext|>\n"}
+    assert 50256 in ids_of(docs[1])
+    check([r.asDict() for r in pack_documents(table(list(docs.items()))).collect()], docs, ids_of)
+
+
+def test_more_shards_than_tasks_and_a_token_that_all_share(table, ids_of, monkeypatch):
+    monkeypatch.setattr("quarrymill.llm.packing.SHARD", 20)
+    docs = {i: f"zebra {'quux ' * (i % 4)}{i % 7}" for i in range(400)}
+    pieces = [r.asDict() for r in pack_documents(table(list(docs.items())), window=64).collect()]
+    assert check(pieces, docs, ids_of, 64) <= 40
+
+
+def test_rows_without_an_id(table):
+    pieces = pack_documents(table([(None, "one two"), (-1, "three")])).collect()
+    assert sorted(p["doc_id"] is None for p in pieces) == [False, True]
 
 
 def test_small_window(table, ids_of):

@@ -4,7 +4,7 @@ Rows are ordered by a key and cut into shards at splitters. The splitters come f
 sampling: each round counts, across all partitions, the exact weight below evenly spaced candidate
 boundaries, keeps for every splitter the interval that holds its target weight, and probes that interval
 more finely, until a boundary lies within the tolerance of the target or the interval holds one row. Then the
-rows are exchanged once, in key order.
+rows are exchanged once, to the shards that the splitters tell.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import read_table, slots, stage
+from quarrymill.llm.common import columns, read_table, slots, stage
 
 #: Bits that one round of probes resolves: 4096 candidate boundaries for each open splitter.
 PROBE_BITS = 12
@@ -128,40 +128,43 @@ def shard_rows(rows: DataFrame, shards: int, weight: str, group: str, order: str
     weight: a long column; shards get nearly equal sums of it. group: a long hash; rows with one value of it
     stay together unless a splitter has to cut the group to keep the shards even. order: any column that orders
     the rows of a group. Rows alike in all three are told apart by their position. Null weights count as 0, null
-    orders come first. An empty input gives no rows. The input is read once; the numbering works on staged rows.
+    orders come first. An empty input gives no rows. Other columns may have any names; one called shard or slot is replaced. The input is read
+    once; the numbering works on staged rows.
+
+    The splitters that were found lead the exchange. A shard goes to several tasks, by a hash of the whole key, each in key order: their number is
+    that of the session's shuffle partitions, and rows of one group are not all in one task.
     """
     spark = rows.sparkSession
+    own = [c for c, name in zip(columns(rows), rows.columns) if name.lower() not in ("shard", "slot")]
     keyed = stage(
-        rows.withColumns(
-            {
-                KEYS[0]: F.coalesce(F.col(group), F.lit(0)).cast("long"),
-                KEYS[1]: F.xxhash64(F.col(order)),
-                KEYS[2]: F.monotonically_increasing_id(),
-                "_weight": F.coalesce(F.col(weight), F.lit(0)).cast("long"),
-            }
+        rows.select(
+            F.struct(*own).alias("row"),
+            F.coalesce(F.col(group), F.lit(0)).cast("long").alias(KEYS[0]),
+            F.xxhash64(F.col(order)).alias(KEYS[1]),
+            F.monotonically_increasing_id().alias(KEYS[2]),
+            F.coalesce(F.col(weight), F.lit(0)).cast("long").alias("_weight"),
         ),
         "keyed",
     )
     edges = find_splitters(keyed, shards, tolerance)
     shard = reduce(lambda a, e: a + _at_or_above(e).cast("int"), edges, F.lit(0))
+    tasks = max(1, slots(spark) // shards)
+    task = F.col("shard") * tasks + F.pmod(F.xxhash64(*KEYS), F.lit(tasks)).cast("int")
     at = F.monotonically_increasing_id()
     sent = stage(
-        keyed.withColumn("shard", shard)
-        .repartitionByRange(slots(spark), "shard", *KEYS)
-        .sortWithinPartitions("shard", *KEYS)
-        .withColumn("_task", F.shiftright(at, 33))
-        .withColumn("_row", at.bitwiseAND(F.lit((1 << 33) - 1))),
+        keyed.select("row", *KEYS, shard.alias("shard"))
+        .withColumn("task", task)
+        .repartitionById(shards * tasks, F.col("task"))
+        .sortWithinPartitions(*KEYS)
+        .select("row", "shard", "task", at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth")),
         "sharded",
     )
-    # One row for each task and shard: the exchange is by range, so at most tasks + shards of them.
-    runs = sent.groupBy("shard", "_task").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select("shard", "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return (
-        sent.join(F.broadcast(runs), ["shard", "_task"])
-        .withColumn("slot", (F.col("_row") + F.col("_shift")).cast("long"))
-        .drop("_task", "_row", "_shift", "_weight", *KEYS)
-    )
+    # One row for each task.
+    runs = sent.groupBy("shard", "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(F.col("task").alias("of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    numbered = sent.join(F.broadcast(runs), F.col("task") == F.col("of"))
+    return numbered.select("row.*", "shard", (F.col("nth") + F.col("first")).cast("long").alias("slot"))
 
 
 def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import read_table, stage, words_in
+from quarrymill.llm.common import columns, read_table, stage, words_in
 
 #: One place in 2**PLACE_BITS; found PLACE_STEP bits at a time.
 PLACE_BITS, PLACE_STEP = 40, 10
@@ -89,9 +89,9 @@ def solve_multipliers(cells: DataFrame, targets: dict[str | None, float], totals
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | list[float], share: float, most: int = 2, seed: int = 7, max_sources: int = 100_000) -> DataFrame:
-    """doc_id, size, source_size, target, rate, copies and taken of every row of docs (doc_id, source, text).
+    """doc_id, source, size, source_size, target, rate, copies and taken of every row of docs (doc_id, source, text).
 
-    size: words of the text, null counts as 0. weights: by source, or a list that is dealt out in turn to the sources by code
+    size: words of the text, null counts as 0; very long texts count whole. weights: by source, or a list that is dealt out in turn to the sources by code
     point, null (a source of its own) last. share: words to take for each word there is. most: copies of a document at
     most. Documents without words take copies 0. Rows alike in doc_id, source and size draw one place, so they are taken alike. Extra
     columns are ignored. Raises ValueError over max_sources sources: the bound of what the driver holds and
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | list[float], share:
     taken = rated.join(marks, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     taken = taken.withColumn("copies", F.col("base") + F.when(F.col("place") < F.coalesce("under", F.lit(0)), 1).otherwise(0))
     taken = stage(taken.select("doc_id", "source", "size", "source_size", "target", "rate", "copies"), "copies")
-    return _fit(taken, targets, most).withColumn("taken", F.col("copies") * F.col("size")).drop("source")
+    return _fit(taken, targets, most).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def _thresholds(rated: DataFrame, targets: dict[str | None, float]) -> dict[str | None, int]:
@@ -201,11 +201,12 @@ def _apply(taken: DataFrame, changed: dict[tuple, int]) -> DataFrame:
 
 
 def repeat_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """docs with each row repeated as often as the mix takes it. Rows alike in doc_id and source share the copies of one."""
-    size = words_in("text")
-    copies = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("copies").cast("int").alias("_copies"))
-    marked = docs.withColumn("_words", size).join(copies, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return marked.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    """docs with each row repeated as often as the mix takes it. Rows alike in doc_id, source and size share the copies of one."""
+    copies = mixed.where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies")).alias("m")
+    marked = docs.select(F.struct(*columns(docs)).alias("row"), words_in("text").alias("words")).alias("d")
+    same = F.col("d.row.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.row.source").eqNullSafe(F.col("m.source")) & (F.col("d.words") == F.col("m.size"))
+    each = marked.join(copies, same).select("d.row", F.explode(F.sequence(F.lit(1), F.col("m.copies"))).alias("copy"))
+    return each.select("row.*")
 
 
 def op1_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ they stand. A fingerprint is the anchors' codes in order of position; likeness i
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,30 +57,51 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """docs (doc_id, text) with next_text: the text of the row that follows by descending doc_id, of the first row for the last.
 
-    Null texts become empty, null doc_ids come last, and rows with one doc_id follow each other in any order, equal texts aside. Rows are
-    dealt out by ranges of doc_id, so that they move once; the first text of each range is handed to the range before it.
+    Null texts become empty, null doc_ids come last, and rows with one doc_id follow each other in any order. Rows are
+    dealt out by ranges of doc_id, so that they move once; a doc_id (or null) that holds more than a range is dealt over as many ranges as it fills. The
+    first text of each range is handed to the range before it.
     """
     spark = docs.sparkSession
     parts = parts or 4 * slots(spark)
-    filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bounds = filled.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
-    bounds = sorted(set(bounds or []), reverse=True)
-    # The number of bounds at or above doc_id: 0 for the highest range.
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(
-        F.size(F.filter(F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<long>"), lambda b: b >= F.col("doc_id")))
-    )
-    dealt = filled.withColumn("part", part.cast("int"))
-    order = [F.desc_nulls_last("doc_id"), F.desc("text")]
-    within = Window.partitionBy("part").orderBy(*order)
-    led = dealt.withColumn("follows", F.lead("text").over(within))
-    first = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "text")).alias("first"))
-    # One row per range, so the window over all of them has at most parts + 1 rows.
+    filled = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    found, rows, unnamed = filled.agg(F.percentile_approx("doc_id", shares, 100 * parts), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    often = Counter(found if parts > 1 and found else [])
+    bounds = sorted(often, reverse=True)
+    # Numbers of ranges: one for the rows between two bounds, behind those of the upper bound if it fills ranges of its own.
+    filling = [n if n > 1 else 0 for n in (often[b] for b in bounds)]
+    first = list(accumulate([1 + n for n in filling], initial=0))
+    above = _bounds_at_or_above(bounds)
+    spread = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    if bounds:
+        at = lambda values, i: F.get(F.array(*map(F.lit, values)), i)
+        # Rows of a bound that fills ranges take those; they come behind the rows above the bound and before those under it.
+        own = at(filling, above - 1)
+        is_bound = (above > 0) & (at(bounds, above - 1) == F.col("doc_id")) & (own > 0)
+        part = F.when(is_bound, at(first, above) - own + spread(own)).otherwise(at(first, above))
+    else:
+        part = F.lit(0)
+    nameless = max(1, -(-unnamed * parts // max(1, rows)))
+    part = F.when(F.col("doc_id").isNull(), F.lit(first[-1] + 1) + spread(F.lit(nameless))).otherwise(part)
+    dealt = filled.withColumn("part", part.cast("int")).drop("row")
+    led = dealt.withColumn("follows", F.lead("text").over(Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))))
+    heads = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "text")).alias("head"))
+    # The window over all ranges sees their numbers alone.
     along = Window.orderBy("part")
-    heads = first.select("part", F.lead("first").over(along).alias("after"), F.first("first").over(along).alias("top"))
-    heads = heads.select("part", F.coalesce(F.col("after.text"), F.col("top.text")).alias("head"))
+    then = heads.select("part", F.coalesce(F.lead("part").over(along), F.first("part").over(along)).alias("then"))
+    heads = then.join(heads.select(F.col("part").alias("then"), F.col("head.text").alias("head")), "then").select("part", "head")
     return led.join(heads, "part").select("doc_id", "text", F.coalesce("follows", "head").alias("next_text"))
 
 
+def _bounds_at_or_above(bounds: list) -> Column:
+    """How many of the bounds, which descend, are not under doc_id, by halving steps."""
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    if not steps:
+        return F.lit(0)
+    known = F.array(*map(F.lit, bounds))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(known, at + step - 1) >= F.col("doc_id"), at + step).otherwise(at))
+
+
 def edited(text: Column, following: Column) -> Column:
     """text with its last third replaced by as many characters of the following text (or all it has)."""
     n = F.char_length(text)

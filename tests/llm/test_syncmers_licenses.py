@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import textwrap
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,20 @@ def test_next(table, none, parts):
     assert [tuple(r) for r in with_next(table([(5, "only")]), parts).collect()] == [(5, "only", "only")]
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+@pytest.mark.parametrize("ids", [[5] * 200 + list(range(100)) + [None] * 150, [7] * 60, [None] * 40])
+def test_next_where_many_rows_share_an_id(spark, ids, parts):
+    """All rows lie on one round trip, along which ids never grow but once."""
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    after = {r["text"]: r["next_text"] for r in with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), parts).collect()}
+    seen = ["t0"]
+    while after[seen[-1]] != "t0":
+        seen.append(after[seen[-1]])
+    of = {t: -1 if i is None else i for i, t in rows}
+    along = [of[t] for t in seen]
+    assert len(seen) == len(rows) and sum(a < b for a, b in zip(along, along[1:] + along[:1])) <= 1
+
+
 def test_next_of_odd_rows(odd):
     assert with_next(odd).count() == odd.count()
 
@@ -103,5 +118,17 @@ def test_every_template_is_told(spark, table):
     assert {i: found[i] for i in found} == {i: f for i, (f, _) in enumerate(licenses.TEMPLATES)}
 
 
+def test_wrapped_notices_and_other_licences(spark, table):
+    """Notices wrapped at 72 columns, behind comment marks too, are met whole; licences of no family are unknown or, if too unlike any, none."""
+    scanner = licenses.train(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    wrapped = [(f, t) for f, t in licenses.TEMPLATES if len(t) > 150]
+    rows = [(i, "ande thor inst.\n" + textwrap.fill(t, 72, initial_indent=mark, subsequent_indent=mark) + "\n\nthor ande.") for i, (mark, (_, t)) in enumerate((m, w) for m in ("", "# ") for w in wrapped)]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(table(rows), scanner).collect()}
+    assert [found[i] for i in range(len(rows))] == [f for f, _ in wrapped] * 2
+    others = [(i, t) for i, t in enumerate([*licenses.OTHERS, "This work is licensed under the Frobnicator Private License, version 9.", "Distributed under the terms of the Example Community License."])]
+    found = {r["doc_id"]: r["license"] for r in licenses.scan_licenses(table(others), scanner).collect()}
+    assert set(found.values()) <= {"unknown", "none"} and sum(v == "unknown" for v in found.values()) >= 10
+
+
 def test_licence_scan_of_nothing(none):
     assert licenses.scan_licenses(none, licenses.train(none)).count() == 0

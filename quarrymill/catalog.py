@@ -209,8 +209,7 @@ def fuzzy_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def blake3_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    return items.select("item_id", digest("blake3", "content").alias("blake3"))
+    return files_of(spark, sf_dir).select(F.col("Addr").alias("addr"), digest("blake3", "content").alias("blake3"))
 
 
 # --- Search hits
@@ -256,15 +255,19 @@ for _name, (_patterns, _spelled) in HITS.items():
 UTF16 = rules_in(f"rule utf16 {{ {grep('a = \"license\" nocase encodings=UTF-16LE,UTF-8 b = \"[A-Z][a-z]{9}\" encodings=UTF-16LE', 'any()')} }}")
 
 
-@query(f"""WITH {FILES}, t AS (SELECT Addr, regexp_extract_all(text, '(?s)(.*?)([A-Z][a-z]{{9}})', 1) AS g, regexp_extract_all(text, '(?s)(.*?)([A-Z][a-z]{{9}})', 2) AS m FROM files),
-u AS (SELECT Addr, unnest(g) AS g, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS nth FROM t)
-SELECT Addr AS file, 'b' AS pattern_id, nth, (2 * (sum(length(g) + length(m)) OVER (PARTITION BY Addr ORDER BY nth)) - 20)::BIGINT AS start_offset, 20 AS length FROM u""")
+def _wide(k: str, regex: str) -> str:
+    both = f"'(?s)(.*?)({regex})'"
+    return f"""SELECT Addr, '{k}' AS pattern_id, unnest(regexp_extract_all(text, {both}, 1)) AS g, unnest(regexp_extract_all(text, {both}, 2)) AS m,
+    unnest(range(1, len(regexp_extract_all(text, {both}, 2)) + 1)) AS nth FROM files"""
+
+
+@query(f"""WITH {FILES}, u AS ({_wide('a', '(?i:license)')} UNION ALL {_wide('b', '[A-Z][a-z]{9}')})
+SELECT Addr AS file, pattern_id, nth, (2 * (sum(length(g) + length(m)) OVER (PARTITION BY Addr, pattern_id ORDER BY nth) - length(m)))::BIGINT AS start_offset, (2 * length(m))::INT AS length FROM u""")
 def hits_utf16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts as UTF-16LE; offsets are bytes of that."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    files = docs.select(F.col("doc_id").alias("Addr"), F.encode("text", "UTF-16LE").alias("content"))
-    found = search_hits(files, UTF16).where("pattern_id = 'b'")
-    return found.select("file", "pattern_id", F.col("nth").cast("long").alias("nth"), "start_offset", F.col("length").cast("int").alias("length"))
+    """Texts as UTF-16LE; offsets are bytes of that. One pattern is searched in two encodings."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("Addr"), F.encode(F.coalesce("text", F.lit("")), "UTF-16LE").alias("content"))
+    return search_hits(files, UTF16).select("file", "pattern_id", F.col("nth").cast("long").alias("nth"), "start_offset", F.col("length").cast("int").alias("length"))
 
 
 HAVING = rules_in(f"rule having {{ {grep(A, 'any()')} }}")
@@ -310,12 +313,11 @@ CHECKS = [
 
 
 @query("""SELECT doc_id AS addr, CASE WHEN text = '' THEN NULL WHEN lower(left(text, 2)) = 'th' THEN 'masked'
-WHEN ord(text) > 83 AND ord(substr(text, 2, 1)) < 101 AND length(text) > 1 THEN 'above'
-WHEN right(text, 1) <> '.' THEN 'tail' END AS sig_id
-FROM documents WHERE ord(text) < 128""")
+WHEN ord(text) BETWEEN 84 AND 127 AND ord(substr(text, 2, 1)) < 101 AND length(text) > 1 THEN 'above'
+WHEN right(text, 1) <> '.' THEN 'tail' WHEN ord(text) BETWEEN 192 AND 255 THEN 'high' END AS sig_id
+FROM documents""")
 def sig_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("ascii(text) < 128")
-    return identify(corpus_files(docs), CHECKS).select(F.col("Addr").alias("addr"), "sig_id")
+    return identify(files_of(spark, sf_dir), CHECKS).select(F.col("Addr").alias("addr"), "sig_id")
 
 
 @query("""SELECT sig_id, sig_stage, count(*) AS files FROM (SELECT CASE WHEN html LIKE '<!DOCTYPE html><html lang="fr"%' THEN 'long' WHEN lower(left(html, 15)) = '<!doctype html>' THEN 'html'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,8 @@ from quarrymill.functions.content import digest
 from quarrymill.operators.rules import rule_hits, rules_table
 from quarrymill.operators.search import search_hits
 from quarrymill.operators.signatures import Signature, identify
-from quarrymill.plans.ruletext import Rule, RuleError, read_rules
+from quarrymill.plans.patterns import PatternError, byte_regex
+from quarrymill.plans.ruletext import Pattern, Rule, RuleError, read_rules
 from quarrymill.sources.config import keyword_rule, rule_file, rule_folder
 from quarrymill.sources.files import open_source
 
@@ -20,7 +22,7 @@ class Engine:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.rules: list[Rule] = []
-        self.errors: list[RuleError] = []
+        self.errors: list[RuleError | PatternError] = []
         self.signatures: list[Signature] = []
 
     def load_rules(self, text: str) -> Engine:
@@ -38,10 +40,22 @@ class Engine:
         return self
 
     def _add(self, found) -> Engine:
-        self.rules += found.rules
         self.errors += found.errors
+        for rule in found.rules:
+            wrong = [e for k, p in rule.patterns.items() if (e := self._fault(f"{rule.name}: {k}", p))]
+            self.errors += wrong
+            self.rules += [rule] * (not wrong)
         return self
 
+    def _fault(self, where: str, pattern: Pattern) -> PatternError | None:
+        """Why a pattern cannot be searched, so that it is an error of its rule and not of every scan."""
+        try:
+            self.spark.sparkContext._jvm.java.util.regex.Pattern.compile(byte_regex(pattern))
+        except (PatternError, Py4JJavaError) as error:
+            reason = error if isinstance(error, PatternError) else error.java_exception.getMessage()
+            return PatternError(f"{where}: {reason}")
+        return None
+
     def with_signatures(self, signatures: list[Signature]) -> Engine:
         self.signatures = signatures
         return self

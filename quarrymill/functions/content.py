@@ -40,13 +40,14 @@ def fuzzy_digest(data: bytes) -> str:
     while block * 64 < len(data):
         block *= 2
     while True:
-        one, two = _pieces(data, block)
-        if len(one) >= 32 or block <= 3:
+        one, two, ended = _pieces(data, block)
+        if ended >= 32 or block <= 3:
             return f"{block}:{one}:{two}"
         block //= 2
 
 
-def _pieces(data: bytes, block: int) -> tuple[str, str]:
+def _pieces(data: bytes, block: int) -> tuple[str, str, int]:
+    """Letters of the pieces at the block size and at twice that, the tail's too, and the number of pieces that ended before the tail."""
     prime, start, mask = 0x01000193, 0x28021967, 0xFFFFFFFF
     window, s1, s2, s3 = [0] * 7, 0, 0, 0
     h1 = h2 = start
@@ -64,10 +65,11 @@ def _pieces(data: bytes, block: int) -> tuple[str, str]:
         if roll % (2 * block) == 2 * block - 1 and len(two) < 31:
             two.append(_B64[h2 % 64])
             h2 = start
+    ended = len(one)
     if data and (s1 + s2 + s3) & mask:
         one.append(_B64[h1 % 64])
         two.append(_B64[h2 % 64])
-    return "".join(one), "".join(two)
+    return "".join(one), "".join(two), ended
 
 
 def digest(algorithm: str, content: Column | str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.content import as_latin1, digest
-from quarrymill.plans.compiler import gaps_and_sizes
+from quarrymill.plans.compiler import gaps_and_sizes, hit_ends, may_hit
 from quarrymill.plans.patterns import byte_regex
 from quarrymill.plans.ruletext import Rule
 
@@ -15,27 +15,28 @@ def search_hits(files: DataFrame, rules: list[Rule], key: str | None = "Addr", f
     """One row per hit: pattern, start_offset, end_offset (exclusive), rule_id, file_hash, length, and the file's key and the pattern's id and ordinal.
 
     Hits of a pattern do not overlap and are the leftmost ones. Files with equal contents are searched once per content when key is None; then
-    the key is the content's digest. The shuffle moves the sizes of gaps and hits, not the text.
+    the key is the content's digest. Offsets are summed within the row: nothing is shuffled.
     """
     content = files.withColumn("file_hash", digest(file_hash, "content"))
     if key is None:
         content, key = content.dropDuplicates(["file_hash"]), "file_hash"
-    view = as_latin1(F.col("content"))
-    wanted = [
-        F.struct(F.lit(r.id).alias("rule_id"), F.lit(k).alias("pattern_id"), F.lit(p.text).alias("pattern"), gaps_and_sizes(view, byte_regex(p)).alias("hits"))
-        for r in {r.id: r for r in rules}.values()
-        for k, p in r.patterns.items()
-    ]
+    unique = {r.id: r for r in rules}.values()
+    content = content.select(F.col(key).alias("file"), "file_hash", as_latin1(F.col("content")).alias("view"))
+    if any(p.nocase for r in unique for p in r.patterns.values()):
+        content = content.withColumn("lower", F.lower("view"))
+    view, lower, wanted = F.col("view"), F.col("lower"), []
+    for r in unique:
+        for k, p in r.patterns.items():
+            hits, needed = gaps_and_sizes(view, byte_regex(p)), may_hit(p, view, lower)
+            wanted.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(k).alias("pattern_id"), F.lit(p.text).alias("pattern"), (hits if needed is None else F.when(needed, hits)).alias("hits")))
     if not wanted:
         wanted = [F.lit(None).cast("struct<rule_id:string,pattern_id:string,pattern:string,hits:array<struct<gap:int,size:int>>>")]
-    found = content.select(F.col(key).alias("file"), "file_hash", F.explode(F.array(*wanted)).alias("p"))
-    each = found.select("file", "file_hash", "p.rule_id", "p.pattern_id", "p.pattern", F.posexplode("p.hits").alias("nth", "hit"))
-    so_far = Window.partitionBy("file", "rule_id", "pattern_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.col("hit.gap").cast("long") + F.col("hit.size")).over(so_far)
-    ended = each.withColumn("end_offset", end)
-    return ended.select(
-        "file", "rule_id", "pattern_id", "pattern", (F.col("nth") + 1).alias("nth"), (F.col("end_offset") - F.col("hit.size")).alias("start_offset"), "end_offset",
-        F.col("hit.size").cast("long").alias("length"), "file_hash",
+    found = content.select("file", "file_hash", F.explode(F.array(*wanted)).alias("p")).where(F.size("p.hits") > 0)
+    placed = F.arrays_zip(hit_ends(F.col("p.hits")).alias("end"), F.col("p.hits").alias("hit"))
+    each = found.select("file", "file_hash", "p.rule_id", "p.pattern_id", "p.pattern", F.posexplode(placed).alias("nth", "at"))
+    return each.select(
+        "file", "rule_id", "pattern_id", "pattern", (F.col("nth") + 1).alias("nth"), (F.col("at.end") - F.col("at.hit.size")).alias("start_offset"), F.col("at.end").alias("end_offset"),
+        F.col("at.hit.size").cast("long").alias("length"), "file_hash",
     )
 
 

@@ -129,10 +129,10 @@ def _starts(s: Signature, head: Column) -> Column | None:
         return None
 
 
-def identify(files: DataFrame, signatures: list[Signature], head_bytes: int = 1 << 16) -> DataFrame:
+def identify(files: DataFrame, signatures: list[Signature]) -> DataFrame:
     """files (Name, content) with sig_id, sig_name and sig_stage (1 to 3); null where no signature fits or the content is empty.
 
-    head_bytes: how much of a file the anchored patterns see. Of equally long patterns the one that is listed first wins.
+    Anchored patterns see the whole content. Of equally long patterns the one that is listed first wins.
     """
     content, head = F.col("content"), F.col("_head")
     by_length = sorted(signatures, key=lambda s: -significant_length(s.pattern))
@@ -147,6 +147,6 @@ def identify(files: DataFrame, signatures: list[Signature], head_bytes: int = 1
     found = F.lit(None).cast("struct<id:string,name:string,stage:int>")
     for stage, s, test in reversed(ranked):
         found = F.when(test, F.struct(F.lit(s.id).alias("id"), F.lit(s.name or s.description).alias("name"), F.lit(stage).alias("stage"))).otherwise(found)
-    seen = files.withColumn("_head", as_latin1(F.substring("content", 1, head_bytes)))
+    seen = files.withColumn("_head", as_latin1(F.col("content")))
     told = seen.withColumn("_sig", F.when(F.octet_length("content") > 0, found))
     return told.withColumns({"sig_id": F.col("_sig.id"), "sig_name": F.col("_sig.name"), "sig_stage": F.col("_sig.stage")}).drop("_sig", "_head")

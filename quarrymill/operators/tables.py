@@ -26,11 +26,11 @@ def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("left")).union(b.subtract(a).withColumn("side", F.lit("right")))
 
 
-def full_paths(dirent: DataFrame, most_levels: int = 256) -> DataFrame:
+def full_paths(dirent: DataFrame, most_levels: int = 1 << 16) -> DataFrame:
     """dirent with FullPath: the names from the root joined by "/", by parent addresses (MetaAddr, ParentAddr, Name).
 
     Pointers double with each round, so depth d takes log2(d) joins of the table with itself. A name whose parent is
-    not in the table is a root; a cycle ends at most_levels.
+    not in the table is a root. Raises ValueError if names are left after most_levels: no tree is so deep, their parents go in a circle.
     """
     at = dirent.select("MetaAddr", F.col("ParentAddr").alias("up"), F.col("Name").alias("part"))
     tree, levels = at, 1
@@ -43,40 +43,57 @@ def full_paths(dirent: DataFrame, most_levels: int = 256) -> DataFrame:
         levels *= 2
         if tree.where("up IS NOT NULL").isEmpty():
             break
+    else:
+        raise ValueError(f"parents go in a circle, or lie over {most_levels} levels up")
     return dirent.join(tree.select("MetaAddr", F.col("part").alias("FullPath")), "MetaAddr")
 
 
-def merge_ranges(ranges: DataFrame, by: list[str]) -> DataFrame:
-    """Union of half-open ranges (begin, end) within each group: overlapping and touching ones become one."""
-    before = Window.partitionBy(*by).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    so_far = Window.partitionBy(*by).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, 0)
-    starts = ranges.where("begin < end").withColumn("new", F.when(F.col("begin") <= F.max("end").over(before), 0).otherwise(1))
-    return starts.withColumn("island", F.sum("new").over(so_far)).groupBy(*by, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island")
+def merge_ranges(ranges: DataFrame, by: list[str], stretch: int = 1 << 20) -> DataFrame:
+    """Union of half-open ranges (begin, end) within each group: overlapping and touching ones become one.
+
+    Ranges are merged within stretches of their begin first. Then one row for each stretch says how far the stretches before it reach, and what
+    begins beyond that begins a merged range. So no task gets more than a stretch of ranges or the list of stretches of a group.
+    """
+    cell = [*by, "cell"]
+    rows = ranges.where("begin < end").select(*by, F.floor(F.col("begin") / stretch).alias("cell"), "begin", "end")
+    ordered = Window.partitionBy(*cell).orderBy("begin", "end")
+    before, so_far = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0)
+    flagged = rows.withColumn("new", F.when(F.col("begin") <= F.max("end").over(before), 0).otherwise(1)).withColumn("island", F.sum("new").over(so_far))
+    islands = flagged.groupBy(*cell, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    earlier = Window.partitionBy(*by).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    reach = islands.groupBy(*cell).agg(F.max("end").alias("far")).withColumn("reached", F.max("far").over(earlier)).drop("far")
+    starts = islands.join(reach, cell).withColumn("starts", F.when(F.col("begin") <= F.col("reached"), 0).otherwise(1))
+    begun = starts.groupBy(*cell).agg(F.sum("starts").alias("n")).withColumn("begun", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    within = Window.partitionBy(*cell).orderBy("begin").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = starts.join(begun, cell).withColumn("merged", F.col("begun") + F.sum("starts").over(within))
+    return numbered.groupBy(*by, "merged").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("merged")
 
 
 def unclaimed(claimed: DataFrame, allocated: DataFrame, by: list[str], stretch: int = 4096) -> DataFrame:
     """Parts of claimed ranges (by, inum, begin, end) that no allocated range covers.
 
-    The free ranges between allocated ones are cut at multiples of `stretch`, claims likewise, and the two meet by equality of the
-    stretch: an interval join whose groups are as small as the stretch, not as large as a disk. Parts that a cut divides are joined again.
+    Claims and allocated ranges are cut at multiples of `stretch` and meet by equality of the stretch: an interval join whose groups are as small as
+    the stretch, not as large as a disk. Within a stretch the free parts are the gaps between allocated pieces. Parts that a cut divides are joined again.
     """
-    solid = merge_ranges(allocated, by)
-    ahead = Window.partitionBy(*by).orderBy("begin")
-    claims = claimed.where("begin < end")
-    reach = claims.groupBy(*by).agg(F.min("begin").alias("low"), F.max("end").alias("high"))
-    inner = solid.select(*by, F.col("end").alias("from"), F.lead("begin").over(ahead).alias("to"))
-    tail = inner.where("to IS NULL").join(reach, by).select(*by, "from", F.col("high").alias("to"))
-    head = solid.groupBy(*by).agg(F.min("begin").alias("to")).join(reach, by).select(*by, F.col("low").alias("from"), "to")
-    none = reach.join(solid.select(*by).distinct(), by, "left_anti").select(*by, F.col("low").alias("from"), F.col("high").alias("to"))
-    free = inner.where("to IS NOT NULL").union(tail).union(head).union(none).where("from < to")
-
-    def cut(ranges: DataFrame, first: str, last: str) -> DataFrame:
-        return ranges.withColumn("cell", F.explode(F.sequence(F.floor(F.col(first) / stretch), F.floor((F.col(last) - 1) / stretch))))
-
-    met = cut(claims, "begin", "end").join(cut(free, "from", "to"), [*by, "cell"])
-    begin = F.greatest("begin", "from", F.col("cell") * stretch).alias("begin")
-    end = F.least("end", "to", (F.col("cell") + 1) * stretch).alias("end")
-    return merge_ranges(met.select(*by, "inum", begin, end), [*by, "inum"])
+    cell = [*by, "cell"]
+
+    def cut(ranges: DataFrame, *more: str) -> DataFrame:
+        each = ranges.where("begin < end").withColumn("cell", F.explode(F.sequence(F.floor(F.col("begin") / stretch), F.floor((F.col("end") - 1) / stretch))))
+        return each.select(*cell, *more, F.greatest("begin", F.col("cell") * stretch).alias("begin"), F.least("end", (F.col("cell") + 1) * stretch).alias("end"))
+
+    # Equal pieces count once, so a piece that very many ranges claim does not make a group large.
+    solid = cut(allocated).distinct()
+    ordered = Window.partitionBy(*cell).orderBy("begin", "end")
+    covered = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    gaps = solid.select(*cell, F.coalesce(covered, F.col("cell") * stretch).alias("from"), F.col("begin").alias("to"))
+    tails = solid.groupBy(*cell).agg(F.max("end").alias("from")).select(*cell, "from", ((F.col("cell") + 1) * stretch).alias("to"))
+    free = gaps.union(tails).where("from < to").groupBy(*cell).agg(F.collect_list(F.struct("from", "to")).alias("free"))
+    known = solid.select(*cell).distinct().join(free, cell, "left").withColumn("known", F.lit(True))
+    met = cut(claimed, "inum").join(known, cell, "left")
+    whole = F.array(F.struct(F.col("begin").alias("from"), F.col("end").alias("to")))
+    parts = met.withColumn("part", F.explode(F.when(F.col("known"), F.col("free")).otherwise(whole)))
+    left = parts.select(*by, "inum", F.greatest("begin", "part.from").alias("begin"), F.least("end", "part.to").alias("end"))
+    return merge_ranges(left, [*by, "inum"])
 
 
 def run_layout(runs: DataFrame, block_size: int = 4096) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A file's hits of a pattern are an array of (gap, size): bytes between the end of the hit before and its start, and its length.
 Counts, lengths and offsets follow from it within the row; nothing is shuffled. A pattern is searched only in files that pass the metadata and hash sections of a
-rule that uses it.
+rule that uses it and that hold a text which its hits need, and no further than conditions ask: whether it has hits, how many, or where.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.content import as_latin1, digest
-from quarrymill.plans.patterns import byte_regex
-from quarrymill.plans.ruletext import ALGORITHMS, Both, Call, Either, Property, Rule
+from quarrymill.plans.patterns import byte_regex, needed_texts
+from quarrymill.plans.ruletext import ALGORITHMS, Both, Call, Either, Pattern, Property, Rule, calls_in
 
 PROPERTY_COLUMNS = {"created": "Created", "modified": "Modified", "filesize": "Filesize", "filepath": "Path", "filename": "Name"}
 SIGNATURE_COLUMNS = {"name": "sig_name", "id": "sig_id"}
@@ -53,18 +53,67 @@ def signature_predicate(rule: Rule) -> Column:
     return F.coalesce(_fold(rule.signature, lambda p: _property(p, SIGNATURE_COLUMNS)), F.lit(False))
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Marks before and behind each hit; a view of bytes has neither character.
+_FROM, _TO = "\ue000", "\ue001"
+
+
 def gaps_and_sizes(view: Column, regex: str) -> Column:
-    """Hits in order. The search is anchored where the last hit ended, so a text without hits is read once."""
-    both = F.lit(rf"(?s)\G(.*?)({regex})")
-    sizes = lambda group: F.transform(F.regexp_extract_all(view, both, F.lit(group)), F.length)
-    return F.zip_with(sizes(1), sizes(2), lambda gap, size: F.struct(gap.alias("gap"), size.alias("size")))
+    """Hits in order. One pass of the expression puts marks around them; cutting at the marks tells the sizes."""
+    pieces = F.split(F.regexp_replace(view, F.lit(f"(?s){regex}"), F.lit(f"{_FROM}$0{_TO}")), _FROM)
+
+    def sizes(x: Column) -> Column:
+        before = lambda i: F.get(x, i)
+        return F.transform(
+            F.slice(x, F.lit(2), F.size(x) - 1), lambda hit, i: F.struct((F.length(before(i)) - F.instr(before(i), _TO)).alias("gap"), (F.instr(hit, _TO) - 1).alias("size"))
+        )
+
+    return _with(pieces, sizes)
+
+
+def hit_ends(hits: Column, block: int = 64) -> Column:
+    """Where each hit ends, as an array of longs: sums within blocks of hits, and of the blocks before them."""
+    step = lambda a, h: a + h["gap"] + h["size"]
+    zero = F.lit(0).cast("long")
+
+    def ends(h: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / block).cast("int")), lambda b: F.aggregate(F.slice(h, b * block + 1, F.lit(block)), zero, step))
+        firsts = _with(blocks, lambda x: F.transform(x, lambda _, i: F.aggregate(F.slice(x, F.lit(1), i), zero, lambda a, y: a + y)))
+        return _with(firsts, lambda f: F.transform(h, lambda _, i: F.aggregate(F.slice(h, i - i % block + 1, i % block + 1), F.get(f, F.floor(i / block).cast("int")), step)))
 
+    return F.when(F.size(hits) > 0, _with(hits, ends)).otherwise(F.array().cast("array<bigint>"))
 
-def _call(node: Call, hits: dict[str, Column]) -> Column:
+
+def may_hit(pattern: Pattern, view: Column, lower: Column) -> Column | None:
+    """Whether a file holds a text that the pattern's hits need."""
+    texts = needed_texts(pattern)
+    hay = lower if pattern.nocase else view
+    return reduce(or_, [F.contains(hay, F.lit(t.decode("latin-1"))) for t in texts]) if texts else None
+
+
+#: What conditions ask of a pattern: whether, how many, or where.
+_SOME, _COUNT, _PLACES = range(3)
+_ASKS = {"any": _SOME, "all": _SOME, "count_has_hits": _SOME, "count": _COUNT, "length": _PLACES, "offset": _PLACES}
+
+
+def _asked(rule: Rule) -> dict[str, int]:
+    """The most that the condition of a rule asks of each of its patterns."""
+    out: dict[str, int] = {}
+    for call in calls_in(rule.condition):
+        for k in (a for a in call.args or rule.patterns if a in rule.patterns):
+            out[k] = max(out.get(k, _SOME), _ASKS[call.name])
+    return out
+
+
+def _call(node: Call, hits: dict[str, tuple[Column, Column | None]]) -> Column:
+    """hits: for each pattern the number of hits (1 for some, if no more is asked) and, if asked for, their array."""
     compare = _COMPARE.get(node.op)
     asked = [hits.get(a) for a in node.args if not a.isdigit()] if node.args else list(hits.values())
-    counts = [F.coalesce(F.size(h), F.lit(0)) if h is not None else F.lit(0) for h in asked]
-    counts = [F.greatest(c, F.lit(0)) for c in counts]
+    counts = [F.lit(0) if h is None else F.coalesce(h[0], F.lit(0)) for h in asked]
     if node.name == "any":
         return reduce(or_, [c > 0 for c in counts], F.lit(False))
     if node.name == "all":
@@ -73,7 +122,7 @@ def _call(node: Call, hits: dict[str, Column]) -> Column:
         return compare(counts[0], node.value)
     if node.name == "count_has_hits":
         return compare(reduce(lambda a, c: a + (c > 0).cast("int"), counts, F.lit(0)), node.value)
-    hit, nth = asked[0], int(node.args[1]) if len(node.args) > 1 else None
+    hit, nth = asked[0] and asked[0][1], int(node.args[1]) if len(node.args) > 1 else None
     if hit is None:
         return F.lit(False)
     if node.name == "length":
@@ -93,17 +142,36 @@ def with_predicates(files: DataFrame, rules: list[Rule], metadata_only: bool = F
     if metadata_only:
         return files, [F.coalesce(metadata_predicate(r), F.lit(False)) for r in rules]
     used = {a for r in rules for record in r.hashes for a in record}
-    hashed = files.withColumns({f"_{a}": digest(a, "content") for a in ALGORITHMS if a in used}) if used else files
+    hashed = files.withColumns({f"_{a}": _digest_where(a, [r for r in rules if any(a in record for record in r.hashes)]) for a in ALGORITHMS if a in used}) if used else files
     gates = [F.coalesce(metadata_predicate(r) & hash_predicate(r) & signature_predicate(r), F.lit(False)) for r in rules]
-    regexes: dict[str, list[Column]] = {}
+    searches: dict[str, tuple[list[Column], int, Pattern]] = {}
     for rule, gate in zip(rules, gates):
-        for p in rule.patterns.values():
-            regexes.setdefault(byte_regex(p), []).append(gate)
-    name = {regex: f"_hits_{i}" for i, regex in enumerate(regexes)}
-    view = as_latin1(F.col("content"))
-    searched = hashed.withColumns({name[x]: F.when(reduce(or_, g), gaps_and_sizes(view, x)) for x, g in regexes.items()}) if regexes else hashed
+        for k, most in _asked(rule).items():
+            p = rule.patterns[k]
+            before, level, _ = searches.get(regex := byte_regex(p), ([], _SOME, p))
+            searches[regex] = ([*before, gate], max(level, most), p)
+    view, lower = F.col("_view"), F.col("_lower")
+    viewed = hashed.withColumn("_view", as_latin1(F.col("content"))) if searches else hashed
+    if any(p.nocase for _, _, p in searches.values()):
+        viewed = viewed.withColumn("_lower", F.lower("_view"))
+    found: dict[str, Column] = {}
+    for regex, (of, level, p) in searches.items():
+        sought = [lambda x: F.rlike(view, F.lit(f"(?s){x}")).cast("int"), lambda x: F.regexp_count(view, F.lit(f"(?s){x}")), lambda x: gaps_and_sizes(view, x)][level](regex)
+        needed = may_hit(p, view, lower)
+        found[regex] = F.when(reduce(or_, of) if needed is None else reduce(or_, of) & needed, sought)
+    name = {regex: f"_hits_{i}" for i, regex in enumerate(found)}
+    searched = viewed.withColumns({name[x]: c for x, c in found.items()}) if found else viewed
     predicates = []
     for rule, gate in zip(rules, gates):
-        hits = {k: F.col(name[byte_regex(p)]) for k, p in rule.patterns.items()}
-        predicates.append(gate if rule.condition is None else gate & _fold(rule.condition, lambda c: _call(c, hits)))
+        hits = {}
+        for k in _asked(rule):
+            column, places = F.col(name[byte_regex(rule.patterns[k])]), searches[byte_regex(rule.patterns[k])][1] == _PLACES
+            hits[k] = (F.when(column.isNotNull(), F.size(column)) if places else column, column if places else None)
+        predicates.append(gate if rule.condition is None else gate & _fold(rule.condition, lambda c, own=hits: _call(c, own)))
     return searched, predicates
+
+
+def _digest_where(algorithm: str, rules: list[Rule]) -> Column:
+    """The digest of files that pass the metadata section of a rule that asks for it. Python sees no others."""
+    wanted = reduce(or_, [F.coalesce(metadata_predicate(r), F.lit(False)) for r in rules])
+    return digest(algorithm, F.when(wanted, F.col("content")))

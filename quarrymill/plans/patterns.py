@@ -30,7 +30,9 @@ def _literal(char: str, codec: str, nocase: bool) -> str:
         spelled = dict.fromkeys("".join(rf"\x{b:02x}" for b in f.encode(codec)) for f in forms)
     except (UnicodeEncodeError, LookupError) as error:
         raise PatternError(f"cannot encode {char!r} in {codec}") from error
-    return next(iter(spelled)) if len(spelled) == 1 else f"(?:{'|'.join(spelled)})"
+    if len(spelled) == 1:
+        return next(iter(spelled))
+    return f"[{''.join(spelled)}]" if all(len(x) == 4 for x in spelled) else f"(?:{'|'.join(spelled)})"
 
 
 def _one_byte(atom: str, codec: str) -> str:
@@ -41,7 +43,7 @@ def _one_byte(atom: str, codec: str) -> str:
 
 def _many(piece: str) -> str:
     """A piece in the form that a quantifier takes whole."""
-    return f"(?:{piece})" if len(re.findall(r"\\x..", piece)) > 1 and not piece.startswith("(?:") else piece
+    return f"(?:{piece})" if not piece.startswith("[") and len(re.findall(r"\\x..", piece)) > 1 and not piece.startswith("(?:") else piece
 
 
 def _in_encoding(pattern: Pattern, encoding: str) -> str:
@@ -85,3 +87,22 @@ def byte_regex(pattern: Pattern) -> str:
     if compiled.fullmatch(b""):
         raise PatternError(f"pattern {pattern.text!r} can match nothing")
     return joined
+
+
+def needed_texts(pattern: Pattern) -> list[bytes]:
+    """Texts of which every hit holds one at least, a text for each encoding, ASCII letters in lower case if the pattern ignores case; none if nothing can be said.
+
+    They are taken from patterns without groups, alternatives and counts: the longest run of plain characters.
+    """
+    text = pattern.text
+    if pattern.fixed:
+        runs = [text]
+    elif any(m.lastgroup in ("group", "many", "edge") for m in _ATOM.finditer(text)):
+        return []
+    else:
+        runs = "".join(m[0] if m.lastgroup == "char" else "\0" for m in _ATOM.finditer(text)).split("\0")
+    longest = max(runs, key=len)
+    if len(longest) < 3 or pattern.nocase and not longest.isascii():
+        return []
+    longest = longest.lower() if pattern.nocase else longest
+    return list(dict.fromkeys(longest.encode(CODECS.get(e.upper(), e)) for e in pattern.encodings or DEFAULT))

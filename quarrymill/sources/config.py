@@ -8,6 +8,7 @@ from pathlib import Path
 
 from quarrymill.functions.blake3 import record_id
 from quarrymill.operators.signatures import Signature, signature_of
+from quarrymill.plans.patterns import PatternError
 from quarrymill.plans.ruletext import Call, Pattern, Rule, RuleSet, read_rules
 
 
@@ -37,11 +38,36 @@ def signatures_from_json(text: str) -> list[Signature]:
 
 
 def yara_pattern(text: str, modifiers: tuple[str, ...] = ()) -> Pattern:
-    """A YARA string as a pattern: hexadecimal bytes in braces, or text with wide, ascii, nocase and fullword."""
-    if m := re.fullmatch(r"\{([0-9A-Fa-f\s]*)\}", text.strip()):
-        digits = re.sub(r"\s", "", m[1])
-        return Pattern("".join(rf"\z{digits[i : i + 2]}" for i in range(0, len(digits), 2)))
+    """A YARA string as a pattern: hexadecimal bytes in braces, with wild cards, jumps and alternatives, or text with wide, ascii, nocase and fullword.
+    Raises PatternError for braces that hold anything else."""
+    if m := re.fullmatch(r"\{(.*)\}", text.strip(), re.S):
+        return Pattern(_hex_pattern(m[1]))
     quoted = re.sub(r"([^\w\s])", r"\\\1", text)
     wide = [] if "wide" not in modifiers else ["UTF-16LE"]
     plain = [] if wide and "ascii" not in modifiers else ["ASCII"]
     return Pattern(rf"\W{quoted}\W" if "fullword" in modifiers else quoted, False, "nocase" in modifiers, tuple(plain + wide))
+
+
+_HEX = re.compile(r"(?P<space>\s+)|(?P<byte>[0-9A-Fa-f?]{2})|\[\s*(?P<least>\d*)\s*(?P<dash>-?)\s*(?P<most>\d*)\s*\]|(?P<sign>[(|)])|(?P<bad>.)", re.S)
+
+
+def _hex_pattern(text: str) -> str:
+    out, depth = [], 0
+    for m in _HEX.finditer(text):
+        if m["byte"]:
+            high, low = m["byte"]
+            if high != "?":
+                out.append(rf"\z{high}{low}" if low != "?" else rf"[\z{high}0-\z{high}f]")
+            else:
+                out.append(r"[\z00-\zff]" if low == "?" else "[" + "".join(rf"\z{x:x}{low}" for x in range(16)) + "]")
+        elif m["sign"]:
+            depth += {"(": 1, ")": -1, "|": 0}[m["sign"]]
+            out.append(m["sign"])
+        elif m["dash"] or m["least"]:
+            least = m["least"] or "0"
+            out.append(r"[\z00-\zff]" + (f"{{{least},{m['most']}}}?" if m["dash"] else f"{{{least}}}"))
+        if m["bad"] or m[0].startswith("[") and not (m["dash"] or m["least"]) or depth < 0:
+            raise PatternError(f"cannot read hexadecimal string {{{text}}}")
+    if depth or not out:
+        raise PatternError(f"cannot read hexadecimal string {{{text}}}")
+    return "".join(out)

@@ -2,7 +2,9 @@
 
 Readers get byte ranges. A task looks for gzip magic in its range, accepts a candidate only if the member decodes to a WARC header (and, at its end,
 passes its checksum), owns the records that start in its range, and reads past the range's end to finish the last one. After an
-accepted member the search goes on at the member's end, so bytes inside members are not taken for records.
+accepted member the search goes on at the member's end, so bytes inside members are not taken for records. Nor are archives inside a payload in which a range
+begins: members have to follow each other from the range's first one on to its end. Where they break off, either an archive inside a payload or a damaged one has ended; then the
+task looks before its range for the member that holds the first one.
 
 Files are opened with pyarrow.fs, which reaches local and shared folders, HDFS (with its native library) and object stores.
 """
@@ -113,6 +115,7 @@ def members(source, start: int, end: int) -> Iterator[bytes]:
         if missing > 0:
             held += source.read_at(max(missing, min(CHUNK, limit - base - len(held))), base + len(held))
 
+    first = start > 0
     while at < end:
         if at - base > CHUNK:
             held, base = held[at - base :], at
@@ -127,6 +130,11 @@ def members(source, start: int, end: int) -> Iterator[bytes]:
         if at >= end:
             return
         record, after = _decode(upto, lambda: (base, held), at, limit)
+        if record is not None and first:
+            if not _stands_alone(source, start, at, after, end):
+                at = after
+                continue
+            first = False
         if record is None:
             at += 1
         else:
@@ -134,6 +142,46 @@ def members(source, start: int, end: int) -> Iterator[bytes]:
             at = after
 
 
+def _member_at(source, at: int) -> int | None:
+    """Where the member that begins at a place of a file ends; None if none does."""
+    held, limit = b"", source.size()
+
+    def upto(stop: int) -> None:
+        nonlocal held
+        if (missing := min(stop, limit) - at - len(held)) > 0:
+            held += source.read_at(missing, at + len(held))
+
+    record, after = _decode(upto, lambda: (at, held), at, limit)
+    return None if record is None else after
+
+
+def _stands_alone(source, start: int, at: int, after: int, end: int) -> bool:
+    """Whether the member from at to after, the first one in a range that begins inside a file, is not inside the payload of another one."""
+    limit, last = source.size(), after
+    while last < min(end, limit):
+        further = _member_at(source, last)
+        if further is None:
+            break
+        last = further
+    else:
+        return True
+    stop, width = start, CHUNK
+    while stop > 0:
+        low = max(0, stop - width)
+        piece = source.read_at(min(stop + len(MAGIC) - 1, limit) - low, low)
+        found = piece.rfind(MAGIC)
+        while found >= 0:
+            inside = low + found
+            while inside is not None and inside < at:
+                inside = _member_at(source, inside)
+            if inside is not None:
+                # Members follow each other to this one, or one of them goes on beyond it.
+                return inside == at
+            found = piece.rfind(MAGIC, 0, found + len(MAGIC) - 1)
+        stop, width = low, 2 * width
+    return True
+
+
 def _decode(upto, view, at: int, limit: int) -> tuple[bytes | None, int]:
     """The record of the member at `at` and the position behind it; None if it is no member with a WARC header."""
     unpack, parts, seen, pos = zlib.decompressobj(wbits=31), [], 0, at
@@ -206,7 +254,7 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_warc(archives: DataFrame, scheme: str = "file://", range_bytes: int = RANGE) -> DataFrame:
     """Records (columns RECORDS) of archives (path, bytes), read by byte ranges of range_bytes.
 
-    A revisit has no payload; its payload_bytes and payload_digest are those of the payload it stands for. A page_id that is not an integer reads as
+    Members that are damaged are left out. A revisit has no payload; its payload_bytes and payload_digest are those of the payload it stands for. A page_id that is not an integer reads as
     null. No archives give no records.
     """
     spark = archives.sparkSession

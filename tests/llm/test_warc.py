@@ -82,3 +82,18 @@ def test_query(spark):
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     found = op8_warc(spark, "/root/testdata/sf0.01").select(columns).collect()
     assert sorted(map(tuple, found)) == sorted(con.sql(f"SELECT {', '.join(columns)} FROM ({OP8_SQL})").fetchall())
+
+
+def test_archives_inside_payloads_are_no_records():
+    """A payload that no compression shortens holds an archive of its own; one member further on is damaged."""
+    draw = random.Random(4)
+    member = lambda name, payload: gzip.compress(b"WARC/1.1\r\nname: " + name + b"\r\n\r\n" + payload, mtime=0)
+    inner = b"".join(member(b"inner%d" % i, draw.randbytes(150)) for i in range(3))
+    outer = [member(b"outer%d" % i, draw.randbytes(400) + (inner if i % 2 else b"") + draw.randbytes(300)) for i in range(6)]
+    broken = bytearray(outer[4])
+    broken[len(broken) // 2] ^= 0x55
+    for whole, names in ((outer, {0, 1, 2, 3, 4, 5}), ([*outer[:4], bytes(broken), outer[5]], {0, 1, 2, 3, 5})):
+        data = Bytes(b"".join(whole))
+        for size in (50, 333, 1_000, 4_000, 10**6):
+            found = [r for at in range(0, data.size(), size) for r in members(data, at, min(at + size, data.size()))]
+            assert [r.split(b"name: ")[1][:6] for r in found] == [b"outer%d" % i for i in sorted(names)]

@@ -7,16 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.engine import Engine
 from quarrymill.functions.blake3 import record_id
 from quarrymill.functions.content import digest
 from quarrymill.functions.labels import META_FLAGS, NAME_TYPES, VOLUME_SYSTEMS, file_system_id, flag_labels, format_timestamp, label_of, up_to_nul
-from quarrymill.operators.rules import join_files, rule_hits, rules_table
+from quarrymill.operators.rules import files_with_hits, hit_report, join_files, rule_hits, rules_table
 from quarrymill.operators.search import hit_counts, search_hits
 from quarrymill.operators.signatures import Check, Signature, identify
 from quarrymill.operators.tables import exclude_known, first_inodes, full_paths, merge_ranges, run_layout, table_difference, unclaimed, unique_contents
 from quarrymill.plans.ruletext import Rule, read_rules
 from quarrymill.sources.config import yara_pattern
-from quarrymill.sources.files import corpus_files, dirent_of, folders_of, inode_of, page_files
+from quarrymill.sources.files import corpus_files, dirent_of, folders_of, inode_of, own_times, page_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -287,6 +288,56 @@ def hits_yara_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_hits(files_of(spark, sf_dir), [YARA]).selectExpr(*HIT_COLUMNS)
 
 
+# --- Exported tables
+
+
+@query(f"""WITH {FILES} SELECT Path, Name, '' AS ShortName, 'File' AS Type, 'Allocated' AS Flags, Addr AS MetaAddr, 0::BIGINT AS MetaSeq, 0::BIGINT AS ParentSeq FROM files""")
+def export_dirent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without the columns that are hashes SQL does not have."""
+    return Engine(spark).scan(files_of(spark, sf_dir)).dirent.drop("Id", "ParentAddr")
+
+
+@query(f"""WITH {FILES} SELECT 'File' AS Type, 'Allocated' AS Flags, Addr, 0::BIGINT AS FsOffset, Filesize, 0::BIGINT AS Uid, 0::BIGINT AS Gid, '' AS LinkTarget, 1::BIGINT AS NumLinks,
+0::BIGINT AS SeqNum, Created, '' AS Accessed, Modified, '' AS Metadata FROM files""")
+def export_inode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).scan(files_of(spark, sf_dir)).inode.drop("Id")
+
+
+@query(f"WITH {FILES} SELECT Addr AS MetaAddr, md5(text) AS MD5, sha1(text) AS SHA1, sha256(text) AS SHA256 FROM files")
+def export_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine(spark).scan(files_of(spark, sf_dir)).hash.drop("Blake3", "Ssdeep")
+
+
+REPORT = rules_in(f"rule report {{ {grep('a = \"tion\" fixed', 'any()')} }}")
+
+
+@query(f"""WITH {FILES} SELECT Path, Name, Addr, Filesize, sha256(text) AS SHA256, '{REPORT[0].id}' AS rule_id, 'a' AS pattern_id, {n('tion')}::BIGINT AS hits,
+strlen(split_part(text, 'tion', 1)) AS first_offset FROM files WHERE {n('tion')} > 0""")
+def hits_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, metadata, digests and hits joined; each content is searched once."""
+    scan = Engine(spark).scan(files_of(spark, sf_dir))
+    return hit_report(scan.dirent, scan.inode, scan.hash, search_hits(scan.files, REPORT, key=None))
+
+
+@query(f"WITH {FILES} SELECT Path, Name, Addr AS MetaAddr FROM files WHERE {n('tion')} > 0")
+def hits_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scan = Engine(spark).scan(files_of(spark, sf_dir))
+    return files_with_hits(scan.dirent, scan.hash, search_hits(scan.files, REPORT, key=None)).select("Path", "Name", "MetaAddr")
+
+
+def _shown(kind: str, seconds: str) -> str:
+    return f"CASE WHEN fs = '{kind}' AND {seconds} > 0 THEN strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds({seconds}), '%Y-%m-%d %H:%M:%S') END"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, ['NTFS', 'EXT', 'HFS', 'FAT'][(c_custkey % 4 + 1)::INT] AS fs FROM customer)
+SELECT k AS addr, {_shown('NTFS', 'k * 1009')} AS created, {_shown('EXT', '(k % 8) * 2003')} AS deleted, {_shown('HFS', 'k * 3001')} AS backup FROM c""")
+def times_by_file_system(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    seconds = {"fn_created": k * 1_009, "fn_accessed": k, "fn_modified": k, "fn_metadata": k, "deleted": (k % 8) * 2_003, "backup": k * 3_001}
+    metas = table(spark, sf_dir, "customer").select(k.alias("addr"), F.get(F.array(*map(F.lit, ("NTFS", "EXT", "HFS", "FAT"))), (k % 4).cast("int")).alias("fs_type"), *[v.alias(f"{t}_s") for t, v in seconds.items()], *[F.lit(0).alias(f"{t}_ns") for t in seconds])
+    return own_times(metas).select("addr", F.col("FnCreated").alias("created"), F.col("Deleted").alias("deleted"), F.col("Backup").alias("backup"))
+
+
 # --- Signatures
 
 

@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.content import digest
+from quarrymill.functions.identities import with_inode_id, with_record_id
 from quarrymill.operators.rules import rule_hits, rules_table
 from quarrymill.operators.search import search_hits
 from quarrymill.operators.signatures import Signature, identify
 from quarrymill.plans.patterns import PatternError, byte_regex
 from quarrymill.plans.ruletext import Pattern, Rule, RuleError, read_rules
 from quarrymill.sources.config import keyword_rule, rule_file, rule_folder
-from quarrymill.sources.files import open_source
+from quarrymill.sources.files import DIRENT, HASH, INODE, folders_below, full_table, open_source, qualified
 
 CODECS = ("none", "snappy", "gzip", "lz4", "zstd")
 
@@ -61,29 +62,40 @@ class Engine:
         return self
 
     def scan(self, source: DataFrame | str, hashes: tuple[str, ...] = ("md5", "sha1", "sha256"), metadata_only: bool = False) -> Scan:
-        files = open_source(self.spark, source) if isinstance(source, str) else source
+        files, folders = source, None
+        if isinstance(source, str):
+            files = open_source(self.spark, source)
+            folders = folders_below(files, qualified(self.spark, source))
         if "sig_id" not in files.columns:
             files = identify(files, self.signatures)
-        return Scan(self, files, hashes, metadata_only)
+        return Scan(self, files, hashes, metadata_only, folders)
 
 
 class Scan:
-    """Tables of one scan; each is computed when it is used."""
+    """Tables of one scan; each is computed when it is used. Tables have all columns of their schemas in sources.files."""
 
-    def __init__(self, engine: Engine, files: DataFrame, hashes: tuple[str, ...], metadata_only: bool):
+    def __init__(self, engine: Engine, files: DataFrame, hashes: tuple[str, ...], metadata_only: bool, folders: DataFrame | None = None):
         self.engine, self.files, self.hashes, self.metadata_only = engine, files, hashes, metadata_only
+        self.entries = files if folders is None else files.unionByName(folders, allowMissingColumns=True)
 
     @property
     def dirent(self) -> DataFrame:
-        return self.files.select("Path", "Name", "Type", "Flags", F.col("Addr").alias("MetaAddr"))
+        """Files and folders. The parent's address is that of its path, if files do not tell it."""
+        parent = {} if "ParentAddr" in self.entries.columns else {"ParentAddr": F.abs(F.xxhash64("Path"))}
+        return with_record_id(full_table(self.entries, DIRENT, {"MetaAddr": F.col("Addr"), **parent}))
 
     @property
     def inode(self) -> DataFrame:
-        return self.files.select("Type", "Flags", "Addr", "Filesize", "Created", "Modified").dropDuplicates(["Addr"])
+        """One row for each address of a file system; where files tell no file system, for each path, since hashed addresses of two paths may be equal."""
+        links = {} if "NumLinks" in self.entries.columns else {"NumLinks": F.lit(1)}
+        by = ["FsOffset", "Addr"] if "FsOffset" in self.entries.columns else ["Addr", "Path", "Name"]
+        return with_inode_id(full_table(self.entries.dropDuplicates(by), INODE, links))
 
     @property
     def hash(self) -> DataFrame:
-        return self.files.select(F.col("Addr").alias("MetaAddr"), *[digest(a, "content").alias(a) for a in self.hashes])
+        """Digests of files; those that were not asked for are null."""
+        given = {c: digest(c.lower(), "content") if c.lower() in self.hashes else F.lit(None) for c in HASH.names if c != "MetaAddr"}
+        return full_table(self.files, HASH, {"MetaAddr": F.col("Addr"), **given})
 
     @property
     def rules(self) -> DataFrame:

@@ -50,3 +50,27 @@ def with_identity(records: DataFrame, kind: str) -> DataFrame:
 
     shape = ", ".join(f"`{c}` {t}" for c, t in records.dtypes)
     return records.mapInPandas(run, f"{shape}, Id string")
+
+
+def with_record_id(dirent: DataFrame) -> DataFrame:
+    """Directory entries with Id, from all their other columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rest = b.drop(columns="Id").astype(object)
+            yield b.assign(Id=[blake3_hex(field_bytes(*row)) for row in rest.itertuples(index=False, name=None)])
+
+    return dirent.mapInPandas(run, dirent.schema)
+
+
+def with_inode_id(inode: DataFrame) -> DataFrame:
+    """Inodes with Id, from the columns that identify one; they have no attributes here."""
+    names = {"addr": "Addr", "flags": "Flags", "type": "Type", "uid": "Uid", "gid": "Gid", "link": "LinkTarget", "nlink": "NumLinks", "seq": "SeqNum"}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = b[list(names.values())].astype(object).itertuples(index=False, name=None)
+            records = ({**dict(zip(names, row)), "attrs": []} for row in rows)
+            yield b.assign(Id=[identity({**r, "uid": str(r["uid"]), "gid": str(r["gid"])}, "inode") for r in records])
+
+    return inode.mapInPandas(run, inode.schema)

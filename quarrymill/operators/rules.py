@@ -32,3 +32,17 @@ def rule_hits(files: DataFrame, rules: list[Rule], metadata_only: bool = False)
     ids = F.array_compact(F.array(*[F.when(p, F.lit(r.id)) for r, p in zip(unique, predicates)])) if unique else F.array().cast("array<string>")
     hits = searched.select(F.explode(ids).alias("id"), F.col("Path").alias("path"), F.col("Name").alias("name"), F.col("Addr").alias("addr"))
     return hits.distinct()
+
+
+def hit_report(dirent: DataFrame, inode: DataFrame, hash_: DataFrame, hits: DataFrame) -> DataFrame:
+    """Path, Name, Addr, Filesize, SHA256, rule_id, pattern_id, hits and first_offset: the exported tables joined. Hits are those of contents (their file_hash is
+    a SHA-256): they are counted for each content before they meet the files that have it."""
+    counted = hits.groupBy("file_hash", "rule_id", "pattern_id").agg(F.count("*").alias("hits"), F.min("start_offset").alias("first_offset"))
+    named = join_files(dirent, inode.drop("Id", "Type", "Flags")).join(hash_.withColumnRenamed("MetaAddr", "of"), F.col("Addr") == F.col("of"))
+    return named.join(counted, F.col("SHA256") == F.col("file_hash")).select("Path", "Name", "Addr", "Filesize", "SHA256", "rule_id", "pattern_id", "hits", "first_offset")
+
+
+def files_with_hits(dirent: DataFrame, hash_: DataFrame, hits: DataFrame) -> DataFrame:
+    """Directory entries of contents that have a hit, each once."""
+    contents = hash_.join(hits.select("file_hash"), F.col("SHA256") == F.col("file_hash"), "left_semi").select(F.col("MetaAddr").alias("of"))
+    return dirent.join(contents, F.col("MetaAddr") == F.col("of"), "left_semi")

@@ -67,6 +67,37 @@ def folders_of(files: DataFrame) -> DataFrame:
     return each.select(F.regexp_replace("full", "/?[^/]*$", "").alias("Path"), F.regexp_extract("full", "([^/]*)$", 1).alias("Name"), F.lit("Folder").alias("Type"))
 
 
+def folders_below(files: DataFrame, root: str) -> DataFrame:
+    """The folders under a folder that hold files, as files without content: columns of directory_files. Empty folders are not seen."""
+    full = F.concat_ws("/", "Path", "Name")
+    below = folders_of(files).where(full.startswith(root.rstrip("/") + "/"))
+    empty = [F.lit("Allocated").alias("Flags"), F.abs(F.xxhash64(full)).alias("Addr"), F.lit(0).cast("long").alias("Filesize"), F.lit("").alias("Modified"), F.lit("").alias("Created")]
+    return below.select("Path", "Name", "Type", *empty, F.lit(None).cast("binary").alias("content"))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's readers spell it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
+def full_table(rows: DataFrame, schema: T.StructType, given: dict[str, Column]) -> DataFrame:
+    """rows in a schema: given columns, columns of rows by name, else empty text or 0."""
+    there = {c.lower() for c in rows.columns}
+    empty = lambda t: F.lit("") if t == _S else F.lit(0)
+    return rows.select(*[given.get(f.name, F.col(f.name) if f.name.lower() in there else empty(f.dataType)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+#: Times that only some kinds of file systems keep: column to prefix of its seconds and nanos.
+OWN_TIMES = {"NTFS": {"FnCreated": "fn_created", "FnAccessed": "fn_accessed", "FnModified": "fn_modified", "FnMetadata": "fn_metadata"}, "EXT": {"Deleted": "deleted"}, "HFS": {"Backup": "backup"}}
+
+
+def own_times(metas: DataFrame, kind: str = "fs_type") -> DataFrame:
+    """metas with the times of OWN_TIMES as text: null if the file system in `kind` does not keep one, or it is 0."""
+    added = {n: F.when(F.col(kind).startswith(k), F.nullif(format_timestamp(F.col(f"{t}_s"), F.col(f"{t}_ns")), F.lit(""))) for k, names in OWN_TIMES.items() for n, t in names.items()}
+    return metas.withColumns(added)
+
+
 def corpus_files(documents: DataFrame) -> DataFrame:
     """A table of texts (doc_id, text, lang, source) as files."""
     text = F.coalesce("text", F.lit(""))

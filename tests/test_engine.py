@@ -4,7 +4,8 @@ import pytest
 
 from quarrymill import cli
 from quarrymill.engine import Engine
-from quarrymill.sources.files import directory_files, folders_of
+from quarrymill.functions.blake3 import record_id
+from quarrymill.sources.files import DIRENT, HASH, INODE, directory_files, folders_of
 from quarrymill.streaming.scan import scan_stream, watch
 
 
@@ -28,7 +29,22 @@ def test_scan_and_export(spark, folder):
     names = {r["id"]: r["name"] for r in read("rules").collect()}
     assert sorted((names[r["id"]], r["name"]) for r in read("rule_hits").collect()) == [("any", "a.txt"), ("any", "b.txt"), ("two", "b.txt")]
     assert sorted((r["start_offset"], r["length"]) for r in read("search_hits").collect()) == 2 * [(0, 6)] + 2 * [(5, 6)] + 2 * [(7, 6)]
-    assert read("hash").count() == read("inode").count() == read("dirent").count() == 3
+    assert read("hash").count() == 3
+    # Three files and the folder below the source, in the full schemas.
+    assert sorted((r["Name"], r["Type"]) for r in read("dirent").collect()) == [("a.txt", "File"), ("b.txt", "File"), ("c.txt", "File"), ("sub", "Folder")]
+    assert sorted((r["Type"], r["Filesize"]) for r in read("inode").collect()) == [("File", 3), ("File", 13), ("File", 16), ("Folder", 0)]
+    assert [read(t).columns for t in ("dirent", "inode", "hash")] == [x.names for x in (DIRENT, INODE, HASH)]
+    by_name = {r["Name"]: r for r in read("dirent").collect()}
+    assert by_name["b.txt"]["ParentAddr"] == by_name["sub"]["MetaAddr"] and len({r["Id"] for r in by_name.values()}) == 4
+    one = by_name["a.txt"]
+    assert one["Id"] == record_id(one["Path"], "a.txt", "", "File", "Allocated", one["MetaAddr"], one["ParentAddr"], 0, 0)
+
+
+def test_patterns_that_cannot_be_read(spark, folder):
+    text = 'rule fine { grep: patterns: a = "needle" condition: any() } rule open { grep: patterns: a = "x(" condition: any() } rule blank { grep: patterns: a = "y*" condition: any() }'
+    engine = Engine(spark).load_rules(text)
+    assert [r.name for r in engine.rules] == ["fine"] and [str(e).split(":")[0] for e in engine.errors] == ["open", "blank"]
+    assert engine.scan(str(folder / "in")).rule_hits.count() == 2
 
 
 def test_folders(spark, folder):

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from quarrymill.functions.blake3 import blake3_hex, record_id
+from quarrymill.functions.content import fuzzy_digest
 from quarrymill.plans.ruletext import Both, Call, Either, Pattern, Property, read_rules, tokens_of
 
 
@@ -16,12 +19,50 @@ def one(text):
     return found.rules[0]
 
 
+# Published digests of the bytes 0, 1, ... 250, 0, 1, ... of these lengths.
+BLAKE3 = {
+    0: "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262", 1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213",
+    1023: "10108970eeda3eb932baac1428c7a2163b0e924c9a9e25b35bba72b28f70bd11", 1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7",
+    1025: "d00278ae47eb27b34faecf67b4fe263f82d5412916c1ffd97c8cb7fb814b8444", 2048: "e776b6028c7cd22a4d0ba182a8bf62205d2ef576467e838ed6f2529b85fba24a",
+    2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030",
+}
+
+
+@pytest.mark.parametrize("size", BLAKE3)
+def test_digests(size):
+    assert blake3_hex(bytes(i % 251 for i in range(size))) == BLAKE3[size]
+
+
 def test_identities():
-    assert blake3_hex(b"") == "af1349b9f5f9a1a6a0404dea36dcc9499bcb25c9adc112b7cc9a93cae41f3262"
-    assert record_id("the name", "the name", "", "", "", 0, 0, 0, 0) == "9725ac83ec80648192377bba20be829f7532953f50bfd735808ecc92a63ad011"
-    assert record_id("a/b", "b", "", "", "", 0, 0, 0, 0) == "43255526405934bbcf8c6b90f4f02d82e3e74e028b02942701be6354bf27677d"
-    assert record_id("a", "a", "", "", "", 0, 0, 0, 0) == "fd88d31d3ec3b285f33ba011fe96290bd05d5272a9ef50ddae020c13ebe5319a"
-    assert blake3_hex(bytes(i % 251 for i in range(3000))) != blake3_hex(bytes(i % 251 for i in range(3001)))
+    """Text ends with NUL, numbers are 64-bit little-endian."""
+    assert record_id("x/y", "y", "", 7, 258) == blake3_hex(b"x/y\0y\0\0" + bytes([7, 0, 0, 0, 0, 0, 0, 0]) + bytes([2, 1, 0, 0, 0, 0, 0, 0]))
+
+
+def ended(data, block):
+    """Pieces before the tail, counted apart from the library: places where the rolling value of seven bytes says so."""
+    count, mask = 0, 0xFFFFFFFF
+    for i in range(len(data)):
+        last = data[max(0, i - 6) : i + 1]
+        third = 0
+        for c in data[max(0, i - 6) : i + 1]:
+            third = (third << 5 & mask) ^ c
+        total = sum(last) + sum((7 - k) * c for k, c in enumerate(reversed(last))) + third
+        count += (total & mask) % block == block - 1
+    return min(count, 63)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_block_sizes_of_fuzzy_digests(seed):
+    """The block size is the largest from the one for the length down that ends 32 pieces before the tail."""
+    draw = random.Random(seed)
+    data = bytes(draw.choice(b"abcdefgh \n") for _ in range(draw.randrange(400, 6_000)))
+    block = 3
+    while block * 64 < len(data):
+        block *= 2
+    while block > 3 and ended(data, block) < 32:
+        block //= 2
+    assert fuzzy_digest(data).split(":")[0] == str(block)
+    assert fuzzy_digest(b"") == "3::"
 
 
 def test_rule_id_leaves_out_name_and_meta():
@@ -51,21 +92,21 @@ def test_sections():
 @pytest.mark.parametrize(
     ("text", "names", "said"),
     [
-        ("rule myBadRule }", [], ["Expected open brace at line 1 column 16", "Unexpected token } at line 1 column 16"]),
+        ("rule half }", [], ["Expected open brace at line 1 column 11", "Unexpected token } at line 1 column 11"]),
         (
-            "rule myBadRule } rule myOtherBadRule { rule myGoodRule {} rule anotherBadRule {", ["myGoodRule"],
-            ["Expected open brace at line 1 column 16", "Unexpected token } at line 1 column 16", "Expected close brace at line 1 column 40", "Expected close brace at line 1 column 80"],
+            "rule half } rule open { rule whole {} rule last {", ["whole"],
+            ["Expected open brace at line 1 column 11", "Unexpected token } at line 1 column 11", "Expected close brace at line 1 column 25", "Expected close brace at line 1 column 50"],
         ),
-        ("rule myBadRule { *,*. } * rule myGoodRule {}", ["myGoodRule"], ["Expected close brace at line 1 column 18", "Unexpected token * at line 1 column 18"]),
+        ("rule odd { ; } rule fine {}", ["fine"], ["Expected close brace at line 1 column 12", "Unexpected token ; at line 1 column 12"]),
         (
-            'rule myBadRule { grep: patterns: condition: all() } rule myGoodRule { grep: patterns: a = "test" condition: all() }', ["myGoodRule"],
-            ["No patterns specified at line 1 column 34", "Unexpected token condition at line 1 column 34"],
+            'rule bare { grep: patterns: condition: any() } rule fine { grep: patterns: z = "q" condition: any() }', ["fine"],
+            ["No patterns specified at line 1 column 29", "Unexpected token condition at line 1 column 29"],
         ),
-        ("rule myGoodRule {} *.* rule myOtherGoodRule {}", ["myGoodRule", "myOtherGoodRule"], ["Unexpected token * at line 1 column 20"]),
-        ("rule myBadRule {/*} rule myGoodRule {}", [], ["Unterminated multi-line comment at line 1 column 17", "Expected close brace at line 1 column 39"]),
-        ("*&% ^$@ () condition", [], ["Unexpected token * at line 1 column 1"]),
-        ("rule GoodRule {} *&% ^$@ () condition", ["GoodRule"], ["Unexpected token * at line 1 column 18"]),
-        ("*&% ^$@ () condition rule GoodRule {}", ["GoodRule"], ["Unexpected token * at line 1 column 1"]),
+        ("rule one {} ; rule two {}", ["one", "two"], ["Unexpected token ; at line 1 column 13"]),
+        ("rule quiet {/* } rule lost {}", [], ["Unterminated multi-line comment at line 1 column 13", "Expected close brace at line 1 column 30"]),
+        ("; meta ( 5", [], ["Unexpected token ; at line 1 column 1"]),
+        ("rule one {} ; meta ( 5", ["one"], ["Unexpected token ; at line 1 column 13"]),
+        ("; meta ( 5 rule one {}", ["one"], ["Unexpected token ; at line 1 column 1"]),
     ],
 )
 def test_recovery(text, names, said):

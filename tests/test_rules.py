@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from quarrymill.operators.rules import rule_hits
 from quarrymill.operators.search import search_hits
-from quarrymill.plans.patterns import PatternError, byte_regex
+from quarrymill.plans.patterns import PatternError, byte_regex, needed_texts
 from quarrymill.plans.ruletext import Pattern, read_rules
 from quarrymill.sources.config import keyword_rule, yara_pattern
 
@@ -118,6 +118,39 @@ def test_literals_are_found_where_they_stand(needle, hay, encoding):
     assert [m.span() for m in regex.finditer(hay.encode(codec))] == [m.span() for m in wanted.finditer(hay.encode(codec))]
 
 
+@pytest.mark.parametrize(
+    ("text", "hay", "spans"),
+    [
+        ("{ 61 ?? 63 }", b"abc a\nc", [(0, 3), (4, 7)]), ("{ 6? 31 }", b"a1 o1 p1", [(0, 2), (3, 5)]), ("{ ?1 }", b"1aq", [(0, 1), (1, 2), (2, 3)]),
+        ("{ 61 [1-2] 62 }", b"axb axxb axxxb", [(0, 3), (4, 8)]), ("{ 61 [2] 62 }", b"axb axxb", [(4, 8)]), ("{ 61 [-] 62 }", b"a..b", [(0, 4)]),
+        ("{ 61 ( 62 63 | 64 ) 65 }", b"abce ade", [(0, 4), (5, 8)]),
+    ],
+)
+def test_hexadecimal_strings(text, hay, spans):
+    assert [m.span() for m in re.finditer(byte_regex(yara_pattern(text)).encode("latin-1"), hay, re.S)] == spans
+
+
+@pytest.mark.parametrize("text", ["{ 6 }", "{ xy }", "{ 61 ( 62 }", "{ 61 ) }", "{ [] 61 }", "{ }"])
+def test_hexadecimal_strings_that_cannot_be_read(text):
+    with pytest.raises(PatternError):
+        yara_pattern(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("aBé. ", min_size=1, max_size=6), st.booleans(), st.sampled_from(["UTF-8", "UTF-16LE"]), st.binary(max_size=5))
+def test_hits_hold_the_texts_they_need(needle, nocase, encoding, around):
+    pattern = Pattern(needle, True, nocase, (encoding,))
+    codec = {"UTF-8": "utf-8", "UTF-16LE": "utf-16-le"}[encoding]
+    for m in re.finditer(byte_regex(pattern).encode("latin-1"), around + needle.swapcase().encode(codec) + needle.encode(codec)):
+        assert all(t in (m[0].lower() if nocase else m[0]) for t in needed_texts(pattern))
+
+
+def test_offsets_of_very_many_hits(spark):
+    data = bytes(97 + (i * i % 7) for i in range(5_000))
+    files = spark.createDataFrame([(1, bytearray(data))], "Addr long, content binary")
+    assert offsets(files, '"b+"', 1) == [m.span() for m in re.finditer(b"b+", data)]
+
+
 def test_keywords_and_yara(spark, files, tmp_path):
     (tmp_path / "words").write_text("foobaz\n\nis so\n")
     assert sorted(r["addr"] for r in rule_hits(files, [keyword_rule([str(tmp_path / "words")])]).collect()) == [1, 2]

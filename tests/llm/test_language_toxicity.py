@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from quarrymill.llm import language_id, toxicity
 from quarrymill.llm.language_id import build_parser, keep_identified, op9_language_id, phrases, predict, suffix_automaton
@@ -123,3 +125,47 @@ def test_characters_beyond_the_most_frequent_count():
     few = {"a": "abab cab", "b": "bcbc dab é", "c": "éèü dcba"}
     wide, narrow = build_parser(few), build_parser(few, 3)
     assert np.array_equal(phrases(wide, ["abcdéè x", "dcba cab"]), phrases(narrow, ["abcdéè x", "dcba cab"]))
+
+
+def test_ftrl_against_one_coordinate_at_a_time():
+    """The update rule of each coordinate, spelled out in plain numbers over dictionaries."""
+    draw = random.Random(2)
+    rows = [(" ".join(draw.choice(["good", "bad", "ugly", "fine", "so", "what"]) for _ in range(draw.randrange(0, 9))), draw.randrange(2)) for _ in range(60)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.7, 0.01
+    z, n, make = {}, {}, toxicity.Features()
+
+    def weight(c):
+        push = 0.0 if c == "bias" else l1
+        v = z.get(c, 0.0)
+        return 0.0 if abs(v) <= push else -(v - math.copysign(push, v)) / ((beta + math.sqrt(n.get(c, 0.0))) / alpha + l2)
+
+    for _ in range(3):
+        for text, label in rows:
+            there = [*set(make.of(text).tolist()), "bias"]
+            weights = {c: weight(c) for c in there}
+            slope = 1 / (1 + math.exp(-sum(weights.values()))) - label
+            for c in there:
+                seen = n.get(c, 0.0)
+                z[c] = z.get(c, 0.0) + slope - (math.sqrt(seen + slope * slope) - math.sqrt(seen)) / alpha * weights[c]
+                n[c] = seen + slope * slope
+    model = toxicity.ftrl(rows, alpha, beta, l1, l2, epochs=3)
+    wanted = {c: w for c in z if c != "bias" and (w := weight(c))}
+    assert dict(zip(model.index.tolist(), model.weight.tolist())) == pytest.approx(wanted, rel=1e-4) and model.bias == pytest.approx(weight("bias"))
+    assert 0 < len(wanted) < len(z)
+
+
+def test_features_are_words_pairs_and_skips():
+    one = toxicity.Features().of
+    assert len(one("a b c d")) == 4 + 3 + 2 and len(one("a")) == 1 and not len(one(None)) and not len(one(" ! "))
+    assert (one("A b") == one("a, b")).all() and set(one("x y").tolist()) < set(one("x y z").tolist())
+
+
+def test_more_languages_than_fifty(spark, table):
+    """Each has an alphabet of its own; none is dropped."""
+    rows, draw = [], random.Random(1)
+    for g in range(60):
+        letters = [chr(0x4E00 + 20 * g + i) for i in range(20)]
+        rows += [(len(rows) + i, " ".join("".join(draw.choice(letters) for _ in range(5)) for _ in range(30)), f"l{g:02d}") for i in range(6)]
+    docs = table(rows)
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_languages(docs, language_id.train(docs), ["doc_id"]).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)

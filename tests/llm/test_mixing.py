@@ -1,7 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -36,6 +37,34 @@ def test_targets_are_met(spark, table):
         assert sum(r["rate"] * r["size"] for r in own) == pytest.approx(target, rel=1e-6)
 
 
+def test_rates_solve_the_dual(table):
+    """Against bisection for each source in plain numbers; copies are the rate rounded down or up, but for a few single documents."""
+    draw = random.Random(5)
+    docs = [(i, " ".join(["w"] * (1 + int(draw.paretovariate(1.2) * 9))), "en", draw.choice("aaabbc")) for i in range(500)]
+    found = {r["doc_id"]: r for r in rows_of(mix(table(docs), [3.0, 1.0, 2.0], 1.2))}
+    for source in "abc":
+        own = [i for i, *_, s in docs if s == source]
+        sizes = {i: found[i]["size"] for i in own}
+        mean, target = sum(sizes.values()) / len(own), found[own[0]]["target"]
+        rate = lambda m, n: min(2.0, math.exp(min(50.0, m * n / mean)))  # noqa: B023, E731
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(rate(middle, n) * n for n in sizes.values()) < target else (low, middle)
+        if target < 2 * sum(sizes.values()):
+            assert all(found[i]["rate"] == pytest.approx(rate(low, sizes[i]), rel=1e-5) for i in own)
+        assert sum(found[i]["copies"] not in (math.floor(found[i]["rate"]), math.ceil(found[i]["rate"])) for i in own) <= 3
+
+
+def test_repeats_by_source(table):
+    """Rows that share id and size but not source keep their own copies."""
+    docs = table([(i, "w " * 30, "en", s) for s in "ab" for i in range(40)])
+    mixed = mix(docs, [1.0, 9.0], 1.0)
+    counts = {(r["doc_id"], r["source"]): r["copies"] for r in rows_of(mixed)}
+    got = Counter((r["doc_id"], r["source"]) for r in repeat_rows(docs, mixed).collect())
+    assert got == Counter({k: n for k, n in counts.items() if n}) and len({counts[i, "a"] - counts[i, "b"] for i in range(40)}) > 1
+
+
 def test_odd_rows(odd, none):
     found = rows_of(mix(odd, [3.0, 1.0, 2.0], 1.5))
     assert len(found) == odd.count()

@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm.sharding import op2_histogram_shards, shard_rows
+from quarrymill.llm.sharding import KEYS, find_splitters, op2_histogram_shards, shard_rows
 
 
 def shards_of(found, slack):
@@ -32,6 +34,26 @@ def test_even_and_grouped(spark):
     assert sum(len(s) > 1 for s in spread.values()) <= 8
 
 
+@pytest.mark.parametrize("hot", [0, 700])
+def test_splitters_against_a_full_sort(spark, hot):
+    """The weight below each splitter is within the tolerance of its target, or one row decides."""
+    draw = random.Random(hot)
+    rows = [(7 if i < hot else draw.randrange(-(2**63), 2**63), draw.randrange(-(2**63), 2**63), i, draw.choice([1, 5, 400])) for i in range(2_000)]
+    found = find_splitters(spark.createDataFrame(rows, ", ".join(f"{k} long" for k in KEYS) + ", _weight long"), 9, 0.01)
+    total = sum(r[3] for r in rows)
+    assert len(found) == 8
+    for j, (fixed, value) in enumerate(found, 1):
+        under = lambda r: r[: len(fixed)] < fixed or r[: len(fixed)] == fixed and (value is None or r[len(fixed)] < value)  # noqa: B023, E731
+        assert abs(sum(r[3] for r in rows if under(r)) - total * j / 9) <= max(0.01 * total / 9, 400)
+
+
+def test_columns_of_any_name(odd):
+    rows = odd.withColumn("w", F.lit(3)).withColumn("g", F.xxhash64("text"))
+    found = shard_rows(rows, 4, "w", "g", "doc_id")
+    assert found.columns == [c for c in rows.columns if c not in ("shard", "slot")] + ["shard", "slot"]
+    assert found.count() == odd.count() and found.where("_k1 = 'clash' AND _weight = 'clash' AND task = 'clash' AND row = 'clash'").count() == odd.count()
+
+
 def test_rows_that_nothing_tells_apart(spark):
     df = spark.createDataFrame([(1, 5, 10)] * 100, "id long, g long, w long")
     assert set(shards_of(shard_rows(df, 4, "w", "g", "id").collect(), 0).values()) == {250}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from quarrymill.engine import Engine
 from quarrymill.functions.blake3 import record_id
 from quarrymill.functions.content import digest
 from quarrymill.functions.labels import META_FLAGS, NAME_TYPES, VOLUME_SYSTEMS, file_system_id, flag_labels, format_timestamp, label_of, up_to_nul
+from quarrymill.operators.images import image_documents
 from quarrymill.operators.rules import files_with_hits, hit_report, join_files, rule_hits, rules_table
 from quarrymill.operators.search import hit_counts, search_hits
 from quarrymill.operators.signatures import Check, Signature, identify
@@ -496,12 +498,35 @@ def block_ranges_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_ranges(live, ["fs"])
 
 
-@query("""SELECT r_regionkey AS image, count(*) AS volumes, string_agg(n_name, ',' ORDER BY n_nationkey) AS listed FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+@query("""WITH p AS (SELECT o_orderkey AS image, 0 AS nth, 'image' AS kind, min(o_orderpriority) AS detail FROM orders GROUP BY 1
+UNION ALL SELECT o_orderkey, 1, CASE WHEN min(o_orderstatus) = 'P' THEN 'file_system' ELSE 'volume_system' END, min(o_orderstatus) FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1
+UNION ALL SELECT l_orderkey, 2 * l_linenumber, 'volume', min(l_linestatus) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0) GROUP BY 1, 2
+UNION ALL SELECT l_orderkey, 2 * l_linenumber + 1, 'file_system', min(l_returnflag) FROM lineitem WHERE l_returnflag <> 'N' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1, 2),
+w AS (SELECT *, lag(kind) OVER o AS before, CASE WHEN lead(kind) OVER o = 'file_system' THEN ':' || lead(detail) OVER o ELSE '' END AS within FROM p WINDOW o AS (PARTITION BY image ORDER BY nth)),
+f AS (SELECT *, kind = 'image' OR kind = 'volume_system' OR (kind = 'file_system' AND before <> 'file_system') OR (kind = 'volume' AND before IN ('volume_system', 'volume', 'file_system')
+  AND count(*) FILTER (kind = 'volume_system') OVER (PARTITION BY image) > 0) AS fits FROM w),
+g AS (SELECT image, arg_min(kind || ' after ' || before, nth) FILTER (NOT fits) AS fault, min(detail) FILTER (kind = 'image') AS described, min(detail) FILTER (kind = 'volume_system') AS system,
+  min(detail) FILTER (kind = 'file_system' AND before = 'image') AS files, string_agg(detail || within, ',' ORDER BY nth) FILTER (kind = 'volume') AS volumes FROM f GROUP BY image)
+SELECT image, fault, CASE WHEN fault IS NULL THEN described END AS described, CASE WHEN fault IS NULL THEN system END AS system, CASE WHEN fault IS NULL THEN files END AS files,
+CASE WHEN fault IS NULL AND system IS NOT NULL THEN coalesce(volumes, '') END AS volumes FROM g""")
 def image_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested descriptions: an image with its volumes in order."""
-    volumes = F.array_sort(F.collect_list(F.struct(F.col("n_nationkey").alias("addr"), F.col("n_name").alias("description"))))
-    images = table(spark, sf_dir, "region").join(table(spark, sf_dir, "nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(volumes.alias("volumes"))
-    return images.select(F.col("r_regionkey").alias("image"), F.size("volumes").cast("long").alias("volumes"), F.array_join("volumes.description", ",").alias("listed"))
+    """Orders as images, their line items as volumes of which some hold a file system; some orders have their file system in the image, some have parts where none may be."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_orderkey").alias("image")).agg(F.min("o_orderpriority").alias("described"), F.min("o_orderstatus").alias("status"))
+    second = F.when(F.col("status") == "P", "file_system").otherwise("volume_system")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("image"), "l_linenumber", "l_linestatus", "l_returnflag").join(orders, "image").where("status <> 'P' OR image % 2 = 0")
+    kept = items.where("l_returnflag <> 'N' AND status <> 'P'")
+    parts = [
+        orders.select("image", F.lit(0).alias("nth"), F.lit("image").alias("kind"), F.col("described").alias("detail")),
+        orders.where("image % 11 <> 0").select("image", F.lit(1), second, "status"),
+        items.groupBy("image", F.expr("2 * l_linenumber")).agg(F.lit("volume"), F.min("l_linestatus")),
+        kept.groupBy("image", F.expr("2 * l_linenumber + 1")).agg(F.lit("file_system"), F.min("l_returnflag")),
+    ]
+    found = image_documents(reduce(DataFrame.union, parts))
+    shown = F.transform("document.volume_system.volumes", lambda v: F.concat(v["detail"], F.coalesce(F.concat(F.lit(":"), v["file_system"]["detail"]), F.lit(""))))
+    return found.select(
+        "image", "fault", F.col("document.detail").alias("described"), F.col("document.volume_system.detail").alias("system"),
+        F.col("document.file_system.detail").alias("files"), F.array_join(shown, ",").alias("volumes"),
+    )
 
 
 @query("""WITH r AS (SELECT l_orderkey AS inum, l_linenumber AS nth, min(l_partkey) AS addr, min(l_quantity)::BIGINT AS len, CASE WHEN min(l_returnflag) = 'R' THEN 'Sparse' WHEN min(l_returnflag) = 'N' AND l_linenumber = 2 THEN 'Filler' ELSE '' END AS flags

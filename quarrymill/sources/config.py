@@ -37,6 +37,12 @@ def signatures_from_json(text: str) -> list[Signature]:
     return [signature_of(d) for d in json.loads(text)]
 
 
+def signature_file(path: str) -> list[Signature]:
+    if not Path(path).is_file():
+        raise FileNotFoundError(f"no signature file {path}")
+    return signatures_from_json(Path(path).read_text())
+
+
 def yara_pattern(text: str, modifiers: tuple[str, ...] = ()) -> Pattern:
     """A YARA string as a pattern: hexadecimal bytes in braces, with wild cards, jumps and alternatives, or text with wide, ascii, nocase and fullword.
     Raises PatternError for braces that hold anything else."""

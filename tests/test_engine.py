@@ -77,3 +77,13 @@ def test_stream(spark, folder):
     (folder / "in" / "d.txt").write_bytes(b"a needle")
     run()
     assert sorted(r["name"] for r in spark.read.parquet(str(folder / "out" / "rule_hits")).collect()) == ["a.txt", "b.txt", "d.txt"]
+
+
+def test_command_line_with_signatures(spark, folder):
+    (folder / "known.json").write_text('[{"id": "hay", "name": "Hay", "pattern": "hay", "checks": []}]')
+    (folder / "by_type").write_text('rule typed { signature: name == "Hay" }')
+    found = str(folder / "typed")
+    assert cli.main(["-f", str(folder / "by_type"), "-f", str(folder / "rules" / "more"), "-s", str(folder / "known.json"), found, str(folder / "in")]) == 0
+    assert sorted(r["name"] for r in spark.read.parquet(f"{found}/rule_hits").collect()) == ["a.txt", "b.txt", "c.txt"]
+    with pytest.raises(FileNotFoundError):
+        cli.main(["-s", str(folder / "none"), found, str(folder / "in")])

@@ -61,9 +61,14 @@ def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 16 << 20)
             spark.conf.set(key, str(most))
 
 
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever characters are in it."""
+    return "`{}`".format(name.replace("`", "``"))
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of df, whatever characters are in their names."""
-    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+    return [F.col(quoted(c)) for c in df.columns]
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -71,7 +71,7 @@ def told(df):
 
 
 def test_chains_of_forms(table):
-    words = {"kitten": 1100, "kittens": 208, "kittenss": 40, "kittensss": 8, "kitton": 90, "sitten": 120, "other": 999, "otters": 4}
+    words = {"kitten": 1100, "kittens": 208, "kittenss": 40, "kittensss": 8, "kitton": 90, "sitten": 400, "other": 999, "otters": 4}
     rows = [(i, " ".join(w for w in words for _ in range(words[w] // 4))) for i in range(4)] + [(9, "otters " * 3 + "Kitten KITTEN kittén")]
     found = told(spelling_variants(table(rows)))
     assert found == wanted_rows(rows) and found["kittensss"][1] == "kitten" and found["sitten"][0] is None

@@ -31,7 +31,7 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 #: How many times as frequent as a word its form is.
 DOMINANT = 5
 #: Words of a trie that one task merges.
-MOST = 8_192
+MOST = 4_096
 
 
 def words_of(doc_id: int | None, text: str, least: int = LEAST) -> Counter[str]:
@@ -159,7 +159,7 @@ def _prefix(length: Column) -> Column:
 def _branching(words: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
     """Words below the large nodes, by the node that their trie hangs from (at, word, n), and the light words of the large nodes (word, n, depth, c, heavy)."""
     below, light = [], []
-    left = words.withColumn("at", F.lit(""))
+    left = words.withColumn("at", _prefix(F.lit(0)))
     while True:
         nodes = stage(left.groupBy("at").agg(F.count("*").alias("size"), F.min("word").alias("least"), F.max("word").alias("greatest")), "nodes")
         # A large node has over `most` words, so there are at most 1/most as many of them as there are words.

@@ -10,9 +10,9 @@ from quarrymill.functions.content import digest
 from quarrymill.functions.identities import with_inode_id, with_record_id
 from quarrymill.operators.rules import rule_hits, rules_table
 from quarrymill.operators.search import search_hits
-from quarrymill.operators.signatures import Signature, identify
+from quarrymill.operators.signatures import Signature, identify, signature_faults
 from quarrymill.plans.patterns import PatternError, byte_regex
-from quarrymill.plans.ruletext import Pattern, Rule, RuleError, read_rules
+from quarrymill.plans.ruletext import Pattern, Rule, RuleError, RuleSet, read_rules
 from quarrymill.sources.config import keyword_rule, rule_file, rule_folder
 from quarrymill.sources.files import DIRENT, HASH, INODE, folders_below, full_table, open_source, qualified
 
@@ -37,8 +37,7 @@ class Engine:
         return self._add(rule_folder(path))
 
     def load_keywords(self, *paths: str) -> Engine:
-        self.rules.append(keyword_rule(list(paths)))
-        return self
+        return self._add(RuleSet([keyword_rule(list(paths))], []))
 
     def _add(self, found) -> Engine:
         self.errors += found.errors
@@ -59,6 +58,7 @@ class Engine:
 
     def with_signatures(self, signatures: list[Signature]) -> Engine:
         self.signatures = signatures
+        self.errors += signature_faults(signatures)
         return self
 
     def scan(self, source: DataFrame | str, hashes: tuple[str, ...] = ("md5", "sha1", "sha256"), metadata_only: bool = False) -> Scan:

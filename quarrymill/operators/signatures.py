@@ -1,22 +1,23 @@
 """File types by magic signatures.
 
-Signatures are a list known to the driver. Each becomes predicates over the content, and one expression ranks them: first the patterns
-anchored at the start, longest significant length first; then the checks of the signature registered for the file's extension; then
-the checks of all signatures in their order. It is a projection: files are not joined with signatures.
+Signatures are a list known to the driver, by the hundred or thousand. They become constant tables within one expression, whose size does not depend on their
+number: a file's leading bytes and the bytes at the offsets that checks read are looked up, and only the signatures found there are tried. They rank so: first
+the patterns anchored at the start, longest significant length first; then the checks of the signature registered for the file's extension; then the checks
+of all signatures in their order. It is a projection: files are not joined with signatures.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.content import as_latin1
+from quarrymill.plans.analysis import heads
 from quarrymill.plans.patterns import PatternError, byte_regex
 from quarrymill.plans.ruletext import Pattern
 
@@ -87,66 +88,156 @@ def signature_of(doc: dict) -> Signature:
 
 
 # What a check's comparison says of one byte (a, masked) and the expected one (b). `&` is equality and `^` holds unless the bytes are complements.
-_BYTE: dict[str, Callable[[Column, int], Column]] = {
+_FOLDED = lambda x: F.when(x.between(97, 122), x - 32).otherwise(x)
+_BYTE: dict[str, Callable[[Column, Column], Column]] = {
     "=": lambda a, b: a == b,
-    "=/c": lambda a, b: F.when(a.between(97, 122), a - 32).otherwise(a) == (b - 32 if 97 <= b <= 122 else b),
+    "=/c": lambda a, b: _FOLDED(a) == _FOLDED(b),
     "!": lambda a, b: a != b,
     ">": lambda a, b: a > b,
     "<": lambda a, b: a < b,
     "&": lambda a, b: a == b,
     "^": lambda a, b: a != 255 - b,
-    "OR": lambda a, b: a.bitwiseOR(F.lit(b)) != 0,
-    "NOR": lambda a, b: a.bitwiseOR(F.lit(b)) == 0,
+    "OR": lambda a, b: a.bitwiseOR(b) != 0,
+    "NOR": lambda a, b: a.bitwiseOR(b) == 0,
 }
+_CHECK = "struct<compare:string,offset:bigint,from_start:boolean,value:string,mask:string>"
+
+
+def _constant(value: object, kind: str) -> Column:
+    """A value as a column that Spark evaluates once for each query."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _row(check: Check) -> dict:
+    return {"compare": check.compare, "offset": check.offset, "from_start": check.from_start, "value": check.value.hex(), "mask": check.mask.hex()}
+
+
+def _place(offset: Column, from_start: Column, size: Column) -> Column:
+    return F.when(from_start, offset).otherwise(size + offset)
+
+
+def _byte_at(digits: Column, i: Column) -> Column:
+    """The byte at i (from 0) of hexadecimal digits, as a number."""
+    return F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+
+
+def _check(c: Column, content: Column, size: Column) -> Column:
+    """Whether a check (a row of _CHECK) holds: false if the file does not reach as far as it reads."""
+    n = (F.length(c["value"]) / 2).cast("int")
+    at = _place(c["offset"], c["from_start"], size)
+    piece = F.lower(F.hex(F.substring(content, (at + 1).cast("int"), n)))
+
+    def byte_holds(i: Column) -> Column:
+        mask = F.when(c["mask"] == "", F.lit(255)).otherwise(_byte_at(c["mask"], i % F.greatest(F.lit(1), (F.length(c["mask"]) / 2).cast("int"))))
+        a, b = _byte_at(piece, i).bitwiseAND(mask), _byte_at(c["value"], i)
+        told = F.lit(False)
+        for compare, holds in _BYTE.items():
+            told = F.when(c["compare"] == compare, holds(a, b)).otherwise(told)
+        return told
+
+    whole = (c["compare"] == "=") & (c["mask"] == "")
+    each = F.when(n == 0, F.lit(True)).otherwise(F.forall(F.sequence(F.lit(0), n - 1), byte_holds))
+    return (at >= 0) & (at + n <= size) & F.when(whole, piece == c["value"]).otherwise(each)
 
 
 def check_holds(check: Check, content: Column) -> Column:
     """False if the file does not reach as far as the check reads."""
-    size, n = F.octet_length(content), len(check.value)
-    at = F.lit(check.offset) if check.from_start else size + F.lit(check.offset)
-    there = (at >= 0) & (at + n <= size)
-    piece = F.substring(content, at + 1, F.lit(n))
-    if check.compare == "=" and not check.mask:
-        return there & (piece == F.lit(check.value))
-    view = as_latin1(piece)
-    tests = []
-    for i, expected in enumerate(check.value):
-        byte = F.ascii(F.substring(view, i + 1, 1))
-        tests.append(_BYTE[check.compare](byte.bitwiseAND(F.lit(check.mask[i % len(check.mask)])) if check.mask else byte, expected))
-    return there & reduce(and_, tests, F.lit(True))
-
-
-def _all_checks(s: Signature, content: Column) -> Column:
-    return reduce(and_, [check_holds(c, content) for c in s.checks]) if s.checks else F.lit(False)
-
-
-def _starts(s: Signature, head: Column) -> Column | None:
-    if not s.pattern:
-        return None
+    return _check(F.element_at(_constant([_row(check)], f"array<{_CHECK}>"), 1), content, F.octet_length(content))
+
+
+def signature_faults(signatures: list[Signature]) -> list[PatternError]:
+    """Why patterns of signatures cannot be searched. Such a signature is known by its checks alone."""
+    faults = []
+    for s in signatures:
+        try:
+            _anchored(s)
+        except PatternError as error:
+            faults.append(PatternError(f"signature {s.id}: {error}"))
+    return faults
+
+
+def _anchored(s: Signature) -> str | None:
+    return byte_regex(Pattern(s.pattern, s.fixed, s.nocase, s.encodings)) if s.pattern else None
+
+
+def _readable(s: Signature) -> str | None:
     try:
-        return head.rlike(rf"\A(?s:{byte_regex(Pattern(s.pattern, s.fixed, s.nocase, s.encodings))})")
+        return _anchored(s)
     except PatternError:
         return None
 
 
+def _led(regexes: list[str]) -> dict[str, list[int]]:
+    """Ordinals of expressions by the two or the one byte that their hits begin with, as hexadecimal digits; under "" those that begin with anything."""
+    out: dict[str, list[int]] = {"": []}
+    for i, regex in enumerate(regexes):
+        for key in heads(regex, 2) or heads(regex, 1) or {b""}:
+            out.setdefault(key.hex(), []).append(i)
+    return out
+
+
+def _probed(signatures: list[Signature]) -> tuple[list[dict], dict[str, list[int]]]:
+    """Places that tell signatures apart, and the ordinals of signatures by place and bytes there; under "" those without a check for equality."""
+    places: dict[str, dict] = {}
+    out: dict[str, list[int]] = {"": []}
+    for i, s in enumerate(signatures):
+        plain = [c for c in s.checks if c.compare == "=" and not c.mask and c.value]
+        if not plain:
+            out[""].append(i)
+            continue
+        c = max(plain, key=lambda c: len(c.value))
+        n = min(len(c.value), 4)
+        name = f"{c.from_start:d} {c.offset} {n} "
+        places[name] = {"name": name, "offset": c.offset, "from_start": c.from_start, "n": n}
+        out.setdefault(name + c.value[:n].hex(), []).append(i)
+    return list(places.values()), out
+
+
 def identify(files: DataFrame, signatures: list[Signature]) -> DataFrame:
     """files (Name, content) with sig_id, sig_name and sig_stage (1 to 3); null where no signature fits or the content is empty.
 
-    Anchored patterns see the whole content. Of equally long patterns the one that is listed first wins.
+    Anchored patterns see the whole content. Of equally long patterns the one that is listed first wins. A pattern that cannot be read is not
+    searched; signature_faults() lists it.
     """
-    content, head = F.col("content"), F.col("_head")
-    by_length = sorted(signatures, key=lambda s: -significant_length(s.pattern))
-    ranked = [(1, s, test) for s in by_length if (test := _starts(s, head)) is not None]
-    extension = F.upper(F.regexp_extract("Name", r"\.([^./]+)$", 1))
-    first: dict[str, Signature] = {}
-    for s in signatures:
+    content, size, head = F.col("content"), F.octet_length("content"), F.col("_head")
+    by_length = sorted(((s, x) for s in signatures if (x := _readable(s))), key=lambda p: -significant_length(p[0].pattern))
+    checked = [s for s in signatures if s.checks]
+    first: dict[str, int] = {}
+    for i, s in enumerate(signatures):
         for e in s.extensions:
-            first.setdefault(e, s)
-    ranked += [(2, s, (extension == e) & _all_checks(s, content)) for e, s in first.items() if s.checks]
-    ranked += [(3, s, _all_checks(s, content)) for s in signatures if s.checks]
-    found = F.lit(None).cast("struct<id:string,name:string,stage:int>")
-    for stage, s, test in reversed(ranked):
-        found = F.when(test, F.struct(F.lit(s.id).alias("id"), F.lit(s.name or s.description).alias("name"), F.lit(stage).alias("stage"))).otherwise(found)
-    seen = files.withColumn("_head", as_latin1(F.col("content")))
-    told = seen.withColumn("_sig", F.when(F.octet_length("content") > 0, found))
-    return told.withColumns({"sig_id": F.col("_sig.id"), "sig_name": F.col("_sig.name"), "sig_stage": F.col("_sig.stage")}).drop("_sig", "_head")
+            first.setdefault(e, i)
+    ints, none = "map<string,array<int>>", F.array().cast("array<int>")
+    ids, names = (_constant(x, "array<string>") for x in ([s.id for s in signatures], [s.name or s.description for s in signatures]))
+    own = {id(s): i for i, s in enumerate(signatures)}
+
+    def at(table: Column, key: Column) -> Column:
+        return F.coalesce(F.try_element_at(table, key), none)
+
+    # Stage 1: patterns by leading bytes; ordinals are ranks.
+    regexes = _constant([rf"\A(?s:{x})" for _, x in by_length], "array<string>")
+    led = _constant(_led([x for _, x in by_length]), ints)
+    lead = lambda n: F.lower(F.hex(F.substring(content, 1, n)))
+    tried = F.concat(*[at(led, k) for k in (lead(2), lead(1), F.lit(""))])
+    starts = F.array_min(F.filter(tried, lambda i: F.rlike(head, F.get(regexes, i))))
+    anchored = F.get(_constant([own[id(s)] for s, _ in by_length], "array<int>"), starts)
+    # Stage 2: the signature of the extension. Stage 3: signatures by the bytes at the places that checks read.
+    checks = _constant([[_row(c) for c in s.checks] for s in signatures], f"array<array<{_CHECK}>>")
+    holds = lambda i: F.forall(F.get(checks, i), lambda c: _check(c, content, size))
+    extension = F.upper(F.regexp_extract("Name", r"\.([^./]+)$", 1))
+    named = F.try_element_at(_constant({e: i for e, i in first.items() if signatures[i].checks}, "map<string,int>"), extension)
+    places, probed = _probed(checked)
+    probed = {k: [own[id(checked[i])] for i in v] for k, v in probed.items()}
+    probes = _constant(places, "array<struct<name:string,offset:bigint,from_start:boolean,n:int>>")
+    seen = lambda p: F.lower(F.hex(F.substring(content, (_place(p["offset"], p["from_start"], size) + 1).cast("int"), p["n"])))
+    there = lambda p: _place(p["offset"], p["from_start"], size) >= 0
+    table = _constant(probed, ints)
+    met = F.flatten(F.transform(probes, lambda p: F.when(there(p), at(table, F.concat(p["name"], seen(p)))).otherwise(none)))
+    checked_first = F.array_min(F.filter(F.concat(met, at(table, F.lit(""))), holds))
+
+    def told(stage: int, i: Column) -> Column:
+        return F.when(i.isNotNull(), F.struct(F.get(ids, i).alias("id"), F.get(names, i).alias("name"), F.lit(stage).alias("stage")))
+
+    found = F.coalesce(told(1, anchored), told(2, F.when(holds(named), named)), told(3, checked_first))
+    seen_whole = files.withColumn("_head", as_latin1(content))
+    out = seen_whole.withColumn("_sig", F.when(size > 0, found))
+    return out.withColumns({"sig_id": F.col("_sig.id"), "sig_name": F.col("_sig.name"), "sig_stage": F.col("_sig.stage")}).drop("_sig", "_head")

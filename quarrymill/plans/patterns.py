@@ -81,10 +81,12 @@ def byte_regex(pattern: Pattern) -> str:
     forms = list(dict.fromkeys(_in_encoding(pattern, e) for e in pattern.encodings or DEFAULT))
     joined = forms[0] if len(forms) == 1 else "|".join(f"(?:{f})" for f in forms)
     try:
-        compiled = re.compile(joined.encode("latin-1"))
-    except re.error as error:
+        # The least width of the parsed pattern, since edges of words and the like are nothing too, wherever they stand.
+        least = re._parser.parse(joined.encode("latin-1"), re.S).getwidth()[0]
+        re.compile(joined.encode("latin-1"))
+    except (re.error, RecursionError, OverflowError) as error:
         raise PatternError(f"cannot read pattern {pattern.text!r}: {error}") from error
-    if compiled.fullmatch(b""):
+    if least == 0:
         raise PatternError(f"pattern {pattern.text!r} can match nothing")
     return joined
 

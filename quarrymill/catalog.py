@@ -373,6 +373,27 @@ def sig_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(files_of(spark, sf_dir), CHECKS).select(F.col("Addr").alias("addr"), "sig_id")
 
 
+#: Over 900 signatures: every capital with a small letter, longer ones that outrank some of these, ends of files by extension or not, and bytes within the head.
+LONGER = ("The", "And", "Thi", "Thh", "Les", "Des", "Een", "Het", "Las", "Los", "Der", "Die", "Das", "Und", "Una", "Une")
+LETTERS = [chr(c) for c in range(97, 123)]
+MANY_SIGNATURES = [
+    *[Signature(f"pair {a.upper()}{b}", pattern=a.upper() + b) for a in LETTERS for b in LETTERS], *[Signature(f"long {x}", pattern=rf"{x[0]}\x{ord(x[1]):02x}{x[2]}", fixed=False) for x in LONGER],
+    *[Signature(f"third {a}", checks=(Check("=", 2, True, a.encode()),)) for a in LETTERS[::2]],
+    *[Signature(f"end {a}{b}", checks=(Check("=/c", -2, False, (a + b).encode()), Check("!", 0, True, b" ")), extensions=("TXT",) * (a + b == "a.")) for b in ".,!?:;|" for a in LETTERS],
+]
+
+
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), h AS (SELECT *, encode(text) AS b FROM t) SELECT doc_id AS addr,
+CASE WHEN left(text, 3) IN (""" + ", ".join(f"'{x}'" for x in LONGER) + """) THEN 'long ' || left(text, 3) WHEN regexp_matches(text, '^[A-Z][a-z]') THEN 'pair ' || left(text, 2)
+WHEN regexp_matches(text, '[aA][.]$') AND left(text, 1) <> ' ' THEN 'end a.' WHEN regexp_matches(substr(hex(b), 5, 2), '^(6[13579BDF]|7[13579])$') THEN 'third ' || chr(('0x' || substr(hex(b), 5, 2))::INT)
+WHEN regexp_matches(text, '[A-Za-z][.,!?:;|]$') AND left(text, 1) <> ' ' THEN 'end ' || lower(right(text, 2)) END AS sig_id,
+CASE WHEN regexp_matches(text, '^[A-Z][a-z]') THEN 1 WHEN regexp_matches(text, '[aA][.]$') AND left(text, 1) <> ' ' THEN 2
+WHEN regexp_matches(substr(hex(b), 5, 2), '^(6[13579BDF]|7[13579])$') OR regexp_matches(text, '[A-Za-z][.,!?:;|]$') AND left(text, 1) <> ' ' THEN 3 END AS sig_stage FROM h""")
+def sig_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over 900 signatures in one pass."""
+    return identify(files_of(spark, sf_dir), MANY_SIGNATURES).select(F.col("Addr").alias("addr"), "sig_id", "sig_stage")
+
+
 @query("""SELECT sig_id, sig_stage, count(*) AS files FROM (SELECT CASE WHEN html LIKE '<!DOCTYPE html><html lang="fr"%' THEN 'long' WHEN lower(left(html, 15)) = '<!doctype html>' THEN 'html'
 WHEN right(html, 1) = '>' THEN 'end' END AS sig_id, CASE WHEN lower(left(html, 15)) = '<!doctype html>' THEN 1 WHEN right(html, 1) = '>' THEN 3 END AS sig_stage FROM pages) GROUP BY ALL""")
 def sig_rank_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,6 +485,28 @@ def path_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full_paths(rows).select(F.col("MetaAddr").alias("addr"), F.col("FullPath").alias("path"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, o_orderkey % 2 AS fs FROM orders),
+d AS (SELECT DISTINCT fs, o_custkey FROM o), l AS (SELECT l_orderkey, l_linenumber, l_orderkey % 2 AS fs FROM lineitem)
+SELECT fs, (1000000000 + o_custkey)::BIGINT AS addr, 'top/c' || o_custkey AS path FROM d
+UNION ALL SELECT fs, o_orderkey + 10, 'top/c' || o_custkey || '/o' || o_orderkey FROM o
+UNION ALL SELECT fs, NULL, 'lost' || l_orderkey || '-' || l_linenumber FROM l WHERE l_linenumber = 7
+UNION ALL SELECT o.fs, 2000000000 + o_orderkey // 4, 'top/c' || o_custkey || '/o' || o_orderkey || '/same' FROM o
+UNION ALL SELECT fs, 1, 'top' FROM (VALUES (0), (1)) AS t(fs)""")
+def path_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full paths where files have several names in several folders (orders share files), addresses repeat in two file systems, and some names have no parent."""
+    o, l_ = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    fs, folder = (F.col("o_orderkey") % 2).alias("fs"), (F.col("o_custkey") + 1_000_000_000).cast("long")
+    row = lambda df, f, a, up, name: df.select(f, a.cast("long").alias("MetaAddr"), up.cast("long").alias("ParentAddr"), name.alias("Name"))
+    text = lambda c: F.col(c).cast("string")
+    rows = row(o, fs, folder, F.lit(1), F.concat(F.lit("c"), text("o_custkey"))).distinct()
+    rows = rows.union(row(o, fs, F.col("o_orderkey") + 10, folder, F.concat(F.lit("o"), text("o_orderkey"))))
+    rows = rows.union(row(o, fs, F.floor(F.col("o_orderkey") / 4) + 2_000_000_000, F.col("o_orderkey") + 10, F.lit("same")))
+    lost = l_.where("l_linenumber = 7")
+    rows = rows.union(row(lost, (F.col("l_orderkey") % 2).alias("fs"), F.lit(None), F.lit(None), F.concat(F.lit("lost"), text("l_orderkey"), F.lit("-"), text("l_linenumber"))))
+    rows = rows.union(row(spark.range(2), F.col("id").alias("fs"), F.lit(1), F.lit(1), F.lit("top")))
+    return full_paths(rows, file_system="fs").select("fs", F.col("MetaAddr").alias("addr"), F.col("FullPath").alias("path"))
+
+
 @query(f"WITH {FILES}, p AS (SELECT DISTINCT string_split(Path, '/') AS x FROM files) SELECT DISTINCT '/' || x[2] AS path, x[3] AS name FROM p WHERE x[3] <> '' UNION SELECT DISTINCT '', x[2] FROM p")
 def folder_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders_of(files_of(spark, sf_dir)).select(F.col("Path").alias("path"), F.col("Name").alias("name"))

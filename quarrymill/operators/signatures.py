@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.content import as_latin1
+from quarrymill.functions.content import as_latin1, let
 from quarrymill.plans.analysis import heads
 from quarrymill.plans.patterns import PatternError, byte_regex
 from quarrymill.plans.ruletext import Pattern
@@ -129,7 +129,9 @@ def _check(c: Column, content: Column, size: Column) -> Column:
 
     def byte_holds(i: Column) -> Column:
         mask = F.when(c["mask"] == "", F.lit(255)).otherwise(_byte_at(c["mask"], i % F.greatest(F.lit(1), (F.length(c["mask"]) / 2).cast("int"))))
-        a, b = _byte_at(piece, i).bitwiseAND(mask), _byte_at(c["value"], i)
+        return let(F.struct(_byte_at(piece, i).bitwiseAND(mask).alias("a"), _byte_at(c["value"], i).alias("b")), lambda x: compared(x["a"], x["b"]))
+
+    def compared(a: Column, b: Column) -> Column:
         told = F.lit(False)
         for compare, holds in _BYTE.items():
             told = F.when(c["compare"] == compare, holds(a, b)).otherwise(told)
@@ -235,9 +237,9 @@ def identify(files: DataFrame, signatures: list[Signature]) -> DataFrame:
     checked_first = F.array_min(F.filter(F.concat(met, at(table, F.lit(""))), holds))
 
     def told(stage: int, i: Column) -> Column:
-        return F.when(i.isNotNull(), F.struct(F.get(ids, i).alias("id"), F.get(names, i).alias("name"), F.lit(stage).alias("stage")))
+        return let(i, lambda i: F.when(i.isNotNull(), F.struct(F.get(ids, i).alias("id"), F.get(names, i).alias("name"), F.lit(stage).alias("stage"))))
 
-    found = F.coalesce(told(1, anchored), told(2, F.when(holds(named), named)), told(3, checked_first))
+    found = F.coalesce(told(1, anchored), told(2, let(named, lambda i: F.when(holds(i), i))), told(3, checked_first))
     seen_whole = files.withColumn("_head", as_latin1(content))
     out = seen_whole.withColumn("_sig", F.when(size > 0, found))
     return out.withColumns({"sig_id": F.col("_sig.id"), "sig_name": F.col("_sig.name"), "sig_stage": F.col("_sig.stage")}).drop("_sig", "_head")

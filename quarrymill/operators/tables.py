@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrymill.sources.staging import kept
+
 
 def first_inodes(inode: DataFrame, file_system: str = "FsOffset") -> DataFrame:
     """One row per address of a file system: hard links give one inode."""
@@ -26,26 +28,38 @@ def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b).withColumn("side", F.lit("left")).union(b.subtract(a).withColumn("side", F.lit("right")))
 
 
-def full_paths(dirent: DataFrame, most_levels: int = 1 << 16) -> DataFrame:
-    """dirent with FullPath: the names from the root joined by "/", by parent addresses (MetaAddr, ParentAddr, Name).
+def full_paths(dirent: DataFrame, most_levels: int = 1 << 16, file_system: str | None = None) -> DataFrame:
+    """dirent with FullPath: the names from the root joined by "/", by parent addresses (MetaAddr, ParentAddr, Name), within each file system.
+
+    Each name gets one path, that of its own parent, so files with several names (hard links) and names without metadata (null MetaAddr) have theirs. Of a folder
+    with several names the first one, by parent and name, leads the paths below it. A name whose parent is not in the table, is null or is itself is a root.
+    file_system: the column that tells file systems apart; FsOffset if there is one.
 
-    Pointers double with each round, so depth d takes log2(d) joins of the table with itself. A name whose parent is
-    not in the table is a root. Raises ValueError if names are left after most_levels: no tree is so deep, their parents go in a circle.
+    Only folders are followed. Their pointers double with each round, so depth d takes log2(d) joins. Raises ValueError if names are left
+    after most_levels: no tree is so deep, their parents go in a circle.
     """
-    at = dirent.select("MetaAddr", F.col("ParentAddr").alias("up"), F.col("Name").alias("part"))
-    tree, levels = at, 1
-    while levels < most_levels:
-        above = tree.select(F.col("MetaAddr").alias("a"), F.col("up").alias("a_up"), F.col("part").alias("a_part"))
-        tree = tree.join(above, F.col("up") == F.col("a"), "left").select(
-            "MetaAddr", F.col("a_up").alias("up"), F.when(F.col("a").isNull(), F.col("part")).otherwise(F.concat_ws("/", "a_part", "part")).alias("part")
-        )
-        tree = tree.checkpoint() if dirent.sparkSession.sparkContext.getCheckpointDir() else tree.persist()
-        levels *= 2
+    fs = F.col(file_system or "FsOffset") if file_system or "FsOffset" in dirent.columns else F.lit(0)
+    named = dirent.select(fs.alias("fs"), F.col("MetaAddr").alias("a"), F.nullif("ParentAddr", "MetaAddr").alias("up"), F.col("Name").alias("part"))
+    used = named.select("fs", F.col("up").alias("a")).distinct()
+    same = lambda x, y: F.col(f"{x}.fs").eqNullSafe(F.col(f"{y}.fs"))
+    folders = named.alias("n").join(used.alias("u"), same("n", "u") & (F.col("n.a") == F.col("u.a")), "left_semi")
+    tree = folders.groupBy("fs", "a").agg(F.min(F.struct("up", "part")).alias("first")).select("fs", "a", "first.up", "first.part")
+    levels = 1
+    while True:
+        tree = kept(tree)
         if tree.where("up IS NOT NULL").isEmpty():
             break
-    else:
-        raise ValueError(f"parents go in a circle, or lie over {most_levels} levels up")
-    return dirent.join(tree.select("MetaAddr", F.col("part").alias("FullPath")), "MetaAddr")
+        if levels >= most_levels:
+            raise ValueError(f"parents go in a circle, or lie over {most_levels} levels up")
+        t, above = tree.alias("t"), tree.alias("above")
+        tree = t.join(above, same("t", "above") & (F.col("t.up") == F.col("above.a")), "left").select(
+            "t.fs", "t.a", "above.up", F.concat_ws("/", "above.part", "t.part").alias("part")
+        )
+        levels *= 2
+    (own,) = [c for c in ("_parent", "__parent") if c not in dirent.columns][:1]
+    paths = tree.select(F.col("fs").alias(f"{own}_fs"), F.col("a").alias(f"{own}_a"), F.col("part").alias(own))
+    met = dirent.join(paths, fs.eqNullSafe(F.col(f"{own}_fs")) & (F.nullif("ParentAddr", "MetaAddr") == F.col(f"{own}_a")), "left")
+    return met.withColumn("FullPath", F.concat_ws("/", own, "Name")).drop(own, f"{own}_fs", f"{own}_a")
 
 
 def merge_ranges(ranges: DataFrame, by: list[str], stretch: int = 1 << 20) -> DataFrame:

@@ -14,7 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.content import as_latin1, digest
+from quarrymill.functions.content import as_latin1, digest, let
 from quarrymill.plans.patterns import byte_regex, needed_texts
 from quarrymill.plans.ruletext import ALGORITHMS, Both, Call, Either, Pattern, Property, Rule, calls_in
 
@@ -53,11 +53,6 @@ def signature_predicate(rule: Rule) -> Column:
     return F.coalesce(_fold(rule.signature, lambda p: _property(p, SIGNATURE_COLUMNS)), F.lit(False))
 
 
-def _with(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once for each row."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 #: Marks before and behind each hit; a view of bytes has neither character.
 _FROM, _TO = "\ue000", "\ue001"
 
@@ -72,7 +67,7 @@ def gaps_and_sizes(view: Column, regex: str) -> Column:
             F.slice(x, F.lit(2), F.size(x) - 1), lambda hit, i: F.struct((F.length(before(i)) - F.instr(before(i), _TO)).alias("gap"), (F.instr(hit, _TO) - 1).alias("size"))
         )
 
-    return _with(pieces, sizes)
+    return let(pieces, sizes)
 
 
 def hit_ends(hits: Column) -> Column:
@@ -83,11 +78,11 @@ def hit_ends(hits: Column) -> Column:
 
     def ends(h: Column, block: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / block).cast("int")), lambda b: F.aggregate(F.slice(h, b * block + 1, block), zero, step))
-        firsts = _with(blocks, lambda x: F.transform(x, lambda _, i: F.aggregate(F.slice(x, F.lit(1), i), zero, lambda a, y: a + y)))
-        return _with(firsts, lambda f: F.transform(h, lambda _, i: F.aggregate(F.slice(h, i - i % block + 1, i % block + 1), F.get(f, F.floor(i / block).cast("int")), step)))
+        firsts = let(blocks, lambda x: F.transform(x, lambda _, i: F.aggregate(F.slice(x, F.lit(1), i), zero, lambda a, y: a + y)))
+        return let(firsts, lambda f: F.transform(h, lambda _, i: F.aggregate(F.slice(h, i - i % block + 1, i % block + 1), F.get(f, F.floor(i / block).cast("int")), step)))
 
     block = F.ceil(F.cbrt(F.size(hits) * 2)).cast("int")
-    return F.when(F.size(hits) > 0, _with(hits, lambda h: _with(block, lambda b: ends(h, b)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(hits) > 0, let(hits, lambda h: let(block, lambda b: ends(h, b)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def may_hit(pattern: Pattern, view: Column, lower: Column) -> Column | None:

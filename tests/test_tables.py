@@ -1,12 +1,13 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrymill.functions.labels import META_FLAGS, flag_labels, format_timestamp
-from quarrymill.operators.signatures import Check, Signature, bytes_of, identify, parse_offset, signature_of, significant_length
+from quarrymill.operators.signatures import Check, Signature, bytes_of, identify, parse_offset, signature_faults, signature_of, significant_length
 from quarrymill.operators.tables import full_paths, merge_ranges, unclaimed
 
 
@@ -64,12 +65,74 @@ def test_signatures(spark):
     }
 
 
+def _one_by_one(rows, known):
+    """Ranks files by trying every signature in turn."""
+    compare = {
+        "=": lambda a, b: a == b, "=/c": lambda a, b: bytes([a]).upper() == bytes([b]).upper(), "!": lambda a, b: a != b, ">": lambda a, b: a > b, "<": lambda a, b: a < b,
+        "&": lambda a, b: a == b, "^": lambda a, b: a != 255 - b, "OR": lambda a, b: a | b != 0, "NOR": lambda a, b: a | b == 0,
+    }
+
+    def holds(c, data):
+        at = c.offset if c.from_start else len(data) + c.offset
+        if at < 0 or at + len(c.value) > len(data):
+            return False
+        masked = [x & (c.mask[i % len(c.mask)] if c.mask else 255) for i, x in enumerate(data[at : at + len(c.value)])]
+        return all(compare[c.compare](a, b) for a, b in zip(masked, c.value))
+
+    out = {}
+    for addr, name, data in rows:
+        ranked = [(1, s) for s in sorted(known, key=lambda s: -significant_length(s.pattern)) if s.pattern and re.match(s.pattern.encode(), data, re.S)]
+        of = name.rpartition(".")[2].upper() if "." in name else None
+        ranked += [(2, s) for s in [s for s in known if of in s.extensions][:1] if s.checks and all(holds(c, data) for c in s.checks)]
+        ranked += [(3, s) for s in known if s.checks and all(holds(c, data) for c in s.checks)]
+        out[addr] = (ranked[0][1].id, ranked[0][0]) if data and ranked else (None, None)
+    return out
+
+
+def test_hundreds_of_signatures_against_one_by_one(spark):
+    draw = random.Random(8)
+    byte = lambda: draw.choice(b"abAB\x00\xff.")
+    known = []
+    for i in range(900):
+        pattern = "".join(draw.choice(["a", "b", "A", "B", "[ab]", "[^a]", ".", "\\x00", "(?:a|Bb)", "a{2}", "b?A"]) for _ in range(draw.randrange(2, 6))) if i % 3 else ""
+        checks = [
+            Check(draw.choice(["=", "=", "=", "=/c", "!", ">", "<", "&", "^", "OR", "NOR"]), *draw.choice([(0, True), (1, True), (4, True), (-2, False), (-5, False)]), bytes(byte() for _ in range(draw.randrange(1, 5))), draw.choice([b"", b"", b"\xdf", b"\xff\x0f"]))
+            for _ in range(draw.randrange(1, 4))
+        ]
+        known.append(Signature(f"s{i}", pattern=pattern, checks=tuple(checks) if i % 2 else (), extensions=(f"E{i % 40}",)))
+    known = [s for s in known if not s.pattern or not re.fullmatch(s.pattern.encode(), b"")]
+    rows = [(i, f"f.e{draw.randrange(45)}" if i % 5 else "plain", bytes(byte() for _ in range(draw.randrange(0, 9)))) for i in range(300)]
+    found = identify(spark.createDataFrame(rows, "Addr long, Name string, content binary"), known)
+    assert {r["Addr"]: (r["sig_id"], r["sig_stage"]) for r in found.collect()} == _one_by_one(rows, known)
+
+
+def test_patterns_that_cannot_be_read(spark):
+    known = [Signature("bad", pattern="(", checks=(Check("=", 0, True, b"x"),)), Signature("empty", pattern="a*"), Signature("good", pattern="xy")]
+    assert [str(e).split(":")[0] for e in signature_faults(known)] == ["signature bad", "signature empty"]
+    found = identify(spark.createDataFrame([(1, "a", b"xy"), (2, "a", b"x")], "Addr long, Name string, content binary"), known).collect()
+    assert [r["sig_id"] for r in found] == ["good", "bad"] and identify(spark.createDataFrame(found).select("Addr", "Name", "content"), []).where("sig_id IS NULL").count() == 2
+
+
 def test_paths(spark):
     rows = [(1, None, "root"), (2, 1, "a"), (3, 2, "b"), (4, 3, "c"), (5, 4, "d"), (6, 99, "lost")]
     found = full_paths(spark.createDataFrame(rows, "MetaAddr long, ParentAddr long, Name string"))
     assert {r["MetaAddr"]: r["FullPath"] for r in found.collect()} == {1: "root", 2: "root/a", 3: "root/a/b", 4: "root/a/b/c", 5: "root/a/b/c/d", 6: "lost"}
 
 
+def test_paths_of_links(spark):
+    """Names of one file in several folders, one address in two file systems, a folder with two names, a root that is its own parent, names without metadata."""
+    rows = [
+        (0, 1, 1, "d"), (0, 2, 1, "d2"), (0, 3, 1, "d3"), (0, 9, 2, "h"), (0, 9, 3, "h2"), (0, 9, 3, "h3"), (64, 1, None, "other"), (64, 9, 1, "x"), (64, 2, 1, "y"), (64, 8, 2, "z"),
+        (0, 4, 3, "b"), (0, 4, 2, "c"), (0, 5, 4, "below"), (0, None, 4, "gone"), (0, None, None, "nowhere"), (None, 1, None, "r"), (None, 2, 1, "s"),
+    ]
+    found = full_paths(spark.createDataFrame(rows, "FsOffset long, MetaAddr long, ParentAddr long, Name string"))
+    assert found.columns == ["FsOffset", "MetaAddr", "ParentAddr", "Name", "FullPath"]
+    assert sorted(((r["FsOffset"], r["FullPath"]) for r in found.collect()), key=repr) == sorted([
+        (0, "d"), (0, "d/d2"), (0, "d/d3"), (0, "d/d2/h"), (0, "d/d3/h2"), (0, "d/d3/h3"), (64, "other"), (64, "other/x"), (64, "other/y"), (64, "other/y/z"),
+        (0, "d/d3/b"), (0, "d/d2/c"), (0, "d/d2/c/below"), (0, "d/d2/c/gone"), (0, "nowhere"), (None, "r"), (None, "r/s"),
+    ], key=repr)
+
+
 def test_ranges_against_blocks(spark):
     draw = random.Random(5)
     live = [(draw.randrange(2), b := draw.randrange(60), b + draw.randrange(9)) for _ in range(12)]

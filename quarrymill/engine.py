@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.content import digest
 from quarrymill.functions.identities import with_inode_id, with_record_id
-from quarrymill.operators.rules import rule_hits, rules_table
-from quarrymill.operators.search import search_hits
+from quarrymill.operators.rules import answered_rules, rule_hits, rules_table
+from quarrymill.operators.search import placed_hits, search_hits
 from quarrymill.operators.signatures import Signature, identify, signature_faults
+from quarrymill.plans.compiler import DEEPEST, with_answers
 from quarrymill.plans.patterns import PatternError, byte_regex
-from quarrymill.plans.ruletext import Pattern, Rule, RuleError, RuleSet, read_rules
+from quarrymill.plans.ruletext import Pattern, Rule, RuleError, RuleSet, depth_of, read_rules
 from quarrymill.sources.config import keyword_rule, rule_file, rule_folder
 from quarrymill.sources.files import DIRENT, HASH, INODE, folders_below, full_table, open_source, qualified
+from quarrymill.sources.staging import kept, remove
 
 CODECS = ("none", "snappy", "gzip", "lz4", "zstd")
 
@@ -43,6 +45,8 @@ class Engine:
         self.errors += found.errors
         for rule in found.rules:
             wrong = [e for k, p in rule.patterns.items() if (e := self._fault(f"{rule.name}: {k}", p))]
+            if max(depth_of(x) for x in (rule.metadata, rule.signature, rule.condition)) > DEEPEST:
+                wrong.append(PatternError(f"{rule.name}: and and or alternate over {DEEPEST} levels deep"))
             self.errors += wrong
             self.rules += [rule] * (not wrong)
         return self
@@ -107,12 +111,31 @@ class Scan:
 
     @property
     def search_hits(self) -> DataFrame:
-        found = search_hits(self.files, self.engine.rules)
-        return found.select("pattern", "start_offset", "end_offset", "rule_id", "file_hash", "length", F.col("file").alias("addr"), "pattern_id")
+        return hits_table(search_hits(self.files, self.engine.rules))
 
     def export(self, path: str, codec: str = "lz4") -> None:
-        """One Parquet folder for each table."""
+        """One Parquet folder for each table. Contents are read once: digests, ids of rules and hits of each file are written first, and the tables are made from them."""
         if codec not in CODECS:
             raise ValueError(f"unknown codec {codec}")
-        for name in ("dirent", "inode", "hash", "rules", "rule_hits", "search_hits"):
-            getattr(self, name).write.mode("overwrite").option("compression", "lz4_raw" if codec == "lz4" else codec).parquet(f"{path}/{name}")
+        compression = "lz4_raw" if codec == "lz4" else codec
+        rules = list({r.id: r for r in self.engine.rules}.values())
+        digests = tuple(dict.fromkeys((*self.hashes, "sha256")))
+        read = with_answers(self.files, rules, self.metadata_only, True, digests)
+        at = f"{path}/_read"
+        once = kept(read.select("Path", "Name", "Addr", *[F.col(f"_{a}").alias(a) for a in digests], "_ids", "_hits"), at)
+        given = {c: F.col(c.lower()) if c.lower() in self.hashes else F.lit(None) for c in HASH.names if c != "MetaAddr"}
+        tables = {
+            "dirent": self.dirent,
+            "inode": self.inode,
+            "rules": self.rules,
+            "hash": full_table(once, HASH, {"MetaAddr": F.col("Addr"), **given}),
+            "rule_hits": answered_rules(once),
+            "search_hits": hits_table(placed_hits(once.select(F.col("Addr").alias("file"), F.col("sha256").alias("file_hash"), F.col("_hits").alias("hits")), rules)),
+        }
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").option("compression", compression).parquet(f"{path}/{name}")
+        remove(self.engine.spark, at)
+
+
+def hits_table(found: DataFrame) -> DataFrame:
+    return found.select("pattern", "start_offset", "end_offset", "rule_id", "file_hash", "length", F.col("file").alias("addr"), "pattern_id")

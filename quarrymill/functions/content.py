@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.functions.blake3 import blake3_hex
@@ -16,6 +18,20 @@ def as_latin1(content: Column | str) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
+def constant(value: object, kind: str) -> Column:
+    """A value (of lists, texts and numbers) as a column that Spark evaluates once for each query, however large it is."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def bound_batches(rows: int = 1_000, size: int = 32 << 20) -> None:
+    """Hand Python workers of this session at most so many rows and bytes at a time. Stricter settings stay."""
+    spark = SparkSession.getActiveSession()
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.match(r"-?\d+", spark.conf.get(key, None) or "-1")
+        if now is None or not 0 < int(now[0]) <= most:
+            spark.conf.set(key, str(most))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once for each row."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -27,6 +43,7 @@ def hex_of(content: Column | str) -> Column:
 
 def _each(f: Callable[[bytes], str], content: Column) -> Column:
     """f of each content, over Arrow batches."""
+    bound_batches()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.plans.compiler import with_predicates
+from quarrymill.plans.compiler import with_answers
 from quarrymill.plans.ruletext import Rule
 
 
@@ -28,10 +28,14 @@ def rule_hits(files: DataFrame, rules: list[Rule], metadata_only: bool = False)
     sections. Rules with equal bodies have one id and count once.
     """
     unique = list({r.id: r for r in rules}.values())
-    searched, predicates = with_predicates(files, unique, metadata_only)
-    ids = F.array_compact(F.array(*[F.when(p, F.lit(r.id)) for r, p in zip(unique, predicates)])) if unique else F.array().cast("array<string>")
-    hits = searched.select(F.explode(ids).alias("id"), F.col("Path").alias("path"), F.col("Name").alias("name"), F.col("Addr").alias("addr"))
-    return hits.distinct()
+    return answered_rules(with_answers(files, unique, metadata_only))
+
+
+def answered_rules(answered: DataFrame) -> DataFrame:
+    """rule_hits from files with _ids."""
+    # Of explode() Spark would infer that _ids is not empty, and compute all of it once more to test that before.
+    each = answered.select(F.explode_outer("_ids").alias("id"), F.col("Path").alias("path"), F.col("Name").alias("name"), F.col("Addr").alias("addr"))
+    return each.where("id IS NOT NULL").distinct()
 
 
 def hit_report(dirent: DataFrame, inode: DataFrame, hash_: DataFrame, hits: DataFrame) -> DataFrame:

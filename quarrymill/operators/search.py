@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.content import as_latin1, digest
-from quarrymill.plans.compiler import gaps_and_sizes, hit_ends, may_hit
-from quarrymill.plans.patterns import byte_regex
+from quarrymill.functions.content import as_latin1, constant, digest
+from quarrymill.plans.compiler import found_by_automaton, gaps_and_sizes, hit_ends, may_hit, patterns_of
+from quarrymill.plans.prefilter import MANY
 from quarrymill.plans.ruletext import Rule
 
 
@@ -20,20 +20,31 @@ def search_hits(files: DataFrame, rules: list[Rule], key: str | None = "Addr", f
     content = files.withColumn("file_hash", digest(file_hash, "content"))
     if key is None:
         content, key = content.dropDuplicates(["file_hash"]), "file_hash"
-    unique = {r.id: r for r in rules}.values()
-    content = content.select(F.col(key).alias("file"), "file_hash", as_latin1(F.col("content")).alias("view"))
+    unique = list({r.id: r for r in rules}.values())
+    asked = patterns_of(unique)
+    content = content.select(F.col(key).alias("file"), "file_hash", "content")
+    if len(asked) >= MANY:
+        may, search = found_by_automaton(F.col("view"), F.col("content"), list(asked))
+        found = content.withColumn("may", may).withColumn("view", as_latin1(F.col("content"))).select("file", "file_hash", search(F.col("may")).alias("hits"))
+        return placed_hits(found, unique)
+    viewed = content.select("file", "file_hash", as_latin1(F.col("content")).alias("view"))
     if any(p.nocase for r in unique for p in r.patterns.values()):
-        content = content.withColumn("lower", F.lower("view"))
+        viewed = viewed.withColumn("lower", F.lower("view"))
     view, lower, wanted = F.col("view"), F.col("lower"), []
-    for r in unique:
-        for k, p in r.patterns.items():
-            hits, needed = gaps_and_sizes(view, byte_regex(p)), may_hit(p, view, lower)
-            wanted.append(F.struct(F.lit(r.id).alias("rule_id"), F.lit(k).alias("pattern_id"), F.lit(p.text).alias("pattern"), (hits if needed is None else F.when(needed, hits)).alias("hits")))
-    if not wanted:
-        wanted = [F.lit(None).cast("struct<rule_id:string,pattern_id:string,pattern:string,hits:array<struct<gap:int,size:int>>>")]
-    found = content.select("file", "file_hash", F.explode(F.array(*wanted)).alias("p")).where(F.size("p.hits") > 0)
-    placed = F.arrays_zip(hit_ends(F.col("p.hits")).alias("end"), F.col("p.hits").alias("hit"))
-    each = found.select("file", "file_hash", "p.rule_id", "p.pattern_id", "p.pattern", F.posexplode(placed).alias("nth", "at"))
+    for i, (regex, of) in enumerate(asked.items()):
+        hits, needed = gaps_and_sizes(view, regex), may_hit(of[0][2], view, lower)
+        wanted.append(F.struct(F.lit(i).alias("i"), (hits if needed is None else F.when(needed, hits)).alias("hits")))
+    none = F.array().cast("array<struct<i:int,hits:array<struct<gap:int,size:int>>>>")
+    return placed_hits(viewed.select("file", "file_hash", (F.array(*wanted) if wanted else none).alias("hits")), unique)
+
+
+def placed_hits(found: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows of search_hits() from file, file_hash and hits: an array of struct(i, hits), i being the ordinal in patterns_of(rules)."""
+    owners = [[{"rule_id": r.id, "pattern_id": k, "pattern": p.text} for r, k, p in of] for of in patterns_of(rules).values()]
+    each = found.select("file", "file_hash", F.explode_outer("hits").alias("h")).where(F.size("h.hits") > 0)
+    owned = each.select("file", "file_hash", F.explode(F.get(constant(owners, "array<array<struct<rule_id:string,pattern_id:string,pattern:string>>>"), F.col("h.i"))).alias("p"), "h.hits")
+    placed = F.arrays_zip(hit_ends(F.col("hits")).alias("end"), F.col("hits").alias("hit"))
+    each = owned.select("file", "file_hash", "p.rule_id", "p.pattern_id", "p.pattern", F.posexplode(placed).alias("nth", "at"))
     return each.select(
         "file", "rule_id", "pattern_id", "pattern", (F.col("nth") + 1).alias("nth"), (F.col("at.end") - F.col("at.hit.size")).alias("start_offset"), F.col("at.end").alias("end_offset"),
         F.col("at.hit.size").cast("long").alias("length"), "file_hash",

@@ -8,7 +8,6 @@ of all signatures in their order. It is a projection: files are not joined with
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.functions.content import as_latin1, let
+from quarrymill.functions.content import as_latin1, constant, let
 from quarrymill.plans.analysis import heads
 from quarrymill.plans.patterns import PatternError, byte_regex
 from quarrymill.plans.ruletext import Pattern
@@ -103,11 +102,6 @@ _BYTE: dict[str, Callable[[Column, Column], Column]] = {
 _CHECK = "struct<compare:string,offset:bigint,from_start:boolean,value:string,mask:string>"
 
 
-def _constant(value: object, kind: str) -> Column:
-    """A value as a column that Spark evaluates once for each query."""
-    return F.from_json(F.lit(json.dumps(value)), kind)
-
-
 def _row(check: Check) -> dict:
     return {"compare": check.compare, "offset": check.offset, "from_start": check.from_start, "value": check.value.hex(), "mask": check.mask.hex()}
 
@@ -144,7 +138,7 @@ def _check(c: Column, content: Column, size: Column) -> Column:
 
 def check_holds(check: Check, content: Column) -> Column:
     """False if the file does not reach as far as the check reads."""
-    return _check(F.element_at(_constant([_row(check)], f"array<{_CHECK}>"), 1), content, F.octet_length(content))
+    return _check(F.element_at(constant([_row(check)], f"array<{_CHECK}>"), 1), content, F.octet_length(content))
 
 
 def signature_faults(signatures: list[Signature]) -> list[PatternError]:
@@ -209,30 +203,30 @@ def identify(files: DataFrame, signatures: list[Signature]) -> DataFrame:
         for e in s.extensions:
             first.setdefault(e, i)
     ints, none = "map<string,array<int>>", F.array().cast("array<int>")
-    ids, names = (_constant(x, "array<string>") for x in ([s.id for s in signatures], [s.name or s.description for s in signatures]))
+    ids, names = (constant(x, "array<string>") for x in ([s.id for s in signatures], [s.name or s.description for s in signatures]))
     own = {id(s): i for i, s in enumerate(signatures)}
 
     def at(table: Column, key: Column) -> Column:
         return F.coalesce(F.try_element_at(table, key), none)
 
     # Stage 1: patterns by leading bytes; ordinals are ranks.
-    regexes = _constant([rf"\A(?s:{x})" for _, x in by_length], "array<string>")
-    led = _constant(_led([x for _, x in by_length]), ints)
+    regexes = constant([rf"\A(?s:{x})" for _, x in by_length], "array<string>")
+    led = constant(_led([x for _, x in by_length]), ints)
     lead = lambda n: F.lower(F.hex(F.substring(content, 1, n)))
     tried = F.concat(*[at(led, k) for k in (lead(2), lead(1), F.lit(""))])
     starts = F.array_min(F.filter(tried, lambda i: F.rlike(head, F.get(regexes, i))))
-    anchored = F.get(_constant([own[id(s)] for s, _ in by_length], "array<int>"), starts)
+    anchored = F.get(constant([own[id(s)] for s, _ in by_length], "array<int>"), starts)
     # Stage 2: the signature of the extension. Stage 3: signatures by the bytes at the places that checks read.
-    checks = _constant([[_row(c) for c in s.checks] for s in signatures], f"array<array<{_CHECK}>>")
+    checks = constant([[_row(c) for c in s.checks] for s in signatures], f"array<array<{_CHECK}>>")
     holds = lambda i: F.forall(F.get(checks, i), lambda c: _check(c, content, size))
     extension = F.upper(F.regexp_extract("Name", r"\.([^./]+)$", 1))
-    named = F.try_element_at(_constant({e: i for e, i in first.items() if signatures[i].checks}, "map<string,int>"), extension)
+    named = F.try_element_at(constant({e: i for e, i in first.items() if signatures[i].checks}, "map<string,int>"), extension)
     places, probed = _probed(checked)
     probed = {k: [own[id(checked[i])] for i in v] for k, v in probed.items()}
-    probes = _constant(places, "array<struct<name:string,offset:bigint,from_start:boolean,n:int>>")
+    probes = constant(places, "array<struct<name:string,offset:bigint,from_start:boolean,n:int>>")
     seen = lambda p: F.lower(F.hex(F.substring(content, (_place(p["offset"], p["from_start"], size) + 1).cast("int"), p["n"])))
     there = lambda p: _place(p["offset"], p["from_start"], size) >= 0
-    table = _constant(probed, ints)
+    table = constant(probed, ints)
     met = F.flatten(F.transform(probes, lambda p: F.when(there(p), at(table, F.concat(p["name"], seen(p)))).otherwise(none)))
     checked_first = F.array_min(F.filter(F.concat(met, at(table, F.lit(""))), holds))
 

@@ -7,6 +7,7 @@ Patterns that can match nothing are refused: hits have at least one byte.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from quarrymill.plans.ruletext import Pattern
 
@@ -76,6 +77,7 @@ def _in_encoding(pattern: Pattern, encoding: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=1 << 16)
 def byte_regex(pattern: Pattern) -> str:
     """One expression for all encodings of a pattern; where several match, the first named one counts."""
     forms = list(dict.fromkeys(_in_encoding(pattern, e) for e in pattern.encodings or DEFAULT))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from quarrymill.functions.blake3 import field_bytes, blake3_hex
 
@@ -196,23 +197,27 @@ class _Reader:
         setattr(rule, {"file_metadata": "metadata"}.get(section, section), self._either(lambda: self._property(section)))
 
     def _either(self, factor: Callable[[], object]) -> object:
-        left = self._both(factor)
-        while self.take("or"):
-            left = Either(left, self._both(factor))
-        return left
-
-    def _both(self, factor: Callable[[], object]) -> object:
-        left = self._factor(factor)
-        while self.take("and"):
-            left = Both(left, self._factor(factor))
-        return left
-
-    def _factor(self, factor: Callable[[], object]) -> object:
-        if not self.take("("):
-            return factor()
-        inner = self._either(factor)
-        self.need(")")
-        return inner
+        """Factors joined by `and` and `or`, with brackets to any depth: one list of terms for each open bracket."""
+        open_: list[tuple[list, list]] = [([], [])]
+        while True:
+            if self.take("("):
+                open_.append(([], []))
+                continue
+            found = factor()
+            while True:
+                eithers, boths = open_[-1]
+                boths.append(found)
+                if self.take("and"):
+                    break
+                eithers.append(reduce(Both, boths))
+                boths.clear()
+                if self.take("or"):
+                    break
+                found = reduce(Either, eithers)
+                open_.pop()
+                if not open_:
+                    return found
+                self.need(")")
 
     def _property(self, section: str) -> Property:
         name = self.now
@@ -313,9 +318,34 @@ def read_rules(text: str) -> RuleSet:
     return RuleSet(rules, errors)
 
 
+def terms_of(node: object, kind: type) -> list:
+    """The terms of a chain of Both or of Either, in order; the node itself if it is none."""
+    out, left = [], [node]
+    while left:
+        x = left.pop()
+        if isinstance(x, kind):
+            left += [x.right, x.left]
+        else:
+            out.append(x)
+    return out
+
+
+def depth_of(node: object) -> int:
+    """How often `and` and `or` alternate on the way down."""
+    deepest, left = 0, [(node, 0)]
+    while left:
+        x, depth = left.pop()
+        deepest = max(deepest, depth)
+        if isinstance(x, (Both, Either)):
+            left += [(y, depth + 1) for y in terms_of(x, type(x))]
+    return deepest
+
+
 def calls_in(node: object) -> Iterator[Call]:
-    if isinstance(node, Call):
-        yield node
-    elif isinstance(node, (Both, Either)):
-        yield from calls_in(node.left)
-        yield from calls_in(node.right)
+    left = [node]
+    while left:
+        x = left.pop()
+        if isinstance(x, Call):
+            yield x
+        elif isinstance(x, (Both, Either)):
+            left += [x.right, x.left]

@@ -1,0 +1,103 @@
+"""Many patterns and rules at once: the automaton's way finds what one expression for each pattern finds."""
+
+from __future__ import annotations
+
+import random
+import time
+from collections.abc import Iterator
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from quarrymill.engine import Engine
+from quarrymill.operators import search
+from quarrymill.operators.rules import rule_hits
+from quarrymill.operators.search import search_hits
+from quarrymill.plans import compiler
+from quarrymill.plans.prefilter import candidates
+from quarrymill.plans.ruletext import depth_of, read_rules
+
+
+@pytest.fixture(scope="module")
+def files(spark):
+    draw = random.Random(2)
+    rows = [(i, "/d", f"{i}.txt", "".join(draw.choice(["foo", "Bar", "ba", "\x00", "é", "12", " ", "\n", "x"]) for _ in range(draw.randrange(40)))) for i in range(200)]
+    told = spark.createDataFrame([(*r[:3], r[3].encode("utf-16-le" if r[0] % 5 == 0 else "utf-8")) for r in rows], "Addr long, Path string, Name string, content binary")
+    return told.withColumn("Filesize", F.octet_length("content").cast("long"))
+
+
+def some_rules(n):
+    draw = random.Random(n)
+    pieces = ["foo", "ba[rx]", "(foo|Bar)+", "1?2", "[^f]oo", "b.r", "é", "x{2}", r"\z00f", r"\bba", "FOO"]
+    pattern = lambda: f'"{draw.choice(pieces)}{draw.choice(["", "x", " ", "ba", "12"])}"' + draw.choice(["", " nocase", " encodings=UTF-16LE,UTF-8", " encodings=UTF-16LE nocase"])
+    call = lambda: draw.choice(["any()", "all()", "all(a, b)", "any(b, zz)", "count(a) > 2", "count(b) == 0", "count_has_hits() == 2", "count_has_hits(a, c) < 2", "length(a) > 3", "offset(b, 1) < 9", "any(a) and count(c) > 1 or all()"])
+    gate = lambda: draw.choice(["", "", "", "file_metadata: filesize > 40 ", 'file_metadata: filename == "3.txt" or filename == "9.txt" or filesize < 30 '])
+    return read_rules("\n".join(f"rule r{i} {{ {gate()} grep: patterns: a = {pattern()} b = {pattern()} c = {pattern()} condition: {call()} }}" for i in range(n))).rules
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("n", [2, 60])
+def test_both_ways_agree(files, n, monkeypatch):
+    rules, found = some_rules(n), []
+    for many in (10**9, 0):
+        monkeypatch.setattr(compiler, "MANY", many)
+        monkeypatch.setattr(search, "MANY", many)
+        hits = search_hits(files, rules)
+        found.append((rows(rule_hits(files, rules)), rows(hits.select(sorted(hits.columns)))))
+    assert found[0] == found[1] and found[0][0] and found[0][1]
+
+
+def test_candidates(spark):
+    rows = [(1, b"a Foo and bar"), (2, b"nothing"), (3, None), (4, b"")]
+    found = spark.createDataFrame(rows, "k long, content binary").select("k", candidates(F.col("content"), ["foo", "(?:bar|qux)", "[0-9]+", "thing"]).alias("c")).collect()
+    assert {r["k"]: r["c"] for r in found} == {1: [0, 1, 2], 2: [2, 3], 3: [], 4: [2]}
+
+
+def test_five_hundred_rules_are_planned_fast(files):
+    rules = read_rules("\n".join(f'rule r{i} {{ grep: patterns: a = "foo{i}" b = "ba{i}x" fixed nocase condition: any() }}' for i in range(500))).rules
+    rule_hits(files, rules[:30]).count()
+    began = time.time()
+    assert rule_hits(files, rules).select("id").distinct().count() <= 500
+    assert time.time() - began < 30
+
+
+def test_deep_and_long_conditions(spark, files):
+    names = " or ".join(f'filename == "{i}.txt"' for i in range(0, 20_000, 2))
+    calls = " or ".join(f"count(a) == {i}" for i in range(2, 600))
+    nested = "(" * 5_000 + "filesize > 60" + ")" * 5_000
+    deep = "(any(a) and " * 300 + "any(a) or all(a)" + ") or any(a)" * 300
+    texts = [f"file_metadata: {names}", f'grep: patterns: a = "foo" condition: {calls}', f"file_metadata: {nested}", f'grep: patterns: a = "foo" condition: {deep}']
+    engine = Engine(spark).load_rules(" ".join(f"rule t{i} {{ {t} }}" for i, t in enumerate(texts)))
+    # The last one alternates too often; it is reported and does not stop the others.
+    assert len(engine.rules) == 3 and ["alternate" in str(e) for e in engine.errors] == [True] and depth_of(engine.rules[2].metadata) == 0
+    found, sizes = rule_hits(files, engine.rules).collect(), {r["Addr"]: (r["Filesize"], r["content"]) for r in files.collect()}
+    ids = [r.id for r in engine.rules]
+    assert {r["addr"] for r in found if r["id"] == ids[0]} == {a for a in sizes if a % 2 == 0}
+    assert {r["addr"] for r in found if r["id"] == ids[1]} == {a for a, (_, c) in sizes.items() if bytes(c).count(b"foo") >= 2}
+    assert {r["addr"] for r in found if r["id"] == ids[2]} == {a for a, (n, _) in sizes.items() if n > 60}
+
+
+@pytest.mark.parametrize("n", [3, 40])
+def test_export_reads_contents_once(spark, files, tmp_path, n):
+    """Every file's content passes once, counted on its way; the tables are those of the single queries."""
+    read = spark.sparkContext.accumulator(0)
+
+    def through(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    counted = files.withColumn("content", F.pandas_udf(through, "binary")("content"))
+    engine = Engine(spark)
+    engine.rules = some_rules(n)
+    engine.scan(counted.withColumn("sig_id", F.lit(None).cast("string"))).export(str(tmp_path / "out"))
+    assert read.value == files.count()
+    scan = engine.scan(files)
+    for name in ("hash", "rules", "rule_hits", "search_hits"):
+        told = spark.read.parquet(str(tmp_path / "out" / name))
+        assert rows(told) == rows(getattr(scan, name).select(told.columns)), name
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["dirent", "hash", "inode", "rule_hits", "rules", "search_hits"]

@@ -282,6 +282,26 @@ def hits_groupby_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit_counts(search_hits(files_of(spark, sf_dir), HAVING), 25)
 
 
+#: A thousand words of three syllables, each a rule and a pattern.
+_SYLLABLES = ("th", "er", "on", "an", "re", "in", "ed", "eau", "ent", "ion")
+MANY_WORDS = [a + b + c for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES]
+WORD_RULES = rules_in("\n".join(f'rule w{i} {{ grep: patterns: {w} = "{w}" fixed condition: any() }}' for i, w in enumerate(MANY_WORDS)))
+_WORDS = "w AS (SELECT * FROM (VALUES " + ", ".join(f"('{r.id}', '{w}')" for r, w in zip(WORD_RULES, MANY_WORDS)) + ") AS t(id, word))"
+
+
+@query(f"WITH {FILES}, {_WORDS} SELECT id, Path AS path, Name AS name, Addr AS addr FROM files JOIN w ON contains(text, word)")
+def rules_thousand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A thousand rules in one pass over the files."""
+    return rule_hits(files_of(spark, sf_dir), WORD_RULES)
+
+
+@query(f"""WITH {FILES}, {_WORDS} SELECT Addr AS file, id AS rule_id, word AS pattern_id, len(string_split(text, word)) - 1 AS hits, strlen(word) AS longest, strlen(split_part(text, word, 1)) AS first_offset
+FROM files JOIN w ON contains(text, word)""")
+def hits_thousand_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of a thousand patterns, counted."""
+    return hit_counts(search_hits(files_of(spark, sf_dir), WORD_RULES))
+
+
 YARA = Rule("yara", patterns={"a": yara_pattern("the", ("fullword",)), "b": yara_pattern("{ 74 69 6f 6e }")}, id="yara")
 
 

@@ -1,7 +1,7 @@
 """Exact deduplication by content-defined chunk recipes.
 
-A text, white space deleted, is cut into chunks where its own content says so (at the first sentence end after a
-least length), so passages shared by documents give the same chunks. A chunk is named by a 64-bit hash. The names
+A text, white space deleted, is cut into chunks where its own content says so (after a least length, at the first sentence end or run of
+marked characters), so passages shared by documents give the same chunks, with and without punctuation. A chunk is named by a 64-bit hash. The names
 are verified against the bytes: chunks are deduplicated within each task, then by name, and a name that two different chunks bear
 is a clash. Documents without a clash compare by their ordered list of names (the recipe); those with one also carry the
 SHA-256 of every chunk. Only chunks move, each about once; the documents themselves never do.
@@ -14,8 +14,13 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import SPACE, columns, read_table, stage, unused
 
-#: A chunk ends behind the first sentence end from 512 characters on; without one, at 4096 characters.
-CHUNK = r"(?s).{512,4096}?(?<=[.!?;:。！？])|.{1,4096}"
+#: Characters that a cut looks for: about a quarter of those of each script, every fourth of ASCII and Latin letters, and blocks of the others.
+_ASCII = "".join(rf"\x{c:02x}" for c in range(0x21, 0x7F, 4))
+_WIDE = "".join(rf"\u{b:04x}-\u{b + n // 4 - 1:04x}" for top, bottom, n in ((0x00C0, 0x0250, 4), (0x0370, 0x0600, 8), (0x0600, 0x1000, 16), (0x3040, 0x3100, 8), (0x3400, 0xD7A0, 256)) for b in range(top, bottom, n))
+MARK = f"[{_ASCII}{_WIDE}]"
+#: A chunk ends, from 512 characters on, behind the first sentence end or the first three such characters in a row: what stands there tells, not how far it is
+#: from the text's beginning. Texts that have neither for 3,584 characters (one character again and again, say) are cut at 4096.
+CHUNK = rf"(?s).{{512,4096}}?(?<=[.!?;:。！？]|{MARK}{{3}})|.{{1,4096}}"
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -38,7 +43,7 @@ def exact_duplicates(docs: DataFrame, name_bits: int = 64) -> DataFrame:
     Rows are equal when their texts are once white space is deleted; null counts as empty, so null, empty and blank
     texts form one group. The row with most code points in the original text stays; among those the smallest doc_id
     (null last); of rows that repeat a doc_id one stays. Only doc_id and text are read, other columns are
-    ignored. name_bits: bits of a chunk's name; fewer than 64 are for tests of clashes.
+    ignored. Texts of any length are cut whole; no rows give no rows. name_bits: bits of a chunk's name; fewer than 64 are for tests of clashes.
     """
     norm = docs.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), normalised().alias("norm"))
     recipes = stage(
@@ -73,7 +78,11 @@ def exact_duplicates(docs: DataFrame, name_bits: int = 64) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_duplicates() drops, with all their columns."""
+    """docs without the rows that exact_duplicates() drops, with all their columns, whatever their names.
+
+    Null, empty and blank texts are one group, of which one row stays; ties go to the smallest doc_id, of rows that repeat a doc_id and text one stays; texts of any
+    length are compared whole. No rows give no rows.
+    """
     sha, n = unused(docs, "sha", "n")
     decided = exact_duplicates(docs)
     keys = stage(
@@ -89,6 +98,7 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op4_chunk_recipe_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, also the dropped ones, with the row that stays for each. Nulls, ties, repeats, long and no texts as in exact_duplicates()."""
     return exact_duplicates(read_table(spark, sf_dir, "documents")).drop("n_chars")
 
 

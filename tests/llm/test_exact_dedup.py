@@ -8,7 +8,7 @@ from collections import defaultdict
 import duckdb
 import pytest
 
-from quarrymill.llm.exact_dedup import OP4_SQL, drop_exact_duplicates, exact_duplicates, op4_chunk_recipe_dedup
+from quarrymill.llm.exact_dedup import OP4_SQL, chunks_of, drop_exact_duplicates, exact_duplicates, normalised, op4_chunk_recipe_dedup
 
 
 def wanted(rows):
@@ -39,6 +39,19 @@ def test_clashing_names_do_not_join_texts(table):
     assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found], key=repr) == wanted(rows)
 
 
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz" * 3 + ".!", "éàüößñçœæîôû", "".join(map(chr, range(0x4E00, 0x5600))), "あいうえおかきくけこさしすせそ", "абвгдежзийклмноп"])
+def test_one_insertion_changes_two_chunks_at_most(spark, letters):
+    """Chunks are cut by what stands there: what an edit leaves alone keeps its chunks, in any script, with and without punctuation."""
+    draw = random.Random(7)
+    text = "".join(draw.choice(letters) for _ in range(60_000))
+    edited = ["!" + text, text[:30_000] + "q" + text[30_000:], text[:31_000] + text[31_001:], text[:-1]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([text, *edited])], "i int, text string").select("i", chunks_of(normalised()).alias("c")).orderBy("i").collect()
+    whole = rows[0]["c"]
+    assert len(whole) > 30 and max(map(len, whole)) < 4_096
+    for r in rows[1:]:
+        assert len(set(r["c"]) - set(whole)) <= 2 and len(set(whole) - set(r["c"])) <= 2
+
+
 def test_filter(odd, none):
     left = drop_exact_duplicates(odd)
     assert left.columns == odd.columns

@@ -3,7 +3,7 @@
 A text is the set of its shingles (64-bit hashes); texts of equal sets are one node. All sets are put in one order, shingles known to be common last. Of
 two sets that share 0.8 some shingle is among the first fifth of both, whatever the order, so nodes meet in groups by the equality of such a shingle;
 of shingles with the same nodes one is kept. Within a group, 256-bit SimHash fingerprints are compared as bit planes (simhash.close_pairs); the
-radius is so wide that a pair at 0.8 is beyond it less than once in 10**8. What is within it is held against the parity of the shingles in 512 places,
+radius is so wide that a pair at 0.8 is beyond it less than once in 10**8. Other similarities have shares and a radius of their own; the lower, the more is compared. What is within it is held against the parity of the shingles in 512 places,
 which bounds the difference of two sets from below. A first round confirms, by the whole sets, a spanning forest of the most alike pairs that are left; a second one
 all pairs that confirmed links do not join yet. No pair of one group is written out but those that pass both tests.
 """
@@ -25,8 +25,8 @@ from quarrymill.llm.components import connected_components
 from quarrymill.llm.simhash import LOWER, bit_planes, close_pairs, unite
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bits of a fingerprint and those in which near copies may differ. At a similarity of 0.8 the mean is 39 of 256, for sets of four and five shingles 48, the deviation 6.
-BITS, RADIUS = 256, 84
+#: Bits of a fingerprint.
+BITS = 256
 PARITIES = 512
 #: Documents from which common shingles are learned, and how many of these at most. They only order the shingles: results do not depend on them.
 SAMPLE_DOCS, MOST_COMMON = 4_000, 1 << 17
@@ -34,6 +34,13 @@ SAMPLE_DOCS, MOST_COMMON = 4_000, 1 << 17
 BLOCK = 4_096
 
 
+def radius(similarity: float) -> int:
+    """Bits in which the fingerprints of near copies may differ. Two sets of one size point apart by the angle whose cosine is the share of shingles that both have, and
+    each bit differs with the chance of that angle in half a turn (more for small sets, by a quarter at most); six deviations are added. 84 at a similarity of 0.8."""
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(BITS, math.ceil(1.24 * BITS * chance + 6.2 * math.sqrt(BITS * chance * (1 - chance))))
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     """Sorted hashes of the distinct five-word shingles of a text, A to Z in lower case; of fewer words (or none) the whole sequence is one."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
@@ -169,7 +176,7 @@ def _pairs(rows: dict[str, np.ndarray], similarity: float, forest: bool) -> Iter
         picked = spanning_forest(len(run), i, j)
         return [(i[picked], j[picked], apart[picked])]
 
-    for i, j, _ in close_pairs(bit_planes(rows["sketch"][:, : BITS // 8]), run, RADIUS, look=32):
+    for i, j, _ in close_pairs(bit_planes(rows["sketch"][:, : BITS // 8]), run, radius(similarity), look=32):
         open_ = rows["root"][i] != rows["root"][j]
         # Blocks of their own are compared where a block meets itself.
         open_ &= (rows["low"][i] == rows["high"][i]) | (rows["block"][i] != rows["block"][j])
@@ -239,11 +246,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and component_id of every row of docs (doc_id, text).
 
-    component_id: the smallest doc_id that is reachable over texts that share `similarity` (0.8 or more) of their shingles; null only if no row of the component has a
+    component_id: the smallest doc_id that is reachable over texts that share `similarity` of their shingles, which lies over 0 and up to 1; null only if no row of the component has a
     doc_id. Texts without words link with each other; very long texts count whole. Repeated rows get equal results. Extra columns are ignored; no rows give no rows.
     """
-    if similarity < SIMILARITY:
-        raise ValueError(f"the radius of the fingerprints is for similarities of {SIMILARITY} or more")
+    if not 0 < similarity <= 1:
+        raise ValueError("the similarity lies over 0 and up to 1")
     bound_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))

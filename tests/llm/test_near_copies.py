@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from quarrymill.llm.near_copies import near_copies
+import pytest
+
+from quarrymill.llm.near_copies import near_copies, radius
 
 
 def shingles(text):
@@ -12,7 +14,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
-def brute(rows):
+def brute(rows, similarity=0.8):
     sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
 
     def top(i):
@@ -23,13 +25,35 @@ def brute(rows):
     for j, b in enumerate(sets):
         for i, a in enumerate(sets[:j]):
             shared = len(a & b)
-            if shared >= 0.8 * (len(a) + len(b) - shared) and top(i) != top(j):
+            if shared >= similarity * (len(a) + len(b) - shared) and top(i) != top(j):
                 root[max(top(i), top(j))] = min(top(i), top(j))
     return {rows[i][0]: rows[top(i)][0] for i in range(len(rows))}
 
 
-def told(table, rows):
-    return {r["doc_id"]: r["component_id"] for r in near_copies(table(rows)).collect()}
+def told(table, rows, similarity=0.8):
+    return {r["doc_id"]: r["component_id"] for r in near_copies(table(rows), similarity).collect()}
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.95, 1.0])
+def test_other_similarities(table, similarity):
+    draw, rows = random.Random(6), []
+    for k in range(60):
+        base = [f"w{draw.randrange(10**7)}" for _ in range(draw.choice([5, 7, 12, 60, 300]))]
+        for _ in range(4):
+            copy = list(base)
+            for place in draw.sample(range(len(base)), min(len(base), draw.choice([0, 1, 1, 2, 5]) * max(1, len(base) // 60))):
+                copy[place] = f"e{draw.randrange(10**7)}"
+            rows.append((len(rows), " ".join(copy)))
+    expected = brute(rows, similarity)
+    assert 60 <= len(set(expected.values())) < 240
+    assert told(table, rows, similarity) == expected
+
+
+def test_radius():
+    assert radius(0.8) == 84 and radius(1.0) == 0 and radius(0.3) < 256
+    for wrong in (0, -1, 1.1):
+        with pytest.raises(ValueError, match="similarity"):
+            near_copies(None, wrong)
 
 
 def test_pairs_among_texts_that_share_boilerplate(table):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarrymill.llm.components import connected_components
-from quarrymill.llm.near_copies import BITS, PARITIES, RADIUS, _sketch, keep_representatives, near_copies, shingle_set, spanning_forest
+from quarrymill.llm.near_copies import BITS, PARITIES, _sketch, keep_representatives, near_copies, radius, shingle_set, spanning_forest
 from quarrymill.llm.simhash import bit_planes, close_pairs, fingerprint, op6_simhash_components, simhash_components
 
 
@@ -153,7 +153,7 @@ def test_fingerprints_of_near_copies_are_within_the_radius():
         for _ in range(200):
             x = draw.integers(-(2**63), 2**63 - 1, n + apart)
             a, b = (x[: n + apart // 2], np.concatenate([x[:n], x[n + apart // 2 :]])) if apart > 1 else (x[:n], x)
-            assert (parts(_sketch(a))[0] != parts(_sketch(b))[0]).sum() < RADIUS
+            assert (parts(_sketch(a))[0] != parts(_sketch(b))[0]).sum() < radius(0.8)
 
 
 def test_a_spanning_forest_has_the_first_edges():

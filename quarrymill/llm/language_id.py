@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import bound_batches, columns, read_table, unused
+from quarrymill.llm.common import bound_batches, columns, quoted, read_table, unused
 
 SEGMENT = 2048
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -232,9 +232,9 @@ def identify_languages(docs: DataFrame, parser: Parser, columns: list[str] | Non
     """docs (or the named columns of it) with lang_pred and score appended, from the text alone.
 
     `und` and score 0 for a text that is null or has no letter, and for all texts if no language was learned. Repeated rows get equal
-    results. A column of docs that is called lang_pred or score is replaced.
+    results. A column of docs that is called lang_pred or score, in letters of either case, is replaced. Texts of any length are parsed whole; no rows give no rows.
     """
-    keep = [c for c in columns or [f"`{c}`" for c in docs.columns] if c.strip("`") not in ("lang_pred", "score")]
+    keep = [quoted(c) for c in columns or docs.columns if c.lower() not in ("lang_pred", "score")]
     told = _told(docs, parser)
     return told.select(*keep, f"{told.columns[-1]}.lang_pred", f"{told.columns[-1]}.score")
 
@@ -249,5 +249,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out. Nulls, repeats, long and no texts as in identify_languages()."""
     docs = read_table(spark, sf_dir, "documents")
     return identify_languages(docs.select("doc_id", "text", held_out().alias("held_out")), train(docs), ["doc_id", "held_out"])

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import bound_batches, read_table, unused
+from quarrymill.llm.common import bound_batches, quoted, read_table, unused
 from quarrymill.llm.language_id import held_out
 
 BITS = 20
@@ -122,8 +122,8 @@ def score_texts(model: Model, texts: list[str | None], weights: np.ndarray, make
 def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """docs (or the named columns) with score (0 to 1) and predicted (score of 0.5 or more) appended, from the whole text alone.
 
-    Null and empty texts get the score of the bias. Repeated rows get equal results. Columns of docs called score or predicted
-    are replaced.
+    Null and empty texts get the score of the bias. Repeated rows get equal results. Columns of docs called score or predicted,
+    in letters of either case, are replaced. Texts of any length are scored whole; no rows give no rows.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -134,13 +134,14 @@ def score_toxicity(docs: DataFrame, model: Model, columns: list[str] | None = No
         for b in batches:
             yield pd.Series(score_texts(m, [t if isinstance(t, str) else None for t in b], weights, make))
 
-    keep = [c for c in columns or [f"`{c}`" for c in docs.columns] if c.strip("`") not in ("score", "predicted")]
+    keep = [quoted(c) for c in columns or docs.columns if c.lower() not in ("score", "predicted")]
     (own,) = unused(docs, "score")
     told = docs.withColumn(own, F.pandas_udf(score, "double")("text"))
     return told.select(*keep, F.col(own).alias("score"), (F.col(own) >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the labels that are not held out. Nulls, repeats, long and no texts as in score_toxicity()."""
     docs = read_table(spark, sf_dir, "documents")
     model = train(docs, read_table(spark, sf_dir, "labels"))
     return score_toxicity(docs.select("doc_id", "text", held_out().alias("held_out")), model, ["doc_id", "held_out"])

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 #: Names that the operators use inside or for results, and one that has to be quoted.
 CLASHING = (
-    "size", "score", "kept", "fp", "part", "words", "copies", "shard", "lang_pred", "_k1", "node", "_id", "_size", "_n", "_sha", "_sha_of", "_n_of", "_words", "_copies", "_copy", "_score", "__score",
+    "size", "score", "kept", "fp", "part", "words", "copies", "shard", "Lang_Pred", "Predicted", "a`b", "_k1", "node", "_id", "_size", "_n", "_sha", "_sha_of", "_n_of", "_words", "_copies", "_copy", "_score", "__score",
     "_told", "_weight", "_task", "_row", "row", "task", "nth", "of", "first", "name", "uid", "root", "sketch", "kept_id", "rows", "stays", "component_id", "copy", "m", "d", "k", "a.b", "slot",
 )
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -17,7 +18,7 @@ def table(spark):
     def make(rows):
         full = [(*r, *(None,) * (4 - len(r)), len(r[1]) if r[1] else None) for r in rows]
         df = spark.createDataFrame(full, DOCUMENTS)
-        return df.selectExpr("*", *[f"'clash' AS `{name}`" for name in CLASHING])
+        return df.select("*", *[F.lit("clash").alias(name) for name in CLASHING])
 
     return make
 

@@ -59,7 +59,7 @@ def test_predictions():
 def test_identify_odd_rows(odd, none):
     parser = language_id.train(odd)
     found = language_id.identify_languages(odd, parser)
-    assert found.columns == [c for c in odd.columns if c != "lang_pred" and c != "score"] + ["lang_pred", "score"]
+    assert found.columns == [c for c in odd.columns if c.lower() not in ("lang_pred", "score")] + ["lang_pred", "score"]
     by = {r["doc_id"]: r["lang_pred"] for r in found.collect()}
     assert all(by[i] == "und" for i in (4, 5, 6, 11))
     left = keep_identified(odd)
@@ -98,7 +98,7 @@ def test_ftrl_learns_and_stays_sparse():
 def test_score_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(12)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     found = toxicity.score_toxicity(odd, toxicity.train(odd, labels))
-    assert found.columns == [c for c in odd.columns if c != "score"] + ["score", "predicted"]
+    assert found.columns == [c for c in odd.columns if c.lower() not in ("score", "predicted")] + ["score", "predicted"]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in found.collect()) and found.count() == odd.count()
     assert toxicity.score_toxicity(none, toxicity.train(none, labels.where("false"))).count() == 0
 

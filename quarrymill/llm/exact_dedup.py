@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import SPACE, columns, read_table, stage, unused
 
-#: Characters that a cut looks for: about a quarter of those of each script, every fourth of ASCII and Latin letters, and blocks of the others.
-_ASCII = "".join(rf"\x{c:02x}" for c in range(0x21, 0x7F, 4))
-_WIDE = "".join(rf"\u{b:04x}-\u{b + n // 4 - 1:04x}" for top, bottom, n in ((0x00C0, 0x0250, 4), (0x0370, 0x0600, 8), (0x0600, 0x1000, 16), (0x3040, 0x3100, 8), (0x3400, 0xD7A0, 256)) for b in range(top, bottom, n))
-MARK = f"[{_ASCII}{_WIDE}]"
+#: Characters that a cut looks for: about a quarter of those of a script; every fourth of ASCII and Latin letters, and a stretch of each of the others.
+_LATIN = "".join(rf"\x{c:02x}" for c in (*range(0x21, 0x7F, 4), *range(0xC0, 0x100, 4)))
+MARK = f"[{_LATIN}α-ηа-зא-חا-حक-ठあ-げア-ゲ一-懿가-럿]"
 #: A chunk ends, from 512 characters on, behind the first sentence end or the first three such characters in a row: what stands there tells, not how far it is
-#: from the text's beginning. Texts that have neither for 3,584 characters (one character again and again, say) are cut at 4096.
-CHUNK = rf"(?s).{{512,4096}}?(?<=[.!?;:。！？]|{MARK}{{3}})|.{{1,4096}}"
+#: from the text's beginning. Texts that have neither for some 3,500 characters (one character again and again, say) are cut at 4096.
+CHUNK = rf"(?s).{{511,4093}}?(?:[.!?;:。！？]|{MARK}{{3}})|.{{1,4096}}"
 
 
 def normalised(text: Column | str = "text") -> Column:

@@ -39,7 +39,7 @@ def test_clashing_names_do_not_join_texts(table):
     assert sorted([(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in found], key=repr) == wanted(rows)
 
 
-@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz" * 3 + ".!", "éàüößñçœæîôû", "".join(map(chr, range(0x4E00, 0x5600))), "あいうえおかきくけこさしすせそ", "абвгдежзийклмноп"])
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz" * 3 + ".!", "éàüößñçœæîôû", "".join(map(chr, range(0x4E00, 0x9FA0, 7))), "".join(map(chr, range(0x3042, 0x3090))), "абвгдежзийклмнопрстуфхцчшщъыьэюя"])
 def test_one_insertion_changes_two_chunks_at_most(spark, letters):
     """Chunks are cut by what stands there: what an edit leaves alone keeps its chunks, in any script, with and without punctuation."""
     draw = random.Random(7)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.engine import Engine
-from quarrymill.functions.blake3 import record_id
+from quarrymill.functions.blake3 import field_bytes
+from quarrymill.functions.blake3_lanes import blake3_each
 from quarrymill.functions.content import digest
 from quarrymill.functions.labels import META_FLAGS, NAME_TYPES, VOLUME_SYSTEMS, file_system_id, flag_labels, format_timestamp, label_of, up_to_nul
+from quarrymill.operators.hashsets import HashSet, in_hash_set
 from quarrymill.operators.images import image_documents
 from quarrymill.operators.rules import files_with_hits, hit_report, join_files, rule_hits, rules_table
 from quarrymill.operators.search import hit_counts, search_hits
@@ -188,6 +190,28 @@ def hash_exclusion_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exclude_known(files, known).select(F.col("Addr").alias("addr"))
 
 
+LISTED = """SELECT md5(concat_ws('/', l_orderkey, l_linenumber, part)) AS m FROM lineitem, (VALUES (0), (1)) p(part)
+UNION ALL SELECT upper(md5(coalesce(text, ''))) FROM documents WHERE doc_id % 3 = 0"""
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of known digests: two for each line item and those of every third document, some in upper case."""
+    lines = table(spark, sf_dir, "lineitem").select(F.explode(F.array(*[F.md5(F.concat_ws("/", "l_orderkey", "l_linenumber", F.lit(i))) for i in (0, 1)])).alias("md5"))
+    texts = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.upper(F.md5(F.coalesce("text", F.lit("")))))
+    return lines.union(texts)
+
+
+@query(f"SELECT doc_id AS addr, md5(coalesce(text, '')) AS md5 FROM documents WHERE md5(coalesce(text, '')) IN (SELECT lower(m) FROM ({LISTED}))")
+def hash_set_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose digest is in a list of digests that grows with the tables (1.2 million at sf0.1)."""
+    return in_hash_set(files_of(spark, sf_dir), HashSet(_listed(spark, sf_dir), "md5", small=1_000)).select(F.col("Addr").alias("addr"), digest("md5", "content").alias("md5"))
+
+
+@query(f"SELECT doc_id AS addr FROM documents WHERE md5(coalesce(text, '')) NOT IN (SELECT lower(m) FROM ({LISTED}))")
+def hash_set_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_hash_set(files_of(spark, sf_dir), HashSet(_listed(spark, sf_dir), "md5", small=1_000), known=False).select(F.col("Addr").alias("addr"))
+
+
 @query("SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS first_addr, count(*) AS files FROM documents GROUP BY 1")
 def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_contents(files_of(spark, sf_dir))
@@ -200,7 +224,7 @@ def blake3_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def name(batches):
         for b in batches:
-            yield b.assign(Id=[record_id(p, x, "", t, f, int(a), 0, 0, 0) for p, x, t, f, a in zip(b["Path"], b["Name"], b["Type"], b["Flags"], b["MetaAddr"])])
+            yield b.assign(Id=blake3_each([field_bytes(p, x, "", t, f, int(a), 0, 0, 0) for p, x, t, f, a in zip(b["Path"], b["Name"], b["Type"], b["Flags"], b["MetaAddr"])]))
 
     return rows.mapInPandas(name, "Path string, Name string, Type string, Flags string, MetaAddr long, Id string")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.functions.content import digest
 from quarrymill.functions.identities import with_inode_id, with_record_id
+from quarrymill.operators.hashsets import HashSet, in_hash_set
 from quarrymill.operators.rules import answered_rules, rule_hits, rules_table
 from quarrymill.operators.search import placed_hits, search_hits
 from quarrymill.operators.signatures import Signature, identify, signature_faults
@@ -27,6 +28,7 @@ class Engine:
         self.rules: list[Rule] = []
         self.errors: list[RuleError | PatternError] = []
         self.signatures: list[Signature] = []
+        self.known: list[HashSet] = []
 
     def load_rules(self, text: str) -> Engine:
         """Rules accumulate; bad ones are left out and reported in `errors`."""
@@ -65,11 +67,18 @@ class Engine:
         self.errors += signature_faults(signatures)
         return self
 
+    def without_known(self, digests: DataFrame, algorithm: str = "md5", column: str | None = None) -> Engine:
+        """Leave out files whose digest is in a table of known digests, however many there are (lists of system files, say)."""
+        self.known.append(HashSet(digests, algorithm, column))
+        return self
+
     def scan(self, source: DataFrame | str, hashes: tuple[str, ...] = ("md5", "sha1", "sha256"), metadata_only: bool = False) -> Scan:
         files, folders = source, None
         if isinstance(source, str):
             files = open_source(self.spark, source)
             folders = folders_below(files, qualified(self.spark, source))
+        for known in self.known:
+            files = in_hash_set(files, known, known=False)
         if "sig_id" not in files.columns:
             files = identify(files, self.signatures)
         return Scan(self, files, hashes, metadata_only, folders)

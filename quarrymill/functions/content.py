@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.functions.blake3 import blake3_hex
+from quarrymill.functions.blake3_lanes import blake3_each
 
 
 def as_latin1(content: Column | str) -> Column:
@@ -41,13 +41,14 @@ def hex_of(content: Column | str) -> Column:
     return F.lower(F.hex(content))
 
 
-def _each(f: Callable[[bytes], str], content: Column) -> Column:
-    """f of each content, over Arrow batches."""
+def _each(f: Callable[[list[bytes]], list[str]], content: Column) -> Column:
+    """f of the contents of each Arrow batch; null stays null."""
     bound_batches()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield b.map(lambda x: None if x is None else f(bytes(x)))
+            there = b[b.notna()]
+            yield pd.Series(f([bytes(x) for x in there]), there.index, dtype=object).reindex(b.index).astype(object).where(b.notna(), None)
 
     return F.pandas_udf(run, "string")(content)
 
@@ -97,4 +98,4 @@ def _pieces(data: bytes, block: int) -> tuple[str, str, int]:
 def digest(algorithm: str, content: Column | str) -> Column:
     """Lower-case hex digest: md5, sha1 and sha256 run in the JVM, blake3 and ssdeep in Python over Arrow batches."""
     content = F.col(content) if isinstance(content, str) else content
-    return {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "blake3": lambda c: _each(blake3_hex, c), "ssdeep": lambda c: _each(fuzzy_digest, c)}[algorithm](content)
+    return {"md5": F.md5, "sha1": F.sha1, "sha256": lambda c: F.sha2(c, 256), "blake3": lambda c: _each(blake3_each, c), "ssdeep": lambda c: _each(lambda x: [fuzzy_digest(y) for y in x], c)}[algorithm](content)

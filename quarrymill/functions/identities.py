@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quarrymill.functions.blake3 import blake3_hex, field_bytes
+from quarrymill.functions.blake3_lanes import blake3_each
 
 # The fields of each kind of record in the order in which they are hashed. u64 and u32 are little-endian numbers, text ends with NUL,
 # texts is a list of them, and the name of a kind stands for the digest of a record of it (or of each, if the field is a list).
@@ -58,7 +59,7 @@ def with_record_id(dirent: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rest = b.drop(columns="Id").astype(object)
-            yield b.assign(Id=[blake3_hex(field_bytes(*row)) for row in rest.itertuples(index=False, name=None)])
+            yield b.assign(Id=blake3_each([field_bytes(*row) for row in rest.itertuples(index=False, name=None)]))
 
     return dirent.mapInPandas(run, dirent.schema)
 

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from quarrymill.functions.blake3 import blake3_hex, record_id
-from quarrymill.functions.content import fuzzy_digest
+from quarrymill.functions.blake3_lanes import LANES, blake3_each
+from quarrymill.functions.content import digest, fuzzy_digest
 from quarrymill.plans.ruletext import Both, Call, Either, Pattern, Property, read_rules, tokens_of
 
 
@@ -33,6 +34,21 @@ def test_digests(size):
     assert blake3_hex(bytes(i % 251 for i in range(size))) == BLAKE3[size]
 
 
+def test_digests_of_many():
+    counting = bytes(i % 251 for i in range(8 * 1024 + 1))
+    assert blake3_each([counting[:n] for n in BLAKE3]) == list(BLAKE3.values()) and blake3_each([]) == []
+    sizes = [0, 63, 64, 65, 3072, 3073, 5 * 1024, 7 * 1024 + 5, 8 * 1024, 8 * 1024 + 1]
+    assert blake3_each([counting[:n] for n in sizes]) == [blake3_hex(counting[:n]) for n in sizes]
+    longer = counting * 515  # more chunks than are compressed together, behind other contents
+    assert len(longer) > LANES * 1024 and blake3_each([b"x", longer, b""])[1] == blake3_hex(longer)
+
+
+def test_digest_column_keeps_nulls(spark):
+    rows = spark.createDataFrame([(1, b"\x00"), (2, None), (3, b"")], "n int, content binary").coalesce(1)
+    found = {r.n: (r.b, r.s) for r in rows.select("n", digest("blake3", "content").alias("b"), digest("ssdeep", "content").alias("s")).collect()}
+    assert found == {1: (BLAKE3[1], fuzzy_digest(b"\x00")), 2: (None, None), 3: (BLAKE3[0], fuzzy_digest(b""))}
+
+
 def test_identities():
     """Text ends with NUL, numbers are 64-bit little-endian."""
     assert record_id("x/y", "y", "", 7, 258) == blake3_hex(b"x/y\0y\0\0" + bytes([7, 0, 0, 0, 0, 0, 0, 0]) + bytes([2, 1, 0, 0, 0, 0, 0, 0]))

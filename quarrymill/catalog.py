@@ -263,6 +263,10 @@ HITS = {
     "hits_hex": ("a = { 69 6e 67 }", {"a": "ing"}),
     "hits_numbers": (r'a = "\d{3,8}"', {"a": "[0-9]{3,8}"}),
     "hits_multi_pattern": ('a = "er[a-z]*" b = "on" fixed c = "[0-9]+"', {"a": "er[a-z]*", "b": "on", "c": "[0-9]+"}),
+    "hits_unicode": (
+        'u = "[a-z]*[à-ïñ-ö]{1,2}[a-zß-ÿ]*" nocase encodings=UTF-8 v = "[^a-zà-ÿ.,]{2}[é-ë]"',
+        {"u": "[a-zA-Z]*[à-ïñ-öÀ-ÏÑ-ÖÅ]{1,2}[a-zA-ZſKẞß-ÿÀ-ÖØ-ÞŸ÷]*", "v": "[^a-zà-ÿ.,]{2}[é-ë]"},
+    ),
 }
 
 

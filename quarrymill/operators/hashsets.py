@@ -16,12 +16,12 @@ BITS, MOST_WORDS = 16, 1 << 20
 
 def _place(hex_digest: Column, words: int) -> Column:
     """The word of the filter that a digest belongs to; words is a power of two."""
-    return F.conv(F.substring(hex_digest, 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(words - 1))
+    return F.xxhash64(hex_digest).bitwiseAND(F.lit(words - 1))
 
 
 def _mask(hex_digest: Column) -> Column:
-    """Four bits of the word, taken from digits of the digest that do not tell the word."""
-    bits = [F.conv(F.substring(hex_digest, 9 + 2 * i, 2), 16, 10).cast("int").bitwiseAND(F.lit(63)) for i in range(4)]
+    """Four bits of the word, by bits of the hash that do not tell the word."""
+    bits = [F.shiftrightunsigned(F.xxhash64(hex_digest), 40 + 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(4)]
     return reduce(Column.bitwiseOR, [F.call_function("shiftleft", F.lit(1).cast("long"), b) for b in bits])
 
 

@@ -1,6 +1,7 @@
 """Search patterns as regular expressions over bytes (text with one character per byte).
 
 Supported: literals, classes, groups, alternation, quantifiers, `.`, anchors, the escapes of Java and Python that both know, and \\zHH for a raw byte.
+Classes with characters beyond ASCII are sets of characters, spelled out in each encoding (charsets.py); others are sets of bytes.
 Patterns that can match nothing are refused: hits have at least one byte.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from quarrymill.plans.charsets import PatternError, class_in
 from quarrymill.plans.ruletext import Pattern
 
 #: Names of encodings to names of codecs; others are looked up as they are.
@@ -21,10 +23,6 @@ _ATOM = re.compile(
 )
 
 
-class PatternError(ValueError):
-    pass
-
-
 def _literal(char: str, codec: str, nocase: bool) -> str:
     forms = dict.fromkeys([char, *((char.lower(), char.upper()) if nocase else ())])
     try:
@@ -64,7 +62,8 @@ def _in_encoding(pattern: Pattern, encoding: str) -> str:
             out.append(_one_byte(text, codec))
         elif kind == "set":
             if not text.isascii():
-                raise PatternError(f"class with characters beyond ASCII: {text}")
+                out.append(class_in(text, codec, pattern.nocase))
+                continue
             text = text.replace(r"\z", r"\x")
             both = text[:-1] + re.sub(r"\\.|[a-zA-Z]-[a-zA-Z]|[a-zA-Z]", lambda c: c[0] if c[0][0] == "\\" else c[0].swapcase(), text[1 + (text[1] == "^") : -1]) + "]"
             out.append(_one_byte(both if pattern.nocase else text, codec))

@@ -6,7 +6,7 @@ from quarrymill import cli
 from quarrymill.engine import Engine
 from quarrymill.functions.blake3 import record_id
 from quarrymill.sources.files import DIRENT, HASH, INODE, directory_files, folders_of
-from quarrymill.streaming.scan import scan_stream, watch
+from quarrymill.streaming.scan import first_seen, scan_stream, watch
 
 
 @pytest.fixture
@@ -79,6 +79,29 @@ def test_stream(spark, folder):
     assert sorted(r["name"] for r in spark.read.parquet(str(folder / "out" / "rule_hits")).collect()) == ["a.txt", "b.txt", "d.txt"]
 
 
+def test_files_of_several_batches_are_searched_once(spark, tmp_path):
+    """Also when the stream is started again between the batches."""
+    engine = Engine(spark).load_rules('rule r { grep: patterns: p = "needle" condition: any() }')
+    shape = "Path string, Name string, FsOffset long, Addr long, content binary"
+
+    def arrive(*rows):
+        spark.createDataFrame([("/", name, fs, addr, b"a needle") for name, fs, addr in rows], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(key=("FsOffset", "Addr")):
+        files = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        scan_stream(engine, first_seen(files, by=key), str(tmp_path / "out"), str(tmp_path / "state"), once=True).awaitTermination()
+        return sorted(r["name"] for r in spark.read.parquet(str(tmp_path / "out" / "rule_hits")).collect())
+
+    arrive(("a", 0, 1), ("b", 0, 2), ("c", None, 3))
+    arrive(("a again", 0, 1), ("other system", 9, 1))
+    assert run() == ["a", "b", "c", "other system"]
+    arrive(("b again", 0, 2), ("d", 0, 4), ("d again", 0, 4), ("c again", None, 3))
+    found = run()
+    assert found[:3] == ["a", "b", "c"] and found[3] in ("d", "d again") and found[4:] == ["other system"]
+    with pytest.raises(ValueError, match="none of the columns"):
+        run(("NoSuch",))
+
+
 def test_command_line_with_signatures(spark, folder):
     (folder / "known.json").write_text('[{"id": "hay", "name": "Hay", "pattern": "hay", "checks": []}]')
     (folder / "by_type").write_text('rule typed { signature: name == "Hay" }')

@@ -13,7 +13,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymill.llm.common import SPACE, let, read_table, slots
+from quarrymill.llm.common import SPACE, let, read_table, slots, stage
 
 #: Words in a k-mer.
 K = 5
@@ -84,6 +84,9 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     nameless = max(1, -(-unnamed * parts // max(1, rows)))
     part = F.when(F.col("doc_id").isNull(), F.lit(first[-1] + 1) + spread(F.lit(nameless))).otherwise(part)
     dealt = filled.withColumn("part", part.cast("int")).drop("row")
+    if any(filling) or nameless > 1:
+        # Ranges were drawn by the row's position, and are read twice: a task that runs again must not draw others.
+        dealt = stage(dealt, "dealt")
     led = dealt.withColumn("follows", F.lead("text").over(Window.partitionBy("part").orderBy(F.desc_nulls_last("doc_id"), F.desc("text"))))
     heads = dealt.groupBy("part").agg(F.max(F.struct("doc_id", "text")).alias("head"))
     # The window over all ranges sees their numbers alone.

@@ -5,8 +5,7 @@ each phrase is the longest match that starts where the last one ended. Phrases t
 sample, per character, estimate the cross entropy; the language with the least wins. The automata are made into one table of
 (state, character class) -> state whose lowest bit marks the start of a phrase, so a batch of texts is parsed by all
 languages at once, one gather per character position. Only the most frequent characters have a column there; moves by all other characters of the
-samples are searched in a sorted list, so every character counts and memory is bounded by the samples. Texts are parsed whole, in segments that phrases do not cross, so
-that lanes have a bounded length.
+samples are searched in a sorted list, so every character counts and memory is bounded by the samples. Long texts are parsed in several lanes, with the phrases of one parse.
 """
 
 from __future__ import annotations
@@ -23,7 +22,8 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import bound_batches, columns, quoted, read_table, unused
 
-SEGMENT = 2048
+#: Characters of a lane, and how many before its own it starts with.
+LANE, LEAD = 2048, 256
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -115,35 +115,53 @@ def _points(text: str) -> np.ndarray:
 
 
 def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
-    """Phrases of each text (rows) for each language (columns)."""
-    out = np.zeros((len(texts), len(parser.languages)), np.int64)
+    """Phrases of each text (rows) for each language (columns), as if each text were parsed from its first character to its last.
+
+    Long texts are parsed in lanes of LANE characters at once. A lane starts LEAD characters early, since parses of one text that start at different places soon
+    meet in one state. Where the state that it enters its own part with isn't the one the lane before it ended in, that part is parsed again from there.
+    """
     codes = [parser.classes[p] for p in map(_points, texts)]
     size = np.fromiter(map(len, codes), np.int64, len(codes))
     whole = np.concatenate(codes) if len(codes) else np.zeros(0, np.int32)
-    rare = whole >= parser.k
-    column, any_rare = np.where(rare, 0, whole), bool(rare.any())
-    pieces = -(-size // SEGMENT)
+    pieces = -(-size // LANE)
     owner = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(np.cumsum(size) - size, pieces) + nth * SEGMENT
-    length = np.minimum(size[owner] - nth * SEGMENT, SEGMENT)
-    order = np.argsort(-length, kind="stable")
-    owner, start, length = owner[order], start[order], length[order]
-    state = np.repeat(parser.roots[:, None], len(owner), axis=1)
-    begun = np.zeros(state.shape, np.int32)
-    left = len(owner)
-    for t in range(int(length.max(initial=0))):
-        while left and length[left - 1] <= t:
+    start = np.repeat(np.cumsum(size) - size, pieces) + nth * LANE
+    length = np.minimum(size[owner] - nth * LANE, LANE)
+    begun, entered, ended = _walk(parser, whole, start, length, np.where(nth > 0, LEAD, 0), np.repeat(parser.roots[:, None], len(owner), axis=1))
+    while True:
+        wrong = np.zeros(len(owner), bool)
+        wrong[1:] = (nth[1:] > 0) & (entered[:, 1:] != ended[:, :-1]).any(0)
+        again = np.flatnonzero(wrong & ~np.append(False, wrong[:-1]))
+        if not len(again):
+            break
+        entered[:, again] = ended[:, again - 1]
+        begun[:, again], _, ended[:, again] = _walk(parser, whole, start[again], length[again], np.zeros(len(again), np.int64), entered[:, again])
+    return np.array([np.bincount(owner, weights=row, minlength=len(texts)) for row in begun], np.int64).reshape(len(parser.languages), len(texts)).T
+
+
+def _walk(parser: Parser, whole: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parse whole[start : start + length] in each lane from the given states (languages by lanes), lead (0 or LEAD) characters before it first.
+    Phrases that begin behind the lead, the states there and the last states."""
+    order = np.argsort(-(length + lead), kind="stable")
+    first, steps, led = (start - lead)[order], (length + lead)[order], lead[order] > 0
+    state = state[:, order].copy()
+    entered, begun, left = state.copy(), np.zeros(state.shape, np.int32), len(order)
+    for t in range(int(steps.max(initial=0))):
+        while left and steps[left - 1] <= t:
             left -= 1
-        at = start[:left] + t
-        step = parser.table[state[:, :left] + column[at]]
-        if any_rare and len(lanes := np.flatnonzero(rare[at])):
-            step[:, lanes] = _rare_steps(parser, state[:, lanes], whole[at[lanes]])
+        if t == LEAD:
+            entered[:, led], begun[:, led] = state[:, led], 0
+        classes = whole[first[:left] + t]
+        rare = classes >= parser.k
+        step = parser.table[state[:, :left] + np.where(rare, 0, classes)]
+        if rare.any():
+            lanes = np.flatnonzero(rare)
+            step[:, lanes] = _rare_steps(parser, state[:, lanes], classes[lanes])
         begun[:, :left] += step & 1
         state[:, :left] = step >> 1
-    for i in range(len(parser.languages)):
-        out[:, i] = np.bincount(owner, weights=begun[i], minlength=len(texts))
-    return out
+    back = np.argsort(order)
+    return begun[:, back], entered[:, back], state[:, back]
 
 
 def _rare_steps(parser: Parser, state: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -188,23 +206,25 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, chars: int = 60_000, excerpt: int = 500, total: int = 3_000_000) -> Parser:
+def train(docs: DataFrame, chars: int = 60_000, passage: int = 500, total: int = 3_000_000) -> Parser:
     """Learn from documents that are not held out and have a language and a text.
 
-    Bounded sample: about 2 * chars / excerpt documents per language, drawn by a hash of doc_id, the first `excerpt`
-    characters of each, `chars` characters per language in all, or an equal share of `total` if there are more languages than that allows. Every language is
-    learned. The driver holds one count per language.
+    Bounded sample: the labelled texts are cut into passages of `passage` characters, of which each, wherever it lies in its text, is drawn by a hash of doc_id and its
+    place with the same chance, about 2 * chars / passage for each language. `chars` characters per language are learned, or an equal share of `total` if there are more
+    languages than that allows; every language is learned. Nulls and empty texts have no passages. Rows that share a doc_id share their draws; ties go by
+    language and passage. The driver holds the sample and one count per language.
     """
-    usable = docs.where(F.col("lang").isNotNull() & ~held_out())
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
-    chars = min(chars, total // max(1, len(counts)))
-    excerpt = max(1, min(excerpt, chars))
-    wanted = 2 * -(-chars // excerpt)
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 1).cast("double") / float(1 << 63)
+    usable = docs.where(F.col("lang").isNotNull() & ~held_out() & (F.length("text") > 0)).select("doc_id", "lang", "text")
+    counts = usable.groupBy("lang").agg(F.sum(F.length("text").cast("long")).alias("chars")).collect()
     if not counts:
         return build_parser({})
-    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2 * wanted / r["count"])) for r in counts], "lang string, share double")
-    rows = usable.select("doc_id", "lang", "text").join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("lang", F.substring("text", 1, excerpt).alias("text"), draw.alias("draw")).where(F.col("text").isNotNull())
+    chars = max(1, min(chars, total // len(counts)))
+    passage = max(1, min(passage, chars))
+    wanted = 2 * -(-chars // passage)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * wanted * passage / r["chars"])) for r in counts], "lang string, share double")
+    places = F.transform(F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(passage)).cast("int") - 1), lambda i: F.struct(i.alias("i"), _draw(i).alias("draw")))
+    drawn = usable.join(F.broadcast(shares), "lang").select("lang", "text", F.explode(F.filter(places, lambda x: x["draw"] < F.col("share"))).alias("at"))
+    rows = drawn.select("lang", "at.draw", F.col("text").substr(F.col("at.i") * passage + 1, F.lit(passage)).alias("text"))
     # The expected number is half of this.
     rows = rows.orderBy("draw", "lang", "text").limit(4 * wanted * len(counts)).collect()
     samples: dict[str, str] = {}
@@ -214,6 +234,11 @@ def train(docs: DataFrame, chars: int = 60_000, excerpt: int = 500, total: int =
     return build_parser({k: v[:chars] for k, v in samples.items()})
 
 
+def _draw(place: Column) -> Column:
+    """A number from 0 to below 1 for a passage of a document."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language"), place), 1).cast("double") / float(1 << 63)
+
+
 def _told(docs: DataFrame, parser: Parser) -> DataFrame:
     """docs with a last column, of a name that docs does not use, of lang_pred and score."""
     bound_batches(docs.sparkSession)

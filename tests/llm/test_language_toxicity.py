@@ -37,15 +37,31 @@ def test_automaton_accepts_all_substrings():
         assert (state is not None) == (word in subs)
 
 
-def test_phrases_by_brute_force(monkeypatch):
-    monkeypatch.setattr(language_id, "SEGMENT", 40)
-    samples = {"a": "the cat sat on the mat and the dog", "b": "le chat est sur la table"}
-    parser = build_parser(samples)
-    texts = ["the cat is on la table", "x", "", "zzz the", "the cat sat on the mat " * 7]
+@pytest.mark.parametrize("lane, lead", [(40, 8), (7, 1), (16, 0), (2048, 256)])
+def test_phrases_by_brute_force(monkeypatch, lane, lead):
+    """Texts in lanes have the phrases of one parse, also where the lanes' parses don't meet."""
+    monkeypatch.setattr(language_id, "LANE", lane)
+    monkeypatch.setattr(language_id, "LEAD", lead)
+    samples = {"a": "the cat sat on the mat and the dog", "b": "le chat est sur la table", "c": "aaaaaaaaaaa", "d": "xyz" * 9}
+    parser = build_parser(samples, most_classes=8)
+    draw = random.Random(3)
+    texts = ["the cat is on la table", "x", "", "zzz the", "the cat sat on the mat " * 7, "a" * 300, "xyz" * 100, "éa" * 60, "".join(draw.choice("the cat léxyz") for _ in range(500))]
     found = phrases(parser, texts)
     for i, t in enumerate(texts):
         for j, k in enumerate(parser.languages):
-            assert found[i, j] == sum(greedy(samples[k], t[s : s + 40]) for s in range(0, len(t), 40)), (t, k)
+            assert found[i, j] == greedy(samples[k], t), (t, k)
+
+
+def test_sample_reaches_all_parts_of_a_text(table, monkeypatch):
+    """Passages are drawn from anywhere in a text, and from the whole of it where the sample has room."""
+    samples = {}
+    monkeypatch.setattr(language_id, "build_parser", samples.update)
+    texts = [chr(ord("a") + i) * 700 + chr(ord("k") + i) * 700 for i in range(10)]
+    language_id.train(table([(i, t, "xx") for i, t in enumerate(texts)]), chars=100_000)
+    learned = [i for i in range(10) if not zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sorted(samples["xx"].replace(" ", "")) == sorted("".join(texts[i] for i in learned))
+    language_id.train(table([(1, "".join(texts) * 20, "xx")]), chars=20_000)
+    assert len(samples["xx"]) == 20_000 and len(set(samples["xx"])) == 21
 
 
 def test_predictions():

@@ -123,12 +123,14 @@ def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
     codes = [parser.classes[p] for p in map(_points, texts)]
     size = np.fromiter(map(len, codes), np.int64, len(codes))
     whole = np.concatenate(codes) if len(codes) else np.zeros(0, np.int32)
+    rare = whole >= parser.k
+    coded = np.where(rare, 0, whole), whole, rare if rare.any() else None
     pieces = -(-size // LANE)
     owner = np.repeat(np.arange(len(size)), pieces)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = np.repeat(np.cumsum(size) - size, pieces) + nth * LANE
     length = np.minimum(size[owner] - nth * LANE, LANE)
-    begun, entered, ended = _walk(parser, whole, start, length, np.where(nth > 0, LEAD, 0), np.repeat(parser.roots[:, None], len(owner), axis=1))
+    begun, entered, ended = _walk(parser, coded, start, length, np.where(nth > 0, LEAD, 0), np.repeat(parser.roots[:, None], len(owner), axis=1))
     while True:
         wrong = np.zeros(len(owner), bool)
         wrong[1:] = (nth[1:] > 0) & (entered[:, 1:] != ended[:, :-1]).any(0)
@@ -136,13 +138,16 @@ def phrases(parser: Parser, texts: list[str]) -> np.ndarray:
         if not len(again):
             break
         entered[:, again] = ended[:, again - 1]
-        begun[:, again], _, ended[:, again] = _walk(parser, whole, start[again], length[again], np.zeros(len(again), np.int64), entered[:, again])
+        begun[:, again], _, ended[:, again] = _walk(parser, coded, start[again], length[again], np.zeros(len(again), np.int64), entered[:, again])
     return np.array([np.bincount(owner, weights=row, minlength=len(texts)) for row in begun], np.int64).reshape(len(parser.languages), len(texts)).T
 
 
-def _walk(parser: Parser, whole: np.ndarray, start: np.ndarray, length: np.ndarray, lead: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parse whole[start : start + length] in each lane from the given states (languages by lanes), lead (0 or LEAD) characters before it first.
-    Phrases that begin behind the lead, the states there and the last states."""
+def _walk(
+    parser: Parser, coded: tuple[np.ndarray, np.ndarray, np.ndarray | None], start: np.ndarray, length: np.ndarray, lead: np.ndarray, state: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parse the characters from start to start + length in each lane from the given states (languages by lanes), lead (0 or LEAD) characters before them first.
+    coded: the column, the class and, if there are any, the lack of a column of each character. Phrases that begin behind the lead, the states there and the last states."""
+    column, whole, rare = coded
     order = np.argsort(-(length + lead), kind="stable")
     first, steps, led = (start - lead)[order], (length + lead)[order], lead[order] > 0
     state = state[:, order].copy()
@@ -152,12 +157,10 @@ def _walk(parser: Parser, whole: np.ndarray, start: np.ndarray, length: np.ndarr
             left -= 1
         if t == LEAD:
             entered[:, led], begun[:, led] = state[:, led], 0
-        classes = whole[first[:left] + t]
-        rare = classes >= parser.k
-        step = parser.table[state[:, :left] + np.where(rare, 0, classes)]
-        if rare.any():
-            lanes = np.flatnonzero(rare)
-            step[:, lanes] = _rare_steps(parser, state[:, lanes], classes[lanes])
+        at = first[:left] + t
+        step = parser.table[state[:, :left] + column[at]]
+        if rare is not None and len(lanes := np.flatnonzero(rare[at])):
+            step[:, lanes] = _rare_steps(parser, state[:, lanes], whole[at[lanes]])
         begun[:, :left] += step & 1
         state[:, :left] = step >> 1
     back = np.argsort(order)

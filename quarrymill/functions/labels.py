@@ -35,11 +35,14 @@ def label_of(code: Column, labels: dict[int, str], other: str = "") -> Column:
 def format_timestamp(seconds: Column, nanos: Column) -> Column:
     """`YYYY-MM-DD HH:MM:SS` in UTC, with the fraction of a second without trailing zeros; empty if both are 0.
 
-    Days and seconds are added to 1970 by arithmetic, so the session's time zone does not matter.
+    Days and seconds are added to 1970 by arithmetic, so the session's time zone does not matter. Years have four digits, or as many as they need: 10000 has no sign,
+    and the year before 1 is 0000.
     """
     day, second = F.floor(seconds / 86400).cast("int"), F.pmod(seconds, F.lit(86400))
     clock = F.format_string("%02d:%02d:%02d", F.floor(second / 3600).cast("int"), F.floor(second / 60).cast("int") % 60, (second % 60).cast("int"))
-    date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), day), "yyyy-MM-dd")
+    on = F.date_add(F.lit("1970-01-01").cast("date"), day)
+    year = F.year(on).cast("string")
+    date = F.concat(F.when(F.year(on).between(0, 9999), F.lpad(year, 4, "0")).otherwise(year), F.date_format(on, "-MM-dd"))
     fraction = F.when(nanos.between(1, 999_999_999), F.concat(F.lit("."), F.rtrim(F.lpad(nanos.cast("string"), 9, "0"), F.lit("0")))).otherwise("")
     return F.when((seconds == 0) & (nanos == 0), "").otherwise(F.concat(date, F.lit(" "), clock, fraction))
 

@@ -22,6 +22,18 @@ def test_timestamps(spark, s, ns, shown):
     assert spark.createDataFrame([(s, ns)], "s long, ns long").select(format_timestamp(F.col("s"), F.col("ns"))).first()[0] == shown
 
 
+@pytest.mark.parametrize(
+    ("s", "shown"),
+    [
+        (253_402_300_799, "9999-12-31 23:59:59"), (253_402_300_800, "10000-01-01 00:00:00"), (9_000_000_000_000, "287168-08-24 16:00:00"), (-62_135_596_800, "0001-01-01 00:00:00"),
+        (-62_135_596_801, "0000-12-31 23:59:59"), (-200_000_000_000, "-4368-04-02 04:26:40"),
+    ],
+)
+def test_timestamps_of_far_years(spark, s, shown):
+    """As DuckDB's strftime writes them."""
+    assert spark.createDataFrame([(s,)], "s long").select(format_timestamp(F.col("s"), F.lit(0))).first()[0] == shown
+
+
 def test_flags(spark):
     rows = spark.createDataFrame([(0,), (5,), (63,)], "f int").select(flag_labels(F.col("f"), META_FLAGS)).collect()
     assert [r[0] for r in rows] == ["", "Allocated, Used", "Allocated, Deleted, Used, Unused, Compressed, Orphan"]

@@ -83,11 +83,27 @@ def merge_ranges(ranges: DataFrame, by: list[str], stretch: int = 1 << 20) -> Da
     return numbered.groupBy(*by, "merged").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("merged")
 
 
-def unclaimed(claimed: DataFrame, allocated: DataFrame, by: list[str], stretch: int = 4096) -> DataFrame:
+def _rejoined(pieces: DataFrame, by: list[str], stretch: int) -> DataFrame:
+    """Union of half-open ranges (begin, end) of which none lies across a multiple of `stretch`. Ranges of a stretch are merged by one sort; only those that then begin or end
+    at a multiple, two for each stretch at most, can go on in the next one and are merged once more."""
+    cell = [*by, "cell"]
+    ordered = Window.partitionBy(*cell).orderBy("begin", "end")
+    before, so_far = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(Window.unboundedPreceding, 0)
+    rows = pieces.withColumn("cell", F.floor(F.col("begin") / stretch)).withColumn("new", F.when(F.col("begin") <= F.max("end").over(before), 0).otherwise(1))
+    islands = kept(rows.withColumn("island", F.sum("new").over(so_far)).groupBy(*cell, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).drop("island"))
+    goes_on = (F.col("begin") == F.col("cell") * stretch) | (F.col("end") == (F.col("cell") + 1) * stretch)
+    along = Window.partitionBy(*by).orderBy("begin")
+    edges = islands.where(goes_on).withColumn("new", F.when(F.col("begin") == F.lag("end").over(along), 0).otherwise(1)).withColumn("island", F.sum("new").over(along))
+    merged = edges.groupBy(*by, "island").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return islands.where(~goes_on).select(*by, "begin", "end").union(merged.select(*by, "begin", "end"))
+
+
+def unclaimed(claimed: DataFrame, allocated: DataFrame, by: list[str], stretch: int = 256, joined: int = 4096) -> DataFrame:
     """Parts of claimed ranges (by, inum, begin, end) that no allocated range covers.
 
     Claims and allocated ranges are cut at multiples of `stretch` and meet by equality of the stretch: an interval join whose groups are as small as
-    the stretch, not as large as a disk. Within a stretch the free parts are the gaps between allocated pieces. Parts that a cut divides are joined again.
+    the stretch, not as large as a disk. Within a stretch the free parts are the gaps between allocated pieces; a claim takes those that it meets. Parts that a cut
+    divides are joined again, those of a file within `joined` stretches in one group.
     """
     cell = [*by, "cell"]
 
@@ -97,17 +113,16 @@ def unclaimed(claimed: DataFrame, allocated: DataFrame, by: list[str], stretch:
 
     # Equal pieces count once, so a piece that very many ranges claim does not make a group large.
     solid = cut(allocated).distinct()
-    ordered = Window.partitionBy(*cell).orderBy("begin", "end")
-    covered = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
-    gaps = solid.select(*cell, F.coalesce(covered, F.col("cell") * stretch).alias("from"), F.col("begin").alias("to"))
-    tails = solid.groupBy(*cell).agg(F.max("end").alias("from")).select(*cell, "from", ((F.col("cell") + 1) * stretch).alias("to"))
-    free = gaps.union(tails).where("from < to").groupBy(*cell).agg(F.collect_list(F.struct("from", "to")).alias("free"))
-    known = solid.select(*cell).distinct().join(free, cell, "left").withColumn("known", F.lit(True))
-    met = cut(claimed, "inum").join(known, cell, "left")
+    covered = F.max("end").over(Window.partitionBy(*cell).orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1))
+    begin, end = F.col("cell") * stretch, (F.col("cell") + 1) * stretch
+    gaps = solid.withColumn("from", F.coalesce(covered, begin)).withColumn("gap", F.when(F.col("from") < F.col("begin"), F.struct("from", F.col("begin").alias("to"))))
+    tail = F.when(F.max("end") < end, F.array(F.struct(F.max("end").alias("from"), end.alias("to")))).otherwise(F.array().cast("array<struct<from:bigint,to:bigint>>"))
+    free = gaps.groupBy(*cell).agg(F.concat(F.collect_list("gap"), tail).alias("free"))
+    met = cut(claimed, "inum").join(free, cell, "left")
     whole = F.array(F.struct(F.col("begin").alias("from"), F.col("end").alias("to")))
-    parts = met.withColumn("part", F.explode(F.when(F.col("known"), F.col("free")).otherwise(whole)))
+    parts = met.withColumn("part", F.explode(F.filter(F.coalesce("free", whole), lambda x: (x["from"] < F.col("end")) & (x["to"] > F.col("begin")))))
     left = parts.select(*by, "inum", F.greatest("begin", "part.from").alias("begin"), F.least("end", "part.to").alias("end"))
-    return merge_ranges(left, [*by, "inum"])
+    return _rejoined(left, [*by, "inum"], stretch * joined)
 
 
 def run_layout(runs: DataFrame, block_size: int = 4096) -> DataFrame:

@@ -162,6 +162,15 @@ def test_ranges_against_blocks(spark):
         assert sum(r["end"] - r["begin"] for r in rows) == len(wanted)
 
 
+def test_claims_across_cuts(spark):
+    """Parts that run over many cuts, of stretches and of groups of stretches, are one; those on both sides of a block that is taken are two."""
+    claims = [(0, 1, 5, 61), (0, 1, 60, 64), (0, 2, 0, 16), (0, 3, 16, 32), (1, 1, 3, 50), (None, 4, 7, 30), (0, 5, 9, 9)]
+    a, c = spark.createDataFrame([(0, 24, 25), (0, 24, 25), (0, 33, 40), (1, 0, 3), (1, 48, 70)], "fs int, begin long, end long"), spark.createDataFrame(claims, "fs int, inum int, begin long, end long")
+    for stretch, joined in ((4, 1), (4, 2), (8, 2), (5, 3), (256, 4096)):
+        found = [tuple(r) for r in unclaimed(c, a, ["fs"], stretch, joined).select("fs", "inum", "begin", "end").collect()]
+        assert sorted(found, key=repr) == sorted([(0, 1, 5, 24), (0, 1, 25, 33), (0, 1, 40, 64), (0, 2, 0, 16), (0, 3, 16, 24), (0, 3, 25, 32), (1, 1, 3, 48), (None, 4, 7, 30)], key=repr)
+
+
 def test_parents_in_a_circle(spark):
     with pytest.raises(ValueError, match="circle"):
         full_paths(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "MetaAddr long, ParentAddr long, Name string"), 8)

@@ -5,11 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-from quarrymill.plans.patterns import PatternError
+from quarrymill.plans.charsets import PatternError
 
 #: Texts that a stretch of characters may be spelled out to, and characters of a class that are spelled out.
 _MOST_TEXTS, _MOST_CHARS = 64, 16
 _parser = re._parser  # the tree that re compiles from
+_REPEATS = (_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT)
 
 
 def tree_of(regex: str) -> Sequence:
@@ -55,10 +56,12 @@ def heads(regex: str, size: int) -> set[bytes] | None:
                 found = {x + bytes([c]) if len(x) < size else x for x in found for c in chars}
             elif op is _parser.SUBPATTERN:
                 found = spell(value[3], found)
+            elif op is _parser.ATOMIC_GROUP:
+                found = spell(value, found)
             elif op is _parser.BRANCH:
                 parts = [spell(x, found) for x in value[1]]
                 found = None if None in parts else set().union(*parts)
-            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            elif op in _REPEATS:
                 low, high, body = value
                 for _ in range(min(low, size)):
                     found = found and spell(body, found)
@@ -104,8 +107,8 @@ def _factors(items: Sequence) -> set[str] | None:
                     run = {""}
                 run = {x + c for x in run for c in folded}
                 continue
-            if op is _parser.SUBPATTERN:
-                take(value[3])
+            if op in (_parser.SUBPATTERN, _parser.ATOMIC_GROUP):
+                take(value[3] if op is _parser.SUBPATTERN else value)
                 continue
             if op is _parser.AT:
                 continue
@@ -114,9 +117,32 @@ def _factors(items: Sequence) -> set[str] | None:
             if op is _parser.BRANCH:
                 parts = [_factors(x) for x in value[1]]
                 offer(None if None in parts or sum(map(len, parts)) > _MOST_TEXTS else set().union(*parts))
-            elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] >= 1:
+            elif op in _REPEATS and value[0] >= 1:
                 offer(_factors(value[2]))
 
     take(items)
     offer(run)
     return best
+
+
+def bytes_beyond_ascii(regex: str) -> set[int] | None:
+    """Bytes from 0x80 of which every hit holds one; None if nothing can be said."""
+
+    def needed(items: Sequence) -> set[int] | None:
+        best: set[int] | None = None
+        for op, value in items:
+            own = _byte(op, value)
+            if op is _parser.SUBPATTERN:
+                own = needed(value[3])
+            elif op is _parser.ATOMIC_GROUP:
+                own = needed(value)
+            elif op is _parser.BRANCH:
+                parts = [needed(x) for x in value[1]]
+                own = None if None in parts else set().union(*parts)
+            elif op in _REPEATS and value[0] >= 1:
+                own = needed(value[2])
+            if own and min(own) >= 0x80 and (best is None or len(own) < len(best)):
+                best = own
+        return best
+
+    return needed(tree_of(regex))

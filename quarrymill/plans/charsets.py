@@ -150,7 +150,8 @@ def class_in(text: str, codec: str, nocase: bool) -> str:
         forms.insert(0, _set(ones))
     if not forms:
         raise PatternError(f"class without characters: {text}")
-    return forms[0] if len(forms) == 1 and ones else f"(?:{'|'.join(forms)})"
+    # No character's bytes begin another's, so once a form has matched no other can: the group is atomic.
+    return forms[0] if len(forms) == 1 and ones else f"(?>{'|'.join(forms)})"
 
 
 def _in_single_bytes(ranges: Ranges, codec: str, text: str) -> str:

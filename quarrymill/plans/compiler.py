@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrymill.functions.content import as_latin1, constant, digest, let
+from quarrymill.plans.analysis import bytes_beyond_ascii
 from quarrymill.plans.patterns import byte_regex, needed_texts
 from quarrymill.plans.prefilter import MANY, candidates
 from quarrymill.plans.ruletext import ALGORITHMS, Both, Call, Either, Pattern, Property, Rule, calls_in, terms_of
@@ -104,25 +105,22 @@ def gaps_and_sizes(view: Column, regex: str | Column) -> Column:
 
 
 def hit_ends(hits: Column) -> Column:
-    """Where each hit ends, as an array of longs: sums within blocks of hits, and of the blocks before them. Blocks have the cube root of twice the
-    number of hits, which makes the steps fewest."""
-    step = lambda a, h: a + h["gap"] + h["size"]
-    zero = F.lit(0).cast("long")
-
-    def ends(h: Column, block: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / block).cast("int")), lambda b: F.aggregate(F.slice(h, b * block + 1, block), zero, step))
-        firsts = let(blocks, lambda x: F.transform(x, lambda _, i: F.aggregate(F.slice(x, F.lit(1), i), zero, lambda a, y: a + y)))
-        return let(firsts, lambda f: F.transform(h, lambda _, i: F.aggregate(F.slice(h, i - i % block + 1, i % block + 1), F.get(f, F.floor(i / block).cast("int")), step)))
-
-    block = F.ceil(F.cbrt(F.size(hits) * 2)).cast("int")
-    return F.when(F.size(hits) > 0, let(hits, lambda h: let(block, lambda b: ends(h, b)))).otherwise(F.array().cast("array<bigint>"))
+    """Where each hit ends, as an array of longs. Each pass adds to every sum the one that ends where it begins, so sums of 1, 2, 4 and so on hits come of the
+    sizes, and as many passes as the number of hits has binary digits give all."""
+    sizes = F.transform(hits, lambda h: h["gap"].cast("long") + h["size"])
+    steps = F.transform(F.sequence(F.lit(0), F.length(F.bin(F.size(hits))) - 1), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    passed = F.aggregate(steps, sizes, lambda sums, n: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - n), F.lit(0).cast("long"))))
+    return F.when(F.size(hits) > 1, passed).otherwise(sizes)
 
 
 def may_hit(pattern: Pattern, view: Column, lower: Column) -> Column | None:
-    """Whether a file holds a text that the pattern's hits need."""
+    """Whether a file holds a text that the pattern's hits need, or else a byte beyond ASCII that they need."""
     texts = needed_texts(pattern)
     hay = lower if pattern.nocase else view
-    return reduce(or_, [F.contains(hay, F.lit(t.decode("latin-1"))) for t in texts]) if texts else None
+    if texts:
+        return reduce(or_, [F.contains(hay, F.lit(t.decode("latin-1"))) for t in texts])
+    needed = bytes_beyond_ascii(byte_regex(pattern))
+    return F.rlike(view, F.lit("[" + "".join(rf"\x{b:02x}" for b in sorted(needed)) + "]")) if needed else None
 
 
 #: What conditions ask of a pattern: whether, how many, or where.

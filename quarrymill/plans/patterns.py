@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from quarrymill.plans.analysis import heads
 from quarrymill.plans.charsets import PatternError, class_in
 from quarrymill.plans.ruletext import Pattern
 
@@ -49,8 +50,9 @@ def _in_encoding(pattern: Pattern, encoding: str) -> str:
     codec = CODECS.get(encoding.upper(), encoding)
     if pattern.fixed:
         return "".join(_literal(c, codec, pattern.nocase) for c in pattern.text)
-    out = []
+    out, kinds = [], []
     for m in _ATOM.finditer(pattern.text):
+        kinds.append(m.lastgroup)
         kind, text = m.lastgroup, m[m.lastgroup]
         if kind == "byte":
             out.append(rf"\x{text.lower()}")
@@ -73,9 +75,20 @@ def _in_encoding(pattern: Pattern, encoding: str) -> str:
             out.append("(?:" if text == "(" else text)
         else:
             out.append(text)
+    for i in range(1, len(out) - 1):
+        if out[i] in ("*", "+") and _ends_before(out[i - 1], out[i + 1], kinds[i + 1], out[i + 2] if out[i + 2 :] else ""):
+            out[i] += "+"
     return "".join(out)
 
 
+def _ends_before(repeated: str, next_: str, kind: str, behind: str) -> bool:
+    """Whether a repeated class always takes all that it can, since what follows it must be there and begins with none of its bytes: then nothing is to be tried again with less."""
+    if not repeated.startswith("[") or kind not in ("set", "char", "byte", "quoted") or behind[:1] in ("*", "?") or behind.startswith("{0"):
+        return False
+    own, follow = heads(repeated, 1), heads(next_, 1)
+    return own is not None and follow is not None and not own & follow
+
+
 @lru_cache(maxsize=1 << 16)
 def byte_regex(pattern: Pattern) -> str:
     """One expression for all encodings of a pattern; where several match, the first named one counts."""

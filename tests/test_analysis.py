@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import itertools
+import random
 import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quarrymill.plans.analysis import factors, heads, least_size
+from quarrymill.plans.analysis import bytes_beyond_ascii, factors, heads, least_size
+from quarrymill.plans.compiler import hit_ends
 from quarrymill.plans.patterns import PatternError, byte_regex
 from quarrymill.plans.ruletext import Pattern
 
@@ -56,3 +60,26 @@ def test_no_pattern_has_empty_hits(regex, text):
 def test_refused(text):
     with pytest.raises(PatternError, match="can match nothing"):
         byte_regex(Pattern(text))
+
+
+def test_bytes_beyond_ascii():
+    assert bytes_beyond_ascii(r"[a-z]*\xc3[\xa0-\xaf]") == {0xC3} and bytes_beyond_ascii(r"(?>\xc3[\x80-\x8f]|\xe2\x84\xab){1,2}x") == {0xC3, 0xE2}
+    assert bytes_beyond_ascii(r"[a-z]+") is None and bytes_beyond_ascii(r"a|\xc3") is None and bytes_beyond_ascii(r"\xc3*a") is None and bytes_beyond_ascii(r"[^a]") is None
+
+
+@pytest.mark.parametrize("text", ["[a-z]*[à-ï]{1,2}x", "[a-z]+[à-ï]?x", "[0-9]*x", "[0-9a-z]*x", "[a-z]*[à-ïk]", "[a-z]*\\d", "(?:[0-9]*|[a-z]+x)y", "[^a-zà-ÿ]{2}[é-ë]", "[0-9]*x*y"])
+def test_repeats_that_are_not_tried_again(text):
+    """Hits are those of Python's re on the text, whatever repeat takes all that it can and whatever class is one group."""
+    draw = random.Random(3)
+    ours, plain = re.compile(byte_regex(Pattern(text, encodings=("UTF-8",))).encode("latin-1"), re.S), re.compile(text)
+    for _ in range(300):
+        t = "".join(draw.choice("ax0yéëàk. ") for _ in range(30))
+        assert [m[0].decode() for m in ours.finditer(t.encode())] == [m[0] for m in plain.finditer(t)]
+
+
+def test_ends_of_many_hits(spark):
+    """One size more or less than a power of two, and far more hits than a row of text usually has."""
+    for n in (0, 1, 2, 3, 4, 5, 7, 8, 9, 1_023, 1_025, 50_000):
+        row = spark.range(1).select(F.transform(F.slice(F.sequence(F.lit(0), F.lit(n)), 2, n), lambda i: F.struct((i % 5).cast("int").alias("gap"), (i % 3 + 1).cast("int").alias("size"))).alias("hits"))
+        sums = list(itertools.accumulate(i % 5 + i % 3 + 1 for i in range(1, n + 1)))
+        assert row.select(hit_ends(F.col("hits"))).first()[0] == sums

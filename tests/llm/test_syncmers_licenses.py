@@ -179,3 +179,16 @@ def test_dual_licences(spark, table):
     ]
     found = {r["doc_id"]: r["families"] for r in licenses.scan_licenses(table(rows), scanner).collect()}
     assert found == {1: "Apache-2.0,GPL,MIT", 2: "Apache-2.0,MIT", 3: "GPL,MPL-2.0"}
+
+
+def test_training_counts_every_paragraph(spark, table):
+    """Paragraphs are counted, none is drawn: more than the 6,000 of an earlier sample, with repeats, without those that share a pair with a template."""
+    rows = [(i, "thor ande the\nsoftware ande\nno more\n" * 3 + "Released under the MIT License.") for i in range(1_000)]
+    sets = licenses._plain_sets(table(rows), licenses.templates(spark), F.lit(False).alias("calibrates")).collect()
+    assert {tuple(r["grams"]): r["n"] for r in sets} == {("the",): 3_000, ("software",): 3_000, ("more", "no"): 3_000}
+
+
+def test_share_of_weighted_scores(spark):
+    scores = spark.createDataFrame([(0.1, 900), (0.5, 90), (0.7, 9), (0.9, 1)], "score double, n long")
+    assert [licenses._passed_by(scores, x) for x in (0.0, 0.001, 0.009, 0.01, 0.1, 1.0)] == [0.9, 0.7, 0.7, 0.5, 0.1, 0.1]
+    assert licenses._passed_by(scores.where("n = 0"), 0.1) == 0.0

@@ -10,9 +10,12 @@ pairs with templates as one paragraph, so that wrapped notices are met whole. A
 
 from __future__ import annotations
 
+import math
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -143,33 +146,64 @@ def _grams(words: Column) -> Column:
     return let(words, lambda w: F.array_union(w, pairs_of(w)))
 
 
-def paragraphs_of(docs: DataFrame, joined_if: str | None = None) -> DataFrame:
+def _pairs_among(words: Column, pairs: list[str]) -> Column:
+    """Those of pairs_of(words) that are among fixed pairs, in order and with repeats. Few words begin one of them: these alone are put together with the next."""
+    begin = sorted({p.split(" ")[0] for p in pairs})
+    return let(words, lambda w: F.filter(F.transform(w, lambda x, i: F.when(x.isin(begin), F.concat_ws(" ", x, F.get(w, i + 1)))), lambda p: p.isin(pairs)))
+
+
+def _grams_among(words: Column, terms: list[str]) -> Column:
+    """Those of _grams(words) that are among fixed words and word pairs."""
+    single, pairs = _apart(terms)
+    return let(words, lambda w: F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(single)), _pairs_among(w, pairs))))
+
+
+def _apart(terms: list[str]) -> tuple[list[str], list[str]]:
+    """Single words and word pairs."""
+    return [t for t in terms if " " not in t], [t for t in terms if " " in t]
+
+
+def paragraphs_of(docs: DataFrame, joined_if: str | None = None, worth: Callable[[Column], Column] | None = None) -> DataFrame:
     """doc_id, paragraph, run and words: the lines of every text that hold a word, one for each identifier of an SPDX expression, and, in texts that the expression
-    joined_if meets, runs of two and more lines of which each shares a word pair with a template, as one (run)."""
+    joined_if meets, runs of two and more lines of which each shares a word pair with a template, as one (run). worth: a condition on words that lines (not runs) have to meet."""
     known = sorted({p for _, t in templates_list() for p in _plain_pairs(t)})
     lines = F.split("text", r"\r?\n|\r")
-    telling = F.array(*[F.lit(p) for p in known])
-
-    def runs(lines: Column) -> Column:
-        def joined(hit: Column) -> Column:
-            places = F.sequence(F.lit(0), F.size(hit) - 1)
-            ends = F.concat(F.filter(places, lambda i: ~F.get(hit, i)), F.array(F.size(hit)))
-            starts = F.filter(places, lambda i: F.get(hit, i) & F.coalesce(F.get(hit, i + 1), F.lit(False)) & ~F.coalesce(F.get(hit, i - 1), F.lit(False)))
-            return let(ends, lambda e: F.transform(starts, lambda i: F.array_join(F.slice(lines, i + 1, F.array_min(F.filter(e, lambda x: x > i)) - i), " ")))
+    stated = F.col("text").rlike(SPDX_LINE)
 
-        return let(F.transform(lines, lambda x: F.arrays_overlap(pairs_of(words_of(x)), telling)), joined)
+    def runs(lines: Column, hit: Callable[[Column], Column]) -> Column:
+        near = lambda i: F.coalesce(hit(i), F.lit(False))
+        places = F.sequence(F.lit(0), F.size(lines) - 1)
+        starts = F.filter(places, lambda i: near(i) & near(i + 1) & ~near(i - 1))
+        ends = F.filter(places, lambda i: near(i) & near(i - 1) & ~near(i + 1))  # of the run that starts at the same place of starts
+        return let(ends, lambda e: F.transform(starts, lambda i, k: F.array_join(F.slice(lines, i + 1, F.get(e, k) - i + 1), " ")))
 
     def marked(units: Column, run: bool) -> Column:
         return F.transform(units, lambda u: F.struct(u.alias("paragraph"), F.lit(run).alias("run")))
 
-    def single(lines: Column) -> Column:
-        stated = lambda x: F.regexp_replace(F.regexp_extract(x, SPDX_LINE, 1), r"(?i)\s+WITH\s+\S+", "")
-        each = lambda x: F.transform(F.regexp_extract_all(stated(x), F.lit(r"(?!(?i:OR|AND)\b)[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0)), lambda i: F.concat(F.lit("SPDX-License-Identifier: "), i))
-        apart = F.flatten(F.transform(lines, lambda x: F.when(x.rlike(SPDX_LINE), each(x)).otherwise(F.array(x))))
-        return marked(F.when(F.col("text").rlike(SPDX_LINE), apart).otherwise(lines), False)
+    def apart(lines: Column) -> Column:
+        named = lambda x: F.regexp_replace(F.regexp_extract(x, SPDX_LINE, 1), r"(?i)\s+WITH\s+\S+", "")
+        each = lambda x: F.transform(F.regexp_extract_all(named(x), F.lit(r"(?!(?i:OR|AND)\b)[A-Za-z0-9][A-Za-z0-9.+-]*"), F.lit(0)), lambda i: F.concat(F.lit("SPDX-License-Identifier: "), i))
+        return F.flatten(F.transform(lines, lambda x: F.when(x.rlike(SPDX_LINE), each(x)).otherwise(F.array(x))))
 
-    units = single(lines) if joined_if is None else let(lines, lambda x: F.when(F.col("text").rlike(joined_if), F.concat(single(x), marked(runs(x), True))).otherwise(single(x)))
-    return docs.select("doc_id", F.explode(units).alias("unit")).select("doc_id", "unit.*").withColumn("words", words_of(F.col("paragraph"))).where(F.size("words") > 0)
+    def units(lines: Column) -> Column:
+        if joined_if is None and worth is None:
+            return marked(F.when(stated, apart(lines)).otherwise(lines), False)
+        some = worth or (lambda _: F.lit(True))
+        of = lambda w: F.struct((F.size(_pairs_among(w, known)) > 0).alias("hit"), some(w).alias("worth"))
+
+        def kept(told: Column) -> Column:
+            single = F.when(stated, F.filter(apart(lines), lambda x: let(words_of(x), some))).otherwise(F.filter(lines, lambda x, i: F.get(told, i)["worth"]))
+            if joined_if is None:
+                return marked(single, False)
+            # Few texts have a run: the expression is only tried on these.
+            joined = let(runs(lines, lambda i: F.get(told, i)["hit"]), lambda r: F.when((F.size(r) > 0) & F.col("text").rlike(joined_if), r).otherwise(F.slice(r, 1, 0)))
+            return F.concat(marked(single, False), marked(joined, True))
+
+        return let(F.transform(lines, lambda x: let(words_of(x), of)), kept)
+
+    # Outer, since Spark puts a condition on what it explodes before any other explode, and would make lines and words twice; the words are exploded, since a condition on them would.
+    split = docs.select("doc_id", F.explode_outer(let(lines, units)).alias("unit")).select("doc_id", "unit.*")
+    return split.select("*", F.explode_outer(F.array(F.coalesce(words_of(F.col("paragraph")), F.array().cast("array<string>")))).alias("words")).where(F.size("words") > 0)
 
 
 def templates_list() -> list[tuple[str, str]]:
@@ -238,11 +272,11 @@ def train(docs: DataFrame, false_alarms: float = 0.0005, mistaken: float = 0.05,
 
 def _plain_sets(docs: DataFrame, known: DataFrame, calibrates: Column) -> DataFrame:
     """grams, calibrates and n: the sets of template words that paragraphs without a word pair of a template hold, and how many paragraphs hold each."""
-    telling = known.select(F.explode(pairs_of(F.col("words"))).alias("pair")).distinct().agg(F.collect_set("pair").alias("telling"))
-    words = known.select(F.explode("words").alias("word")).agg(F.collect_set("word").alias("known"))
-    there = paragraphs_of(docs.select("doc_id", "text")).join(F.broadcast(telling.join(words)))
-    plain = there.where(~F.arrays_overlap(pairs_of(F.col("words")), "telling"))
-    return plain.select(F.array_sort(F.array_intersect("words", "known")).alias("grams"), calibrates).groupBy("grams", "calibrates").agg(F.count("*").alias("n"))
+    terms = sorted(r[0] for r in known.select(F.explode(_grams(F.col("words")))).distinct().collect())
+    words, pairs = _apart(terms)
+    plain = paragraphs_of(docs.select("doc_id", "text")).where(F.size(_pairs_among(F.col("words"), pairs)) == 0)
+    grams = F.array_sort(F.array_distinct(F.filter("words", lambda w: w.isin(words))))
+    return plain.select(grams.alias("grams"), calibrates).groupBy("grams", "calibrates").agg(F.count("*").alias("n"))
 
 
 def _passed_by(scores: DataFrame, share: float, bins: int = 1 << 16) -> float:
@@ -265,7 +299,7 @@ def _telling(plain: DataFrame, rarest: int) -> str:
 
 def _scored(paragraphs: DataFrame, scanner: Scanner) -> DataFrame:
     """Adds p_none, guess (the likeliest family) and sure (its probability) to paragraphs with words."""
-    return _told(paragraphs.withColumn("grams", _grams(F.col("words"))), scanner)
+    return _told(paragraphs.withColumn("grams", _grams_among(F.col("words"), scanner.terms.vocabulary)), scanner)
 
 
 def _told(grams: DataFrame, scanner: Scanner) -> DataFrame:
@@ -276,6 +310,30 @@ def _told(grams: DataFrame, scanner: Scanner) -> DataFrame:
     return told.withColumn("p_none", F.element_at("p", 1)).drop("p", "grams", "features", "probability")
 
 
+def _worth(scanner: Scanner) -> Callable[[Column], Column] | None:
+    """A condition on words that every paragraph meets that may pass the threshold. What the terms in it speak for licences over `none` adds up: of each the most that it does for
+    any class, rounded up to halves. A paragraph that stays below what the threshold asks for beyond the intercepts can't pass, and needs no model. None: all may pass."""
+    weights, start = scanner.model.coefficientMatrix.toArray(), scanner.model.interceptVector.toArray()
+    speaks = np.ceil(2 * (weights[1:] - weights[0]).max(axis=0)) / 2
+    threshold = min(scanner.threshold, 1 - 1e-12)
+    asked = math.log(threshold / (1 - threshold)) - float(np.logaddexp.reduce(start[1:] - start[0])) - 1e-6 if threshold > 0 else 0.0
+    if asked <= 0:
+        return None
+    levels: dict[float, list[str]] = {}
+    for term, level in zip(scanner.terms.vocabulary, speaks.tolist()):
+        if level > 0:
+            levels.setdefault(level, []).append(term)
+    speaking = [t for terms in levels.values() for t in terms]
+
+    def least(g: Column) -> Column:
+        level = F.lit(0.0)
+        for value, terms in levels.items():
+            level = F.when(g.isin(terms), value).otherwise(level)
+        return level
+
+    return lambda words: F.aggregate(_grams_among(words, speaking), F.lit(0.0), lambda a, g: a + least(g)) >= asked
+
+
 def scan_paragraphs(docs: DataFrame, scanner: Scanner, confirm: float = 0.6) -> DataFrame:
     """Paragraphs that look like a licence: doc_id, paragraph, run, family (or `unknown`), also (further families), sure, overlap.
 
@@ -284,10 +342,10 @@ def scan_paragraphs(docs: DataFrame, scanner: Scanner, confirm: float = 0.6) ->
     all those pairs of one of its templates, one at least, and the share confirm of all its pairs. A template of up to SHORT words counts only as the
     end of a sentence: a paragraph that has it elsewhere, and no other template, is prose and left out.
     """
-    suspect = _scored(paragraphs_of(docs.select("doc_id", "text"), scanner.telling), scanner).where(1 - F.col("p_none") >= scanner.threshold)
-    own = pairs_of(F.col("words"))
+    suspect = _scored(paragraphs_of(docs.select("doc_id", "text"), scanner.telling, _worth(scanner)), scanner).where(1 - F.col("p_none") >= scanner.threshold)
+    own = F.col("own")
     share = lambda part: F.coalesce(F.size(F.array_intersect(part, own)) / F.nullif(F.size(part), F.lit(0)), F.lit(1.0))
-    covered = lambda pairs: F.coalesce(F.size(F.array_intersect(pairs, own)) / F.nullif(F.size(F.array_distinct(own)), F.lit(0)), F.lit(1.0))
+    covered = lambda pairs: F.coalesce(F.size(F.array_intersect(pairs, own)) / F.nullif(F.size(own), F.lit(0)), F.lit(1.0))
 
     def ends(words: Column, closed: bool) -> Column:
         """Whether the paragraph has these words on end, and, if closed, a sentence that ends behind them."""
@@ -300,7 +358,9 @@ def scan_paragraphs(docs: DataFrame, scanner: Scanner, confirm: float = 0.6) ->
         whole = (met > 0) & (F.size(t["telling"]) > 0) & (share(t["telling"]) == 1.0) & (share(t["pairs"]) >= confirm)
         return F.struct(t["family"].alias("family"), met.alias("met"), whole.alias("whole"), (short & ends(t["words"], False) & ~ends(t["words"], True)).alias("inside"))
 
-    told = suspect.join(F.broadcast(_known(docs.sparkSession))).withColumn("told", F.transform("known", judged)).drop("known")
+    # The pairs are exploded, so that they are made once, not for each template.
+    suspect = suspect.select("*", F.explode_outer(F.array(F.array_distinct(pairs_of(F.col("words"))))).alias("own"))
+    told = suspect.join(F.broadcast(_known(docs.sparkSession))).withColumn("told", F.transform("known", judged)).drop("known", "own")
     told = told.withColumn("overlap", F.array_max(F.transform(F.filter("told", lambda t: t["family"] == F.col("guess")), lambda t: t["met"])))
     sure = (F.col("overlap") >= confirm) & (F.col("sure") >= scanner.clear * (1 - F.col("p_none")))
     whole = F.array_sort(F.array_distinct(F.transform(F.filter("told", lambda t: t["whole"]), lambda t: t["family"])))

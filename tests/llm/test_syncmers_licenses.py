@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import textwrap
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,35 @@ def test_share_of_weighted_scores(spark):
     scores = spark.createDataFrame([(0.1, 900), (0.5, 90), (0.7, 9), (0.9, 1)], "score double, n long")
     assert [licenses._passed_by(scores, x) for x in (0.0, 0.001, 0.009, 0.01, 0.1, 1.0)] == [0.9, 0.7, 0.7, 0.5, 0.1, 0.1]
     assert licenses._passed_by(scores.where("n = 0"), 0.1) == 0.0
+
+
+def test_lines_and_words_are_made_once(spark, table):
+    """No condition repeats the splitting into lines or words: each stands in the plan as often as it has to run for a text."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    made = plan(licenses.paragraphs_of(table([(1, "a b")]).select("doc_id", "text")))
+    assert made.count("split(text") == 1 and made.count("regexp_extract_all(lower(") == 1
+
+
+def test_what_is_not_worth_scoring_can_not_pass(spark):
+    """The condition that spares lines the model leaves no paragraph out that passes the threshold, and spares most plain ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    scanner = licenses.train(docs)
+    texts = [x for _, t in licenses.templates_list() for x in (t, f"thor {t} ande", t[: len(t) // 2], t[len(t) // 2 :])] + [x for _, x in STATED] + PROSE
+    own = licenses.paragraphs_of(docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    for threshold in (0.0, 0.1, 0.6, 0.99, 1.0):
+        asked = replace(scanner, threshold=threshold)
+        worth = licenses._worth(asked)
+        told = licenses._scored(own, asked).select((1 - F.col("p_none") >= threshold).alias("passes"), (worth(F.col("words")) if worth else F.lit(True)).alias("worth"))
+        n = {(r["passes"], r["worth"]): r["count"] for r in told.groupBy("passes", "worth").count().collect()}
+        assert n.get((True, False), 0) == 0
+        assert threshold != 0.6 or (n[True, True] > 50 and n[False, False] > 5 * n[False, True])
+
+
+def test_runs_of_lines(spark, table):
+    """Runs at the start, amid and at the end of a text, behind SPDX lines, and many in one text; one line alone is none, and texts without a telling word have none."""
+    a, b, c = "of the License", "under the terms", "thor ande"
+    many = "\n".join([a, b, c] * 2_000)
+    rows = [(1, "\n".join([a, b, c, a, c, b, a, b])), (2, f"{a}\n{c}\r\n{b}"), (3, f"SPDX-License-Identifier: MIT OR ISC\n{c}\n{a}\r{b}"), (4, "of the\nof the"), (5, None), (6, ""), (7, many)]
+    found = licenses.paragraphs_of(table(rows).select("doc_id", "text"), "(?i)license").where("run").select("doc_id", "paragraph").collect()
+    runs = {i: [r["paragraph"] for r in found if r["doc_id"] == i] for i in range(1, 8)}
+    assert runs == {1: [f"{a} {b}", f"{b} {a} {b}"], 2: [], 3: [f"{a} {b}"], 4: [], 5: [], 6: [], 7: [f"{a} {b}"] * 2_000}
